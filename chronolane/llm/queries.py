@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane.llm.base import load
+from chronolane.llm.chat import format_chats, read_back
+from chronolane.llm.decontaminate import contamination
 from chronolane.llm.exact_dedup import exact_groups
+from chronolane.llm.interpolated_lm import lm_scores
 from chronolane.llm.line_dedup import line_dedup
+from chronolane.llm.near_dedup import near_groups
+from chronolane.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +39,31 @@ FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id LEFT JOIN n ON doc.doc_id =
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: A conversation whose texts hold control strings, formatted with the table's own.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(rows.unionByName(extra)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
@@ -46,9 +76,21 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) O
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, load(spark, sf_dir, "benchmark"))
+    named = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
+    "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
