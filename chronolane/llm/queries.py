@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolane.llm.base import load
+from chronolane.llm.base import Workspace, load
 from chronolane.llm.chat import format_chats, read_back
 from chronolane.llm.decontaminate import contamination
 from chronolane.llm.exact_dedup import exact_groups
 from chronolane.llm.interpolated_lm import lm_scores
 from chronolane.llm.line_dedup import line_dedup
+from chronolane.llm.mixing import mix
 from chronolane.llm.near_dedup import near_groups
 from chronolane.llm.token_counts import token_counts
+from chronolane.llm.warc import archive_pages, page_id, read_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "archives").path("pages")
+    archive_pages(load(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = read_warc(spark, path, payload="verify")
+    return found.select(
+        page_id("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page_id("refers_to").alias("refers_to"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed")
@@ -43,6 +58,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
+    return found.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,8 +105,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
     "op8_chat_format": op8_chat_format,
