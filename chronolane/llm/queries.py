@@ -16,11 +16,29 @@ from chronolane.llm.line_dedup import line_dedup
 from chronolane.llm.mixing import mix
 from chronolane.llm.near_dedup import near_groups
 from chronolane.llm.token_counts import token_counts
+from chronolane.llm.toxicity import labelled_sample, toxicity, train
 from chronolane.llm.warc import archive_pages, page_id, read_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: A document is toxic from this score on.
+TOXIC = 0.3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """The classifier, fitted on labelled rows whose crc32 of the id as text, mod 4, isn't 2."""
+    learnable = labels.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2)
+    return train(*labelled_sample(docs, learnable))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, toxicity_model(docs, load(spark, sf_dir, "labels")))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "archives").path("pages")
     archive_pages(load(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -105,6 +123,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,

@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane.llm.base import Workspace, load
+from chronolane.llm.decontaminate import decontaminate
 from chronolane.llm.line_dedup import line_dedup
+from chronolane.llm.mixing import mixed_shards
+from chronolane.llm.near_dedup import near_dedup
+from chronolane.llm.queries import TOXIC, toxicity_model
+from chronolane.llm.toxicity import toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.3 or more go."""
+    model = toxicity_model(docs, load(spark, sf_dir, "labels"))
+    return toxicity(docs, model, with_text=True).filter(F.col("score") < TOXIC).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +26,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(docs.columns)
 
 
-STAGES = [("line dedup", line_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return near_dedup(docs).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lies in benchmark passages go."""
+    return decontaminate(docs, load(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents by output shard, in random order, in the proportions of the source targets."""
+    return mixed_shards(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
