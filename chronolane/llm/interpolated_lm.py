@@ -5,12 +5,13 @@ seen, in octaves of its count.  The weights come from expectation-maximisation o
 tenth of the training documents is deleted from the counts and its tokens are explained with the rest;
 the final scores use all training counts.
 
-Scale: nothing of the model is broadcast or collected.  A task cuts its documents into batches, counts
-the distinct words and bigrams of each and sends sorted keys with counts, packed, to the owners of key
-ranges.  An owner adds up each key and answers every batch in the order it asked, so the second
-exchange is counts alone and a hot word or bigram costs one entry per batch at each end.  Batches are
-written once, with their texts, so an answer always meets the rows that asked.  The driver sees three
-totals and a histogram of (context bucket, probability cells) whose size is fixed.
+Scale: nothing of the model is broadcast or collected.  Documents are written once as batches, one
+compressed row each.  A batch sends its distinct words and bigrams, as sorted keys with counts, to the
+owners of key ranges; an owner adds up each key and answers every batch in the order it asked, so the
+way back is counts alone and a hot word or bigram costs one entry per batch at each end.  Words have
+64-bit keys.  A bigram has 40 bits besides its owner (owners grow with the input, so ranges stay of one
+size), and is sent as a 4-byte step from the one before it.  The driver sees three totals and a
+histogram of (context bucket, probability cells) whose size is fixed.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ CELLS = STEPS * OCTAVES + 1
 ROUNDS = 60
 _END = np.uint64(0x5851F42D4C957F2D)
 _LEFT = np.uint64(0x9FB21C651E98DF25)
-_DOC = "batch long, rank int, kind string, part int, doc_id {id}, held boolean, deleted boolean, text string, keys binary, train binary, gone binary"
+_ASKED = "kind string, part int, batch long, keys binary, train binary, gone binary"
+_PAIR_BITS = np.uint64(40)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,39 +57,82 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _count(kind: str, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = None
-        task, k = TaskContext.get().partitionId(), 0
-        for incoming in batches:
-            shape = shape or pa.schema(
-                [("batch", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("doc_id", incoming.schema.field(0).type), ("held", pa.bool_()), ("deleted", pa.bool_()), ("text", pa.string()), ("keys", pa.binary()), ("train", pa.binary()), ("gone", pa.binary())]
-            )
-            for away in (True, False):  # deleted documents have batches of their own
-                some = incoming.filter(incoming.column(2) if away else pa.compute.invert(incoming.column(2)))
-                for a, b in chunks(some.column(3), BATCH_BYTES):
-                    part = some.slice(a, b - a)
-                    batch = (task << 32) + k
-                    k += 1
-                    n = b - a
-                    none = pa.nulls(n, pa.binary())
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    with pa.ipc.open_stream(raw) as f:
+        return f.read_all().combine_chunks()
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as they need, compressed; _counts() reads them."""
+    top = int(x.max()) if len(x) else 0
+    kind = next(k for k in "BHIQ" if top < 1 << (8 * np.dtype(k).itemsize))
+    return kind.encode() + pa.compress(x.astype(kind).tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    kind, n = chr(raw[0]), int.from_bytes(raw[-8:], "little")
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(raw[1:-8], decompressed_size=size, codec="zstd", asbytes=True), kind).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as 4-byte steps where they fit."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    small = not len(step) or int(step.max()) < 1 << 32
+    return (b"4" + step.astype(np.uint32).tobytes()) if small else (b"8" + keys.tobytes())
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    body = memoryview(raw)[1:]
+    return np.cumsum(np.frombuffer(body, np.uint32), dtype=np.uint64) if raw[:1] == b"4" else np.frombuffer(body, np.uint64)
+
+
+def _pair_keys(bi: np.ndarray, parts: int) -> np.ndarray:
+    """Owner and 40 bits of each bigram, in one ascending number."""
+    low = mix(bi) >> (np.uint64(64) - _PAIR_BITS)
+    return (_part(bi, parts).astype(np.uint64) << _PAIR_BITS) | low
+
+
+def _batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One compressed row per batch of documents; deleted documents have batches of their own."""
+    task, k = TaskContext.get().partitionId(), 0
+    for batch in incoming:
+        for away in (True, False):
+            some = batch.filter(batch.column(2) if away else pa.compute.invert(batch.column(2)))
+            for a, b in chunks(some.column(3), BATCH_BYTES):
+                part = pa.Table.from_batches([some.slice(a, b - a)])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([away]), pa.array([_packed(part)], pa.binary())], ["batch", "away", "docs"])
+                k += 1
+
+
+def _ask(parts: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for incoming in rows:
+            for batch, away, raw in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
+                docs = _unpacked(raw)
+                uni, bi, first = _tokens(docs.column("text").combine_chunks())
+                learn = np.repeat(~docs.column("held").to_numpy().astype(bool), np.diff(first))
+                for name, tokens in (("word", uni), ("pair", _pair_keys(bi, parts))):
+                    keys, inv = np.unique(tokens, return_inverse=True)
+                    train = np.bincount(inv, weights=learn, minlength=len(keys)).astype(np.int64)
+                    owner = _part(keys, parts) if name == "word" else (keys >> _PAIR_BITS).astype(np.int64)
+                    if name == "pair":
+                        keys = keys & ((np.uint64(1) << _PAIR_BITS) - np.uint64(1))
+                    cut = np.searchsorted(owner, np.arange(parts + 1))
+                    have = np.flatnonzero(np.diff(cut)).tolist()
+                    own = [(keys[cut[p] : cut[p + 1]], train[cut[p] : cut[p + 1]]) for p in have]
+                    counts = [_small(t) for _, t in own]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32)), pa.array(["doc"] * n), pa.nulls(n, pa.int32()), part.column(0), part.column(1), part.column(2), part.column(3).cast(pa.string()), none, none, none], schema=shape
+                        [pa.array([name] * len(have)), pa.array(have, pa.int32()), pa.array([batch] * len(have), pa.int64()), pa.array([_steps(k) for k, _ in own], pa.binary()), pa.array(counts, pa.binary()), pa.array(counts if away else [b""] * len(have), pa.binary())],
+                        ["kind", "part", "batch", "keys", "train", "gone"],
                     )
-                    uni, bi, first = _tokens(part.column(3))
-                    learn = np.repeat(~part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-                    for name, tokens in (("word", uni), ("pair", bi)):
-                        keys, inv = np.unique(tokens, return_inverse=True)
-                        train = np.bincount(inv, weights=learn, minlength=len(keys)).astype(np.int64)
-                        owner = _part(keys, parts)
-                        cut = np.searchsorted(owner, np.arange(parts + 1))
-                        have = np.flatnonzero(np.diff(cut))
-                        piece = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in have], pa.binary())  # noqa: B023, E731
-                        m = len(have)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, batch)), pa.nulls(m, pa.int32()), pa.array([name] * m), pa.array(have.astype(np.int32)), pa.nulls(m, shape.field(4).type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.string()), piece(keys), piece(train), piece(train if away else np.zeros_like(train))],
-                            schema=shape,
-                        )
 
     return run
 
@@ -96,11 +141,13 @@ def _answer(asked: pa.Table) -> pa.Table:
     """Totals of one key range, for each batch in the order it asked; batch -1: tokens, distinct tokens, deleted tokens."""
     kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
     batches = asked.column("batch").to_pylist()
-    read = lambda name, t: [np.frombuffer(x, t) for x in asked.column(name).to_pylist()]
-    keys = read("keys", np.uint64)
+    keys = [_keys(x) for x in asked.column("keys").to_pylist()]
+    away = [len(x) > 0 for x in asked.column("gone").to_pylist()]
     known, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    train = np.bincount(inv, weights=np.concatenate(read("train", np.int64)), minlength=len(known)).astype(np.int64)
-    gone = np.bincount(inv, weights=np.concatenate(read("gone", np.int64)), minlength=len(known)).astype(np.int64)
+    each = [_counts(x) for x in asked.column("train").to_pylist()]
+    train = np.bincount(inv, weights=np.concatenate(each), minlength=len(known)).astype(np.int64)
+    lost = np.concatenate([x if gone else np.zeros_like(x) for x, gone in zip(each, away, strict=True)])
+    gone = np.bincount(inv, weights=lost, minlength=len(known)).astype(np.int64)
     cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     own = [inv[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     totals = np.array([train.sum(), (train > 0).sum(), gone.sum()], np.int64)
@@ -109,21 +156,21 @@ def _answer(asked: pa.Table) -> pa.Table:
             "batch": pa.array([*batches, -1], pa.int64()),
             "kind": pa.array([kind] * (len(own) + 1)),
             "part": pa.array([part] * (len(own) + 1), pa.int32()),
-            "train": pa.array([*(train[i].tobytes() for i in own), totals.tobytes()], pa.binary()),
-            "gone": pa.array([*(gone[i].tobytes() for i in own), b""], pa.binary()),
+            "train": pa.array([*(_small(train[i]) for i in own), totals.tobytes()], pa.binary()),
+            "gone": pa.array([*(_small(gone[i]) if x else b"" for i, x in zip(own, away, strict=True)), b""], pa.binary()),
         }
     )
 
 
-def _joined(docs: pa.Table, replies: pa.Table, deleted: bool):
+def _joined(batches: pa.Table, replies: pa.Table, deleted: bool, parts: int):
     """Per token of a batch: counts of its bigram, its context and itself; kept counts if ``deleted``."""
-    docs = docs.sort_by("rank")
+    docs = _unpacked(batches.column("docs")[0].as_py())
     uni, bi, first = _tokens(docs.column("text").combine_chunks())
     counts = {}
     replies = replies.sort_by("part")
-    for kind, tokens in (("word", uni), ("pair", bi)):
+    for kind, tokens in (("word", uni), ("pair", _pair_keys(bi, parts))):
         rows = replies.filter(pa.compute.equal(replies.column("kind"), kind))
-        get = lambda name: np.concatenate([np.frombuffer(x, np.int64) for x in rows.column(name).to_pylist()])  # noqa: B023, E731
+        get = lambda name: np.concatenate([_counts(x) for x in rows.column(name).to_pylist()])  # noqa: B023, E731
         total = get("train") - (get("gone") if deleted else 0)
         counts[kind] = total[np.unique(tokens, return_inverse=True)[1]]
     word, pair = counts["word"], counts["pair"]
@@ -146,9 +193,9 @@ def _cell(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.minimum(CELLS - 1, (-STEPS * np.log2(np.maximum(p, 1e-300))).astype(np.int64) + 1), 0)
 
 
-def _histogram(kept_tokens: int):
+def _histogram(kept_tokens: int, parts: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        _, _, pair, context, word = _joined(docs, replies, True)
+        _, _, pair, context, word = _joined(docs, replies, True, parts)
         p2, p1 = _ratio(pair, context), _ratio(word, kept_tokens)
         cell = (_bucket(context) * CELLS + _cell(p2)) * CELLS + _cell(p1)
         found, inv = np.unique(cell, return_inverse=True)
@@ -182,9 +229,9 @@ def learn_weights(cell: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarra
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _score(tokens: int, distinct: int, weights: np.ndarray):
+def _score(tokens: int, distinct: int, weights: np.ndarray, parts: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        docs, first, pair, context, word = _joined(docs, replies, False)
+        docs, first, pair, context, word = _joined(docs, replies, False, parts)
         base = np.log10((word + 0.1) / (tokens + 0.1 * (distinct + 1)))
         w = weights[_bucket(context)]
         mixed = np.log10(w[:, 0] * _ratio(pair, context) + w[:, 1] * _ratio(word, tokens) + w[:, 2] / (distinct + 1))
@@ -220,21 +267,21 @@ def lm_scores(docs: DataFrame, text: str = "text", id: str = "doc_id", parts: in
     left = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % 10
     source = docs.select(F.col(id).alias("doc_id"), (left == 0).alias("held"), (left == 1).alias("deleted"), F.col(text).alias("text"))
     parts = parts or max(8, 2 * source.rdd.getNumPartitions())
-    counted = source.mapInArrow(_count(kind, parts), _DOC.format(id=kind))
-    counted.write.partitionBy("kind").option("compression", "zstd").parquet(ws.path("counted"))
-    read = lambda kinds: spark.read.schema(counted.schema).parquet(ws.path("counted")).filter(F.col("kind").isin(kinds))
-    asked = read(["word", "pair"]).select("kind", "part", "batch", "keys", "train", "gone")
-    answers = ws.table(asked.groupBy("kind", "part").applyInArrow(_answer, "batch long, kind string, part int, train binary, gone binary"), "answers")
-    ws.drop("counted/kind=word", "counted/kind=pair")
+    home = source.mapInArrow(_batches, "batch long, away boolean, docs binary")
+    home.write.option("compression", "none").parquet(ws.path("home"))
+    home = ws.read("home", home)
+    asked = home.mapInArrow(_ask(parts), _ASKED)
+    answers = asked.groupBy("kind", "part").applyInArrow(_answer, "batch long, kind string, part int, train binary, gone binary")
+    answers.write.option("compression", "none").parquet(ws.path("answers"))
+    answers = ws.read("answers", answers)
     totals = [np.frombuffer(r[0], np.int64) for r in answers.filter("batch = -1 AND kind = 'word'").select("train").collect()]
     tokens, distinct, gone = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0, 0)
-    rows = read(["doc"]).select("batch", "rank", "doc_id", "held", "deleted", "text")
     replies = answers.filter("batch >= 0")
-    away = rows.filter("deleted")
-    told = replies.join(away.select("batch").distinct(), "batch", "left_semi")
-    cells = away.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_histogram(tokens - gone), "cell long, n double, p2 double, p1 double")
+    away = home.filter("away")
+    told = replies.join(away.select("batch"), "batch", "left_semi")
+    cells = away.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_histogram(tokens - gone, parts), "cell long, n double, p2 double, p1 double")
     held = cells.groupBy("cell").agg(F.sum("n"), F.sum("p2"), F.sum("p1")).orderBy("cell").collect()
     cell, n, p2, p1 = (np.array([r[k] for r in held], np.int64 if k == 0 else float) for k in range(4))
     weights = learn_weights(cell, n, p2, p1, 1 / (distinct + 1))
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(tokens, distinct, weights), shape)
+    return home.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(tokens, distinct, weights, parts), shape)
