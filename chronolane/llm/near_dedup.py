@@ -6,10 +6,12 @@
    threshold agrees in at least ``MATCHES`` coordinates except with a probability near 1e-6, so with each
    document's pairs ordered from the rarest, two such documents share a pair within their first
    ``COORDINATES - MATCHES + 1`` (the prefix); pairs that only one document has are skipped.
-3. First every document is compared with the smallest document of each of its prefix lists: as many
-   comparisons as postings at most, however long a list is.  Lists that then lie in one component need
-   nothing more.  In the others the remaining documents are merged block against block: agreements of
-   signatures are counted and only pairs in different components with ``MATCHES`` or more go on.
+3. First plain groups are contracted: documents that agree in all ``BAND`` coordinates of a band are
+   compared with the smallest of them, so a group of any size costs one comparison per document and
+   band.  Prefix lists that then lie in one component need nothing more.  In the others the documents
+   are merged block against block: agreements of longer signatures (``FILTER`` bytes, a byte per
+   coordinate) are counted, and only pairs in different components with ``FILTER_MATCHES`` or more go on;
+   a pair above the threshold has fewer with a probability near 1e-6.
 4. What is left is confirmed on the full shingle sets, and the links give connected components.
 
 Scale: counts and smallest ids of lists are partially aggregated before the shuffle; no list, link or
@@ -35,12 +37,17 @@ from chronolane.llm.textscan import NON_SPACE, chunks, mix, scan
 WORDS = 5
 COORDINATES = 64
 MATCHES = 32
+BAND = 4
+FILTER = 512
+FILTER_MATCHES = 337  # of 512 x 0.75 = 384 expected, with a deviation of 9.8
 BLOCK = 256
 CHUNK_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_FMUL = _rng.integers(0, 2**63, FILTER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FADD = _rng.integers(0, 2**63, FILTER, dtype=np.uint64)
 _ORDER = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,22 +70,33 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _minima(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 256):
+        out = np.minimum(out, (shingles[k : k + 256, None] * mul + add).min(axis=0))
+    return out
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One minimum per coordinate, as 32-bit values."""
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 1 << 14):
-        out = np.minimum(out, (shingles[k : k + (1 << 14), None] * _MUL + _ADD).min(axis=0))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (_minima(shingles, _MUL, _ADD) >> np.uint64(32)).astype(np.uint32)
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """A byte of each of FILTER further minima."""
+    return (mix(_minima(shingles, _FMUL, _FADD)) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, sets, signs = [], [], []
+        sizes, sets, signs, longs = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], ["id", "n", "same", "sign"])
+            longs.append(long_signature(s).tobytes() if len(s) else None)
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, signs, longs))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "same", "sign", "long"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +110,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array((signs.astype(np.int64) | coords).ravel())], ["rep", "token"])
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, band) of each band of coordinates; a band is a hash of its place and its values."""
+    place = np.arange(COORDINATES // BAND, dtype=np.uint64)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            signs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES // BAND, BAND)
+            bands = mix((mix(signs.astype(np.uint64) + np.uint64(1)) * _MUL[:BAND]).sum(axis=2) + place)
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), COORDINATES // BAND)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(bands.ravel().view(np.int64))], ["rep", "band"])
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in enough coordinates."""
     for batch in batches:
@@ -102,12 +132,12 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs in different components of one block pair of a list whose signatures agree enough."""
-    signs = np.frombuffer(b"".join(pdf["sign"]), np.uint32).reshape(-1, COORDINATES)
+    signs = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(-1, FILTER)
     rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
     out = []
     for k in range(len(rep) - 1):
         other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-        other = other[(signs[other] == signs[k]).sum(axis=1) >= MATCHES]
+        other = other[(signs[other] == signs[k]).sum(axis=1) >= FILTER_MATCHES]
         out.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -151,41 +181,46 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = ws.table(source.mapInArrow(_sign, "id long, n long, same binary, sign binary"), "signed")
-    classes = signed.filter("id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"))
+    signed = ws.table(source.mapInArrow(_sign, "id long, n long, same binary, sign binary, long binary"), "signed")
+    classes = signed.filter("id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("long").alias("long"))
     classes = ws.table(classes, "classes")
-    # postings: lists of one are skipped; each document keeps its rarest COORDINATES - MATCHES + 1
-    posts = classes.select("rep", "sign").mapInArrow(_tokens, "rep long, token long")
-    lists = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    shared = posts.join(lists, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token", "hub"))).alias("own"))
-    prefix = F.slice("own", 1, F.size("own") - (MATCHES - 1))
-    shared = ws.table(shared.filter(F.size("own") >= MATCHES).select("rep", prefix.alias("own")), "prefixes")
     signs = classes.select("rep", "sign")
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        a, b = (signs.select(F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(_agreeing, "a long, b long")
-
-    hubs = shared.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.transform("own", lambda x: x["hub"]))).alias("b")).filter("a <> b")
-    pairs = ws.table(agreeing(hubs), "hub_pairs")
-    # texts of what may be linked; a class is read from its smallest document
-    held = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = source.withColumnRenamed("id", "rep")
-    links = _confirmed(pairs, ws.table(texts.join(held, "rep", "left_semi"), "hub_texts"), ws, "hub_links", percent)
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among pairs; texts are read for the documents in question alone."""
+        held = ws.table(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), f"{name}_held")
+        read = ws.table(texts.join(held, "rep", "left_semi"), f"{name}_texts")
+        links = _confirmed(pairs, read, ws, name, percent)
+        ws.drop(f"{name}_held", f"{name}_texts")
+        return links
+
+    # plain groups: everyone against the smallest document of its bands
+    bands = signs.mapInArrow(_bands, "rep long, band long")
+    hubs = ws.table(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").drop("n"), "hubs")
+    pairs = bands.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    a, b = (signs.select(F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(_agreeing, "a long, b long")
+    pairs = ws.table(pairs, "pairs")
+    links = confirmed(pairs, "links")
     first = components(links, ws, "first")
-    # lists of three or more that still lie in several components
-    placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.explode("own").alias("own"))
-    placed = ws.table(placed.filter("own.n > 2").select("rep", "comp", F.col("own.token").alias("token")), "placed")
-    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi AND n > 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = placed.join(open_.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    # postings: lists of one are skipped; each document keeps its rarest COORDINATES - MATCHES + 1
+    posts = signs.mapInArrow(_tokens, "rep long, token long")
+    lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    shared = posts.join(lists, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    prefix = F.transform(F.slice("own", 1, F.size("own") - (MATCHES - 1)), lambda x: x["token"])
+    shared = shared.filter(F.size("own") >= MATCHES).select("rep", prefix.alias("own"))
+    placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.explode("own").alias("token"))
+    placed = ws.table(placed, "placed")
+    # lists that still lie in several components
+    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    open_ = ws.table(open_.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = placed.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("rep", "comp", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(signs, "rep")
+    rows = rows.select("rep", "comp", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes.select("rep", "long"), "rep")
     more = rows.groupBy("token", "i", "j").applyInPandas(_merge_blocks, "a long, b long").distinct()
-    more = ws.table(more.join(pairs, ["a", "b"], "left_anti"), "block_pairs")
-    held = more.select(F.col("a").alias("rep")).union(more.select(F.col("b").alias("rep"))).distinct()
-    late = _confirmed(more, ws.table(texts.join(held, "rep", "left_semi"), "block_texts"), ws, "block_links", percent)
-    ws.drop("hub_texts", "block_texts", "placed", "prefixes")
+    late = confirmed(ws.table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "block_pairs"), "block_links")
+    ws.drop("placed", "lists", "hubs", "open")
     # rows that share an id but not a set tie their classes together
     ties = signed.filter("id IS NOT NULL AND same IS NOT NULL").join(classes.select("same", "rep"), "same").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ends = classes.select(F.col("rep").alias("a")).distinct()
