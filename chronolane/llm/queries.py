@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane.llm.base import Workspace, load
-from chronolane.llm.chat import format_chats, read_back
+from chronolane.llm.chat import ESCAPE, Template, format_chats, read_back
 from chronolane.llm.decontaminate import contamination
 from chronolane.llm.exact_dedup import exact_groups
 from chronolane.llm.interpolated_lm import lm_scores
@@ -16,7 +16,7 @@ from chronolane.llm.line_dedup import line_dedup
 from chronolane.llm.mixing import mix
 from chronolane.llm.near_dedup import near_groups
 from chronolane.llm.token_counts import token_counts
-from chronolane.llm.toxicity import labelled_sample, toxicity, train
+from chronolane.llm.toxicity import Model, fit, toxicity
 from chronolane.llm.warc import archive_pages, page_id, read_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOXIC = 0.3
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame):
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier, fitted on labelled rows whose crc32 of the id as text, mod 4, isn't 2."""
     learnable = labels.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2)
-    return train(*labelled_sample(docs, learnable))
+    return fit(docs, learnable)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_COUNT = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in Template().controls())
+
+OP8_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+ CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 24 + length(role) END + length(text)
+ + length(text) - length(replace(text, '{ESCAPE}', '')) + 2 * ({_COUNT}) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+ CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_CUT = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10_SQL = f"""
+WITH b AS (SELECT item_id, {_CUT} AS w FROM benchmark),
+p AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS s, least(len(w), 13) AS n FROM p),
+d AS (SELECT doc_id, {_CUT} AS w FROM documents),
+size AS (SELECT DISTINCT n FROM win),
+q AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size WHERE len(w) >= n),
+hit AS (SELECT q.doc_id, q.i, q.n, win.item_id FROM q JOIN win ON win.n = q.n AND win.s = array_to_string(q.w[q.i:q.i + q.n - 1], ' ')),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT doc_id, i, n FROM hit)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -137,5 +171,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op8_chat_format": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
