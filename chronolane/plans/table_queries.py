@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from chronolane.operators import aggregates as A
 from chronolane.operators import columns as C
 from chronolane.operators import joins as J
 from chronolane.operators import sampling as S
-from chronolane.operators import windows as W
 from chronolane.plans.registry import LANE, SAMPLES, load, query, rounded, samples
 from chronolane.plans.sequence_queries import BOUTS, STEPS, bouts, stepped
 
