@@ -12,7 +12,8 @@ represented by the sentence that the current machine finds most toxic (multiple-
 The words that stand for toxicity also train the machine with a letter inserted, doubled or dropped.  A
 document is judged by its ``WORST`` worst sentences, whose margins a sigmoid turns into a probability.
 
-The fit uses at most ``MAX_LABELLED`` labelled documents of each class, chosen by a hash of the id.
+The fit uses at most ``MAX_LABELLED`` labelled documents of each class, chosen by a hash of the id, and
+runs in one task; the driver gets the landmarks and their weights.
 Scale: scoring is one pass without a shuffle.  Kernels are computed once per distinct word and task
 (the table of words has a bounded size), and only words near a landmark cost anything per sentence.
 """
@@ -20,12 +21,14 @@ Scale: scoring is one pass without a shuffle.  Kernels are computed once per dis
 from __future__ import annotations
 
 import math
+import pickle
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 from chronolane.llm.base import fresh
 from chronolane.llm.textscan import NON_SPACE, chunks, scan
 
-MAX_LABELLED = 4000
+MAX_LABELLED = 2500
 LANDMARKS = 64
 DECAY = 0.7
 SPAN = 5  # letters that a subsequence of three may lie across
@@ -382,17 +385,27 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, landma
     return fitted
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: int = MAX_LABELLED) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most ``most`` documents of each class, by a hash of the id, and the share of class 1 in all."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
+    """train() on at most ``most`` documents of each class, by a hash of the id; scores are meant for the labels' own mix of classes.
+
+    Labels other than 0 and 1 are ignored; labels without a document count for the mix only.
+    """
     marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"))
     counts = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = None
     for y in (0, 1):
         some = marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(F.col(id).alias("_doc"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_text", "_y", "_doc")
-    found = sorted(rows.limit(4 * most).collect(), key=lambda r: (r[2], r[0]))
-    return [r[0] for r in found], [r[1] for r in found], counts.get(1, 0) / max(1, sum(counts.values()))
+    rows = docs.select(F.col(id).alias("_doc"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_doc", "_text"])
+        m = train(pdf["_text"].tolist(), pdf["_y"].tolist(), prior)
+        return pd.DataFrame({"model": [pickle.dumps((m.landmarks, m.weights, m.bias, m.slopes, m.shift))]})
+
+    found = rows.select("_doc", "_text", "_y", F.lit(0).alias("_all")).limit(4 * most).groupBy("_all").applyInPandas(run, "model binary").first()
+    return Model(*pickle.loads(bytes(found[0]))) if found else train([], [])
 
 
 def score_texts(model: Model, table: WordTable, column: pa.Array) -> np.ndarray:
