@@ -8,8 +8,8 @@ levels look at together are little more than the bytes of the texts, and the num
 logarithm of the longest text that has a partner.
 
 Scale: a level counts its groups with map-side partial aggregation, so a group with a third of all
-rows costs one row per map task there; the counts go back by an ordinary equi-join whose hot
-partitions adaptive execution can split.  Only documents of groups that are still open are written
+rows costs one row per map task there; groups of two or more are written and go back by an ordinary
+equi-join whose hot partitions adaptive execution can split.  Only documents of groups that are still open are written
 for the next level.
 """
 
@@ -45,7 +45,7 @@ def exact_groups(
     while True:
         cut = state.withColumn(prefix, F.substring(bytes_, 1, width))
         groups = cut.groupBy(size, prefix).agg(F.count("*").alias(n), pick(id).alias(top)).filter(F.col(n) > 1)
-        joined = cut.join(groups, [size, prefix], "left").withColumn(done, F.col(n).isNull() | (F.col(size) <= width))
+        joined = cut.join(ws.table(groups, f"groups{level}").hint("merge"), [size, prefix], "left").withColumn(done, F.col(n).isNull() | (F.col(size) <= width))
         keep_body = F.col(bytes_) if with_text else F.when(~F.col(done), F.col(bytes_))
         level_rows = ws.table(joined.withColumn(bytes_, keep_body).drop(prefix), f"level{level}")
         found = level_rows.filter(done).withColumn("keep_id", F.when(F.col(n).isNull(), F.col(id)).otherwise(F.col(top)))
