@@ -92,10 +92,10 @@ def m_bout_edge_lag(spark, sf):
 @query("m_trajectory_sync")
 @query("m_alt_regime_fit")
 def m_trajectory_sync(spark, sf):
-    lane = timed(spark, sf).filter("lane < 4").groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x"))).alias("s"))
+    lane = timed(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x"))).alias("s"))
     h, x = F.transform("s", lambda v: v["h"]), F.transform("s", lambda v: v["x"])
     arrays = lane.select("lane", F.transform(h, lambda v: v * 8).alias("frames"), x.alias("x"), F.transform(h, lambda v: v + 5.5).alias("t"), x.alias("tx"))
-    return M.trajectory_sync(arrays, reach=20.0, drift=0.005, outlier=15.0, gap=200.0, least=20, apart=5.0)
+    return M.trajectory_sync(arrays, outlier=15.0, gap=200.0, least=20, apart=5.0)
 
 
 @query("m_orientation_check", f"WITH {SAMPLES} SELECT lane, count(*) AS n, 'a' AS better FROM s GROUP BY lane")
