@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from chronolane.operators import images as I
 from chronolane.plans.model_queries import PIX, WIDTH, frames
 from chronolane.plans.registry import LANE, SAMPLES, load, query, rounded, samples
-from chronolane.plans.sequence_queries import classified, staged
+from chronolane.plans.sequence_queries import GAP, HOUR, LEAST, UNKNOWN_GAP, classified, staged
 from chronolane.sources import frames as containers
 from chronolane.sources import tables
 from chronolane.sources.scratch import scratch
@@ -176,10 +176,15 @@ def stream_entries(spark, sf):
 @query("stream_bouts")
 def stream_bouts(spark, sf):
     rows = classified(spark, sf).select("lane", "t", "frame", "frame_state")
-    return _streamed(spark, rows, lambda s: stateful.bouts(s, "lane", "t", "frame", "frame_state", 21600.0, 43200.0, 172800.0))
+    # a last row per lane beyond both tolerances closes what is open and begins nothing
+    closing = rows.groupBy("lane").agg((F.max("t") + UNKNOWN_GAP + 1).alias("t"), F.max("frame").alias("frame"), F.lit("moving").alias("frame_state"))
+    return _streamed(spark, rows.unionByName(closing), lambda s: stateful.bouts(s, "lane", "t", "frame", "frame_state", LEAST, GAP, UNKNOWN_GAP))
 
 
 @query("stream_activity")
 def stream_activity(spark, sf):
     rows = samples(spark, sf).select("lane", "t", "frame", "x", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"))
-    return _streamed(spark, rows, lambda s: stateful.activity(s, "ts", "x", ["lane"]))
+    # an event that moves the watermark past the last window; its own window ends after the watermark and never comes out
+    ended = F.max("ts") + F.expr("INTERVAL 25 HOURS 1 SECOND")
+    closing = rows.agg(F.lit(None).cast("long").alias("lane"), (F.max("t") + 25 * HOUR + 1).alias("t"), F.max("frame").alias("frame"), F.lit(None).cast("double").alias("x"), ended.alias("ts")).filter("ts IS NOT NULL")
+    return _streamed(spark, rows.unionByName(closing), lambda s: stateful.activity(s, "ts", "x", ["lane"]))

@@ -65,8 +65,7 @@ def bouts(stream: DataFrame, lane: str, t: str, id: str, state_column: str, leas
         out = []
         rows = pd.concat(list(batches)).sort_values([t, id])
         for when, s in zip(rows[t].tolist(), rows[state_column].tolist(), strict=True):
-            late = start is not None and apart and when - end > (gap if moved else wide)
-            if late and (s == "stationary" or when - end > wide):
+            if start is not None and (when - end > wide if s != "stationary" else apart and when - end > (gap if moved else wide)):
                 if end - start >= least:
                     out.append((key[0], start, end))
                 start = None

@@ -27,3 +27,16 @@ def test_trajectory_sync_searches_the_default_ranges(spark, monkeypatch):
     monkeypatch.setattr(model_queries.M, "trajectory_sync", lambda lanes, **k: asked.update(k) or lanes)
     QUERIES["m_trajectory_sync"](spark, SF)
     assert not {"reach", "drift", "rates"} & set(asked)
+
+
+def test_stream_bouts_gives_every_bout_of_the_batch_form(spark):
+    got = QUERIES["stream_bouts"](spark, SF).collect()
+    want = QUERIES["w_bout_islands"](spark, SF).collect()
+    assert sorted((r[0], round(r[1], 6), round(r[2], 6)) for r in got) == sorted((r.lane, r.bout_start_sec, r.bout_end_sec) for r in want)
+
+
+def test_stream_activity_gives_every_window_of_the_batch_form(spark):
+    rows = load(spark, SF, "events")
+    want = rows.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("start"), F.col("user_id").alias("lane")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    key = lambda r: (str(r.start), r.lane, r.n, round(r.total, 6))
+    assert sorted(map(key, QUERIES["stream_activity"](spark, SF).collect())) == sorted(map(key, want.collect()))
