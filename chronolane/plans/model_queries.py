@@ -12,6 +12,7 @@ from chronolane.operators import images as I
 from chronolane.operators import models as M
 from chronolane.operators import windows as W
 from chronolane.plans.registry import LANE, ORDER, SAMPLES, load, query, rounded, samples
+from chronolane.plans.sequence_queries import bouts
 from chronolane.plans.table_queries import LINES, lines
 
 T0 = 1704067200
@@ -85,7 +86,7 @@ def m_windowed_lag(spark, sf):
 
 @query("m_bout_edge_lag")
 def m_bout_edge_lag(spark, sf):
-    edges = timed(spark, sf).filter("frame % 40 = 0").select("lane", F.col("frame").alias("bout_index"), F.col("h").alias("bout_start_sec"))
+    edges = bouts(spark, sf).select("lane", "bout_index", ((F.col("bout_start_sec") - T0) / 3600).alias("bout_start_sec"))
     return M.edge_lag(_traces(spark, sf), edges, {"lane": "long"}, "h", "a", "b", 0.5, 100.0, 3.0)
 
 
@@ -163,8 +164,7 @@ def w_greedy_range_bouts(spark, sf):
 
 @query("w_greedy_range_bouts_gap")
 def w_greedy_range_bouts_gap(spark, sf):
-    rows = _numbered(spark, sf).filter("pos % 9 <> 0")
-    return G.range_bouts(rows, {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0, gap=1)
+    return G.range_bouts(_numbered(spark, sf), {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0, gap=1)
 
 
 @query("w_temp_gate")

@@ -40,3 +40,31 @@ def test_stream_activity_gives_every_window_of_the_batch_form(spark):
     want = rows.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("start"), F.col("user_id").alias("lane")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     key = lambda r: (str(r.start), r.lane, r.n, round(r.total, 6))
     assert sorted(map(key, QUERIES["stream_activity"](spark, SF).collect())) == sorted(map(key, want.collect()))
+
+
+def test_bout_edge_lag_takes_the_starts_of_bouts(spark, monkeypatch):
+    from chronolane.plans import model_queries
+
+    asked = []
+    real = model_queries.M.edge_lag
+    monkeypatch.setattr(model_queries.M, "edge_lag", lambda df, edges, *a: asked.append(edges) or real(df, edges, *a))
+    got = {r.lane: r for r in QUERIES["m_bout_edge_lag"](spark, SF).collect()}
+    bouts = QUERIES["w_bout_islands"](spark, SF).collect()
+    assert sorted((r.lane, r.bout_index, round(r.bout_start_sec * 3600 + model_queries.T0, 3)) for r in asked[0].collect()) == sorted((r.lane, r.bout_index, round(r.bout_start_sec, 3)) for r in bouts)
+    count = {lane: sum(b.lane == lane for b in bouts) for lane in {b.lane for b in bouts}}
+    assert set(got) == {lane for lane, n in count.items() if n >= 2}
+    assert all(r.n == count[lane] and abs(r.offset_sec - 3) < 0.5 for lane, r in got.items())
+
+
+def test_greedy_bouts_with_gap_take_all_rows(spark):
+    whole = QUERIES["w_greedy_range_bouts"](spark, SF).collect()  # positions of a lane have no gap
+    got = QUERIES["w_greedy_range_bouts_gap"](spark, SF).collect()
+    assert sorted((r.lane, r.first, r.last) for r in got) == sorted(tuple(r) for r in whole)
+
+
+def test_a_jump_of_the_position_ends_a_greedy_bout(spark):
+    from chronolane.operators import greedy as G
+
+    df = spark.createDataFrame([(1, p, float(p), 0.0, 0.0) for p in (0, 1, 2, 5, 6, 7, 8)], "lane long, pos long, t double, x double, y double")
+    found = G.range_bouts(df, {"lane": "long"}, "pos", "t", "x", "y", ["t"], 1.0, 10.0, 2.0, gap=1).collect()
+    assert [tuple(r) for r in found] == [(1, 0, 0, 2, 2.0), (1, 1, 5, 8, 3.0)]
