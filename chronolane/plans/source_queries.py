@@ -140,6 +140,13 @@ def sink_partition_by_lane(spark, sf):
     return spark.read.parquet(path).filter("lane < 5").groupBy(F.col("lane").cast("long").alias("lane")).agg(F.count("*").alias("n"))
 
 
+@query("sink_partition_by_lane_all", f"WITH {SAMPLES} SELECT lane, count(*) AS n FROM s GROUP BY lane")
+def sink_partition_by_lane_all(spark, sf):
+    path = scratch(spark, "lanes")
+    tables.write_by(samples(spark, sf).select("lane", "frame"), path, LANE)
+    return spark.read.parquet(path).groupBy(F.col("lane").cast("long").alias("lane")).agg(F.count("*").alias("n"))
+
+
 @query("sink_manifest_sha256", "SELECT CAST(0 AS BIGINT) AS n_changed")
 def sink_manifest_sha256(spark, sf):
     path = scratch(spark, "manifest")

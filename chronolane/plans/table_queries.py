@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolane.operators import aggregates as A
@@ -40,7 +41,6 @@ def j_asof_nearest(spark, sf):
 SELECT row_number() OVER (ORDER BY l.frame) AS place, l.frame, round(d.rt, 6) AS matched_t FROM l LEFT JOIN (SELECT * FROM d WHERE k = 1) d ON l.lane = d.lane AND l.frame = d.frame""")
 def s_sort_stable_restore(spark, sf):
     left, right = _sides(spark, sf)
-    from pyspark.sql import Window
 
     left = left.withColumn("place", F.row_number().over(Window.orderBy("frame")).cast("long"))
     return rounded(J.asof_nearest(left, right, LANE, "t", ["x"], 1e12).select("place", "frame", "matched_t").orderBy("place"))
@@ -546,8 +546,10 @@ def s_random_frames(spark, sf):
 
 @query("s_linspace_jitter")
 def s_linspace_jitter(spark, sf):
-    at = S.jittered_positions(1000, 50, 2, 7)
-    return load(spark, sf, "events").filter(F.col("event_id").isin(at)).select("event_id")
+    rows = load(spark, sf, "events").select("event_id")
+    at = S.jittered_positions(rows.count(), 50, 2, 7)
+    place = F.row_number().over(Window.orderBy("event_id")) - 1  # of all rows, as positions are
+    return rows.withColumn("_at", place).filter(F.col("_at").isin(at)).select("event_id")
 
 
 @query("s_stratified_sample")

@@ -68,3 +68,15 @@ def test_a_jump_of_the_position_ends_a_greedy_bout(spark):
     df = spark.createDataFrame([(1, p, float(p), 0.0, 0.0) for p in (0, 1, 2, 5, 6, 7, 8)], "lane long, pos long, t double, x double, y double")
     found = G.range_bouts(df, {"lane": "long"}, "pos", "t", "x", "y", ["t"], 1.0, 10.0, 2.0, gap=1).collect()
     assert [tuple(r) for r in found] == [(1, 0, 0, 2, 2.0), (1, 1, 5, 8, 3.0)]
+
+
+def test_jittered_sample_spreads_over_the_whole_table(spark, tmp_path):
+    ids = spark.range(0, 90_000, 3).select(F.col("id").alias("event_id"))  # 30000 rows, ids with gaps
+    ids.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(r.event_id // 3 for r in QUERIES["s_linspace_jitter"](spark, str(tmp_path)).collect())
+    assert len(got) == 50 and all(abs(p - k * 29_999 / 49) <= 3 for k, p in enumerate(got))
+
+
+def test_every_written_lane_is_read_back(spark):
+    got = {r.lane: r.n for r in QUERIES["sink_partition_by_lane_all"](spark, SF).collect()}
+    assert len(got) > 5 and got == {r.user_id: r["count"] for r in load(spark, SF, "events").groupBy("user_id").count().collect()}
