@@ -109,7 +109,7 @@ def arc_fractions(points: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def nearest_path(pixels: DataFrame, path: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The nearest path point of each pixel of the same frame; the first of ties."""
-    p = path.select(*keys, F.col(order).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    p = path.groupBy(*keys, F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(order).alias("_i"))
     far = (F.col("px") - F.col("_x")) ** 2 + (F.col("py") - F.col("_y")) ** 2
     return pixels.join(p, keys).groupBy(*keys, "px", "py").agg(F.min_by("_i", F.struct(far, F.col("_i"))).alias("nearest"))
 
@@ -121,10 +121,11 @@ def guarded(value: Column, least: int, stat: str = "median") -> Column:
 
 
 def curve_percentile(points: DataFrame, pixels: DataFrame, keys: list[str], radius: float, p: float = 0.9) -> DataFrame:
-    """The p-quantile over path points of the hottest pixel near each."""
-    q = points.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    near = pixels.join(q, keys).filter((F.col("px") - F.col("_x")) ** 2 + (F.col("py") - F.col("_y")) ** 2 <= radius * radius)
-    return near.groupBy(*keys, "_x", "_y").agg(F.max("value").alias("_m")).groupBy(*keys).agg(F.percentile("_m", p).alias("curve"))
+    """The p-quantile over path points of the hottest pixel near each; points at one place count each."""
+    q = points.groupBy(*keys, F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.count("*").alias("_n"))
+    hot = pixels.groupBy(*keys, "px", "py").agg(F.max("value").alias("_v"))
+    near = hot.join(q, keys).filter((F.col("px") - F.col("_x")) ** 2 + (F.col("py") - F.col("_y")) ** 2 <= radius * radius)
+    return near.groupBy(*keys, "_x", "_y", "_n").agg(F.max("_v").alias("_m")).groupBy(*keys).agg(F.percentile("_m", p, F.col("_n")).alias("curve"))
 
 
 def iou(pixels: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:

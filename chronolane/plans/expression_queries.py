@@ -243,3 +243,10 @@ SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(CASE WHEN hi > lo THEN floor((CAST(p
 def p_stretch_uint8(spark, sf):
     e = load(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("a"))
     return e.select("vec_id", F.posexplode(C.stretch(F.col("a")))).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").alias("v"))
+
+
+@query("p_stretch_uint8_frame", """WITH e AS (SELECT vec_id, embedding AS a FROM embeddings), f AS (SELECT vec_id, list_min(a) AS lo, list_max(a) AS hi, a FROM e), g AS (SELECT vec_id, lo, hi, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM f)
+SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(CASE WHEN hi > lo THEN floor((CAST(p AS DOUBLE) - CAST(lo AS DOUBLE)) * 255.0 / (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE))) ELSE 0 END AS INTEGER) AS v FROM g""")
+def p_stretch_uint8_frame(spark, sf):
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return e.select("vec_id", F.posexplode(C.stretch(F.col("a")))).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").alias("v"))

@@ -279,17 +279,25 @@ def i_arc_length_fraction(spark, sf):
 
 
 PATH = "path AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i, vec_id % 8 AS x, (vec_id // 8) % 8 AS y FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)"
+WHOLE_PATH = "path AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i, vec_id % 8 AS x, (vec_id // 8) % 8 AS y FROM embeddings)"
 
 
 def _path(spark, sf):
     r = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    e = load(spark, sf, "embeddings").withColumn("i", r).filter("i <= 5")
+    e = load(spark, sf, "embeddings").withColumn("i", r)
     return e.select("label", "i", (F.col("vec_id") % 8).alias("x"), (F.floor(F.col("vec_id") / 8) % 8).alias("y"))
 
 
 @query("i_nearest_path", f"""WITH {PIX}, {PATH}, q AS (SELECT DISTINCT label, px, py FROM px), d AS (SELECT q.label, px, py, i, row_number() OVER (PARTITION BY q.label, px, py ORDER BY (px - x) * (px - x) + (py - y) * (py - y), i) AS k FROM q JOIN path ON q.label = path.label)
 SELECT label, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, i AS nearest FROM d WHERE k = 1""")
 def i_nearest_path(spark, sf):
+    q = pixels(spark, sf).select("label", "px", "py").distinct()
+    return I.nearest_path(q, _path(spark, sf).filter("i <= 5"), ["label"], "i").select("label", F.col("px").cast("long"), F.col("py").cast("long"), "nearest")
+
+
+@query("i_nearest_path_all", f"""WITH {PIX}, {WHOLE_PATH}, q AS (SELECT DISTINCT label, px, py FROM px), d AS (SELECT q.label, px, py, i, row_number() OVER (PARTITION BY q.label, px, py ORDER BY (px - x) * (px - x) + (py - y) * (py - y), i) AS k FROM q JOIN path ON q.label = path.label)
+SELECT label, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, i AS nearest FROM d WHERE k = 1""")
+def i_nearest_path_all(spark, sf):
     q = pixels(spark, sf).select("label", "px", "py").distinct()
     return I.nearest_path(q, _path(spark, sf), ["label"], "i").select("label", F.col("px").cast("long"), F.col("py").cast("long"), "nearest")
 

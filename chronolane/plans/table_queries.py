@@ -41,7 +41,6 @@ def j_asof_nearest(spark, sf):
 SELECT row_number() OVER (ORDER BY l.frame) AS place, l.frame, round(d.rt, 6) AS matched_t FROM l LEFT JOIN (SELECT * FROM d WHERE k = 1) d ON l.lane = d.lane AND l.frame = d.frame""")
 def s_sort_stable_restore(spark, sf):
     left, right = _sides(spark, sf)
-
     left = left.withColumn("place", F.row_number().over(Window.orderBy("frame")).cast("long"))
     return rounded(J.asof_nearest(left, right, LANE, "t", ["x"], 1e12).select("place", "frame", "matched_t").orderBy("place"))
 

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def test_jittered_sample_spreads_over_the_whole_table(spark, tmp_path):
 def test_every_written_lane_is_read_back(spark):
     got = {r.lane: r.n for r in QUERIES["sink_partition_by_lane_all"](spark, SF).collect()}
     assert len(got) > 5 and got == {r.user_id: r["count"] for r in load(spark, SF, "events").groupBy("user_id").count().collect()}
+
+
+def test_stretch_takes_the_whole_frame(spark):
+    e = {r.vec_id: np.array(r.embedding, float) for r in load(spark, SF, "embeddings").limit(20).collect()}
+    got = {}
+    for r in QUERIES["p_stretch_uint8_frame"](spark, SF).filter(F.col("vec_id").isin(list(e))).collect():
+        got.setdefault(r.vec_id, {})[r.i] = r.v
+    for k, a in e.items():
+        assert len(a) > 8 and [got[k][i + 1] for i in range(len(a))] == np.floor((a - a.min()) * 255.0 / (a.max() - a.min())).tolist()
+
+
+def test_paths_are_built_from_all_rows_of_a_label(spark):
+    paths, hot = {}, {}
+    for r in load(spark, SF, "embeddings").orderBy("vec_id").collect():
+        paths.setdefault(r.label, []).append((r.vec_id % 8, r.vec_id // 8 % 8))
+        hot.setdefault(r.label, []).append(np.array(r.embedding, float).reshape(8, 8))
+    y, x = np.mgrid[:8, :8]
+    nearest = {(r.label, r.px, r.py): r.nearest for r in QUERIES["i_nearest_path_all"](spark, SF).collect()}
+    curve = {r.label: r.curve for r in QUERIES["i_curve_max_percentile"](spark, SF).collect()}
+    for k, p in paths.items():
+        top = np.max(hot[k], axis=0)
+        assert curve[k] == pytest.approx(np.percentile([top[(x - a) ** 2 + (y - b) ** 2 <= 2.25].max() for a, b in p], 90))
+        for a in range(8):
+            for b in range(8):
+                assert nearest[k, a, b] == 1 + min(range(len(p)), key=lambda i: ((p[i][0] - a) ** 2 + (p[i][1] - b) ** 2, i))
+    assert max(nearest.values()) > 5
