@@ -67,6 +67,21 @@ def m_resample_grid(spark, sf):
     return rounded(found.select("lane", "g", (F.col("x") + (F.col("x1") - F.col("x")) * (F.col("g") - F.col("h")) / (F.col("h1") - F.col("h"))).alias("v")))
 
 
+@query("m_resample_overlap", f"""WITH {FIT}, w AS (SELECT lane, h, x, lead(h) OVER v AS h1, lead(x) OVER v AS x1 FROM p WINDOW v AS (PARTITION BY lane ORDER BY h, frame)),
+e AS (SELECT lane, CAST(ceil(min(h) / 24) AS BIGINT) AS k0, CAST(floor(max(h) / 24) AS BIGINT) AS k1 FROM p GROUP BY lane), g AS (SELECT lane, CAST(unnest(range(k0, k1 + 1)) * 24 AS DOUBLE) AS g FROM e)
+SELECT g.lane, g.g, round(CASE WHEN h1 IS NULL THEN x ELSE x + (x1 - x) * (g - h) / (h1 - h) END, 6) AS v FROM g JOIN w ON g.lane = w.lane AND h <= g AND (g < h1 OR h1 IS NULL)""")
+def m_resample_overlap(spark, sf):
+    """m_resample_grid from each lane's first grid point to its last."""
+    p = timed(spark, sf)
+    ends = p.groupBy("lane").agg(F.ceil(F.min("h") / 24).alias("k0"), F.floor(F.max("h") / 24).alias("k1")).filter("k0 <= k1")
+    grid = ends.select("lane", F.explode(F.sequence("k0", "k1")).alias("k")).select("lane", (F.col("k") * 24.0).alias("g"))
+    nxt = Window.partitionBy("lane").orderBy("h", "frame")
+    w = p.select("lane", "h", "x", F.lead("h").over(nxt).alias("h1"), F.lead("x").over(nxt).alias("x1"))
+    found = grid.join(w, "lane").filter("h <= g AND (g < h1 OR h1 IS NULL)")
+    between = F.col("x") + (F.col("x1") - F.col("x")) * (F.col("g") - F.col("h")) / (F.col("h1") - F.col("h"))
+    return rounded(found.select("lane", "g", F.when(F.col("h1").isNull(), F.col("x")).otherwise(between).alias("v")))
+
+
 def _traces(spark, sf):
     """Each lane's x, and the same three hours later as a second trace."""
     p = timed(spark, sf)
@@ -252,7 +267,7 @@ def i_iou(spark, sf):
 
 @query("i_sigma_grid_search")
 def i_sigma_grid_search(spark, sf):
-    return I.sigma_search(pixels(spark, sf), ["vec_id"], "value", F.col("px") < 4, [0.5, 1.0, 1.5, 2.0])
+    return I.sigma_search(pixels(spark, sf), ["vec_id"], "value", F.col("px") < 4, [k / 2 for k in range(2, 13)])
 
 
 @query("i_warm_spot", f"WITH {PIX} SELECT vec_id, round(CASE WHEN count(*) >= 5 THEN quantile_cont(value, 0.95) END, 6) AS warm FROM px WHERE px < 3 GROUP BY vec_id")

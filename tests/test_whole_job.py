@@ -107,3 +107,27 @@ def test_paths_are_built_from_all_rows_of_a_label(spark):
             for b in range(8):
                 assert nearest[k, a, b] == 1 + min(range(len(p)), key=lambda i: ((p[i][0] - a) ** 2 + (p[i][1] - b) ** 2, i))
     assert max(nearest.values()) > 5
+
+
+def test_resampling_covers_each_trace(spark):
+    from chronolane.plans.model_queries import timed
+
+    got, traces = {}, {}
+    for r in QUERIES["m_resample_overlap"](spark, SF).collect():
+        got.setdefault(r.lane, {})[r.g] = r.v
+    for r in timed(spark, SF).orderBy("h", "frame").collect():
+        traces.setdefault(r.lane, []).append((r.h, r.x))
+    for lane, trace in traces.items():
+        h, x = np.array(trace).T
+        grid = np.arange(np.ceil(h[0] / 24), np.floor(h[-1] / 24) + 1) * 24
+        assert sorted(got[lane]) == grid.tolist() and [got[lane][g] for g in grid] == pytest.approx(np.interp(grid, h, x).tolist(), abs=1e-5)
+    assert max(g for v in got.values() for g in v) > 28 * 24
+
+
+def test_sigma_search_tries_the_sigmas_of_the_reference(spark, monkeypatch):
+    from chronolane.plans import model_queries
+
+    asked = []
+    monkeypatch.setattr(model_queries.I, "sigma_search", lambda *a: asked.append(a[-1]))
+    QUERIES["i_sigma_grid_search"](spark, SF)
+    assert asked == [[1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]]
