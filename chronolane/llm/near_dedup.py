@@ -3,7 +3,7 @@
 1. Each text becomes its set of word shingles and a signature of ``COORDINATES`` minima.  Documents
    with one set are collapsed to their smallest id.
 2. Every (coordinate, value) pair posts the documents that have it.  A pair above the similarity
-   threshold agrees in at least ``MATCHES`` coordinates except with a probability near 1e-6, so with each
+   threshold agrees in at least ``MATCHES`` coordinates except with a probability of 5e-6, so with each
    document's pairs ordered from the rarest, two such documents share a pair within their first
    ``COORDINATES - MATCHES + 1`` (the prefix); pairs that only one document has are skipped.
 3. First plain groups are contracted: documents that agree in all ``BAND`` coordinates of a band are
@@ -11,7 +11,8 @@
    band.  Prefix lists that then lie in one component need nothing more.  In the others the documents
    are merged block against block: agreements of longer signatures (``FILTER`` bytes, a byte per
    coordinate) are counted, and only pairs in different components with ``FILTER_MATCHES`` or more go on;
-   a pair above the threshold has fewer with a probability near 1e-6.
+   a pair above the threshold has fewer with a probability near 1e-6.  Both counts are those of 75
+   percent; for a smaller percentage ``needed`` lowers them by the same bounds.
 4. What is left is confirmed on the full shingle sets, and the links give connected components.
 
 Scale: counts and smallest ids of lists are partially aggregated before the shuffle; no list, link or
@@ -22,6 +23,7 @@ passed the count.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,25 +124,48 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(bands.ravel().view(np.int64))], ["rep", "band"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in enough coordinates."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-        use = pa.array((a == b).sum(axis=1) >= MATCHES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(use)
+def _most_below(n: int, p: float, miss: float) -> int:
+    """The largest count that a binomial(n, p) stays below with a probability of at most ``miss``."""
+    below, m = 0.0, 0
+    while m < n and (below := below + math.comb(n, m) * p**m * (1 - p) ** (n - m)) <= miss:
+        m += 1
+    return m
+
+
+def needed(percent: int) -> tuple[int, int]:
+    """Agreements asked of a pair's signatures and long signatures, at most those of 75 percent."""
+    p = percent / 100
+    matches, longer = _most_below(COORDINATES, p, 5e-6), _most_below(FILTER, p + (1 - p) / 256, 1.2e-6)
+    if matches < 1:
+        raise ValueError(f"percent = {percent}: too low for {COORDINATES} coordinates, such a pair may agree in none")
+    return min(matches, MATCHES), min(longer, FILTER_MATCHES)
+
+
+def _agreeing(matches: int):
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose signatures agree in enough coordinates."""
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
+            use = pa.array((a == b).sum(axis=1) >= matches)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(use)
+
+    return agreeing
+
 
+def _merge_blocks(matches: int):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs in different components of one block pair of a list whose signatures agree enough."""
+        signs = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(-1, FILTER)
+        rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
+        out = []
+        for k in range(len(rep) - 1):
+            other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+            other = other[(signs[other] == signs[k]).sum(axis=1) >= matches]
+            out.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-def _merge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs in different components of one block pair of a list whose signatures agree enough."""
-    signs = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(-1, FILTER)
-    rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
-    out = []
-    for k in range(len(rep) - 1):
-        other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-        other = other[(signs[other] == signs[k]).sum(axis=1) >= FILTER_MATCHES]
-        out.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return merge
 
 
 def _confirm(percent: int):
@@ -176,8 +201,10 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     one shingle.  Documents are linked if 100 * intersection >= percent * union of their sets;
     component_id is the smallest id reachable.  Null, empty and blank texts have no shingles and are
     linked with nothing.  An id names one document: rows that repeat it share its links.  Rows with a
-    null id get a null component_id and are kept.  An empty input gives an empty result.
+    null id get a null component_id and are kept.  An empty input gives an empty result.  A percentage
+    below 18 is refused.
     """
+    matches, longer = needed(percent)
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -200,16 +227,16 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     hubs = ws.table(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").drop("n"), "hubs")
     pairs = bands.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     a, b = (signs.select(F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(_agreeing, "a long, b long")
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(_agreeing(matches), "a long, b long")
     pairs = ws.table(pairs, "pairs")
     links = confirmed(pairs, "links")
     first = components(links, ws, "first")
-    # postings: lists of one are skipped; each document keeps its rarest COORDINATES - MATCHES + 1
+    # postings: lists of one are skipped; each document keeps its rarest COORDINATES - matches + 1
     posts = signs.mapInArrow(_tokens, "rep long, token long")
     lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
     shared = posts.join(lists, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
-    prefix = F.transform(F.slice("own", 1, F.size("own") - (MATCHES - 1)), lambda x: x["token"])
-    shared = shared.filter(F.size("own") >= MATCHES).select("rep", prefix.alias("own"))
+    prefix = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda x: x["token"])
+    shared = shared.filter(F.size("own") >= matches).select("rep", prefix.alias("own"))
     placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.explode("own").alias("token"))
     placed = ws.table(placed, "placed")
     # lists that still lie in several components
@@ -218,7 +245,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     rows = placed.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("rep", "comp", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes.select("rep", "long"), "rep")
-    more = rows.groupBy("token", "i", "j").applyInPandas(_merge_blocks, "a long, b long").distinct()
+    more = rows.groupBy("token", "i", "j").applyInPandas(_merge_blocks(longer), "a long, b long").distinct()
     late = confirmed(ws.table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "block_pairs"), "block_links")
     ws.drop("placed", "lists", "hubs", "open")
     # rows that share an id but not a set tie their classes together
