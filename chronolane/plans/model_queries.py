@@ -11,6 +11,7 @@ from chronolane.operators import greedy as G
 from chronolane.operators import images as I
 from chronolane.operators import models as M
 from chronolane.operators import windows as W
+from chronolane.operators.columns import homography
 from chronolane.plans.registry import LANE, ORDER, SAMPLES, load, query, rounded, samples
 from chronolane.plans.sequence_queries import bouts
 from chronolane.plans.table_queries import LINES, lines
@@ -105,15 +106,32 @@ def m_bout_edge_lag(spark, sf):
     return M.edge_lag(_traces(spark, sf), edges, {"lane": "long"}, "h", "a", "b", 0.5, 100.0, 3.0)
 
 
-@query("m_trajectory_sync")
-@query("m_alt_regime_fit")
-def m_trajectory_sync(spark, sf):
-    lane = timed(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x"))).alias("s"))
+#: Base homographies of the two orientations of a camera.
+OWN_BASE, OTHER_BASE = [1, 0, 0, 0, 1, 0, 0, 0, 1], [-1, 0, 300, 0, 1, 0, 0, 0, 1]
+
+
+def _clocks(spark, sf, base):
+    """Each lane's clock if the second track is warped by a base homography."""
+    lane = timed(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x", "y"))).alias("s"))
     h, x = F.transform("s", lambda v: v["h"]), F.transform("s", lambda v: v["x"])
-    arrays = lane.select("lane", F.transform(h, lambda v: v * 8).alias("frames"), x.alias("x"), F.transform(h, lambda v: v + 5.5).alias("t"), x.alias("tx"))
+    warped = F.transform("s", lambda v: homography([F.lit(float(c)) for c in base], v["x"], v["y"])["x"])
+    arrays = lane.select("lane", F.transform(h, lambda v: v * 8).alias("frames"), x.alias("x"), F.transform(h, lambda v: v + 5.5).alias("t"), warped.alias("tx"))
     return M.trajectory_sync(arrays, outlier=15.0, gap=200.0, least=20, apart=5.0)
 
 
+@query("m_trajectory_sync")
+def m_trajectory_sync(spark, sf):
+    return _clocks(spark, sf, OWN_BASE)
+
+
+@query("m_alt_regime_fit")
+def m_alt_regime_fit(spark, sf):
+    """The fit under the other base homography beside the lane's own, which should have the clearly smaller loss."""
+    own = m_trajectory_sync(spark, sf).select("lane", "offset_sec", "loss")
+    other = _clocks(spark, sf, OTHER_BASE).select("lane", F.col("offset_sec").alias("alt_offset_sec"), F.col("loss").alias("alt_loss"))
+    return own.join(other, "lane", "left").withColumn("own_fits_better", F.col("loss") < F.col("alt_loss"))
+
+
 @query("m_orientation_check", f"WITH {SAMPLES} SELECT lane, count(*) AS n, 'a' AS better FROM s GROUP BY lane")
 def m_orientation_check(spark, sf):
     pairs = samples(spark, sf).select("lane", "x", "y", (F.col("x") + 2).alias("u"), F.col("y").alias("v"))
@@ -134,7 +152,6 @@ def a_paired_tests(spark, sf):
 
 
 @query("m_lmm")
-@query("m_timeseries_lmm")
 def m_lmm(spark, sf):
     per = lines(spark, sf).groupBy("session", "mouse", "virus", "injection").agg(F.avg("y").alias("y"))
     return M.factor_model(per, "y", "injection", "mouse", "R", {"virus": "string"})
@@ -335,7 +352,6 @@ def _per_frame(spark, sf, kernel, schema):
 
 
 @query("i_segment_blob")
-@query("i_track_row")
 def i_segment_blob(spark, sf):
     def kernel(f):
         s = I.segment(f * 100, np.full(f.shape, np.median(f) * 100), 0.5, 2, 60)

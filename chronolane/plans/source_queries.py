@@ -110,7 +110,6 @@ def seq_random_access(spark, sf):
 
 
 @query("i_warp_mask")
-@query("i_measure_sample")
 def i_warp_mask(spark, sf):
     """A disk carried into another view, where the warm spot under it is measured."""
     moved = [(3.0 + 2.0, 3.0 + 1.0)]

@@ -131,3 +131,15 @@ def test_sigma_search_tries_the_sigmas_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(model_queries.I, "sigma_search", lambda *a: asked.append(a[-1]))
     QUERIES["i_sigma_grid_search"](spark, SF)
     assert asked == [[1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]]
+
+
+def test_alt_regime_fit_compares_two_homographies(spark):
+    own = {r.lane: r.loss for r in QUERIES["m_trajectory_sync"](spark, SF).collect()}
+    got = QUERIES["m_alt_regime_fit"](spark, SF).collect()
+    assert {r.lane: r.loss for r in got} == own
+    assert all(r.own_fits_better and r.alt_loss > r.loss + 0.1 for r in got)
+
+
+def test_no_method_is_a_second_name_of_another():
+    for name, other in [("m_timeseries_lmm", "m_lmm"), ("m_alt_regime_fit", "m_trajectory_sync"), ("i_track_row", "i_segment_blob"), ("i_measure_sample", "i_warp_mask")]:
+        assert QUERIES.get(name) is not QUERIES[other]
