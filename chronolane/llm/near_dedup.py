@@ -1,23 +1,25 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 1. Each text becomes its set of word shingles and a signature of ``COORDINATES`` minima.  Documents
-   with one set are collapsed to their smallest id.
-2. Every (coordinate, value) pair posts the documents that have it.  A pair above the similarity
-   threshold agrees in at least ``MATCHES`` coordinates except with a probability of 5e-6, so with each
-   document's pairs ordered from the rarest, two such documents share a pair within their first
-   ``COORDINATES - MATCHES + 1`` (the prefix); pairs that only one document has are skipped.
-3. First plain groups are contracted: documents that agree in all ``BAND`` coordinates of a band are
-   compared with the smallest of them, so a group of any size costs one comparison per document and
-   band.  Prefix lists that then lie in one component need nothing more.  In the others the documents
-   are merged block against block: agreements of longer signatures (``FILTER`` bytes, a byte per
-   coordinate) are counted, and only pairs in different components with ``FILTER_MATCHES`` or more go on;
-   a pair above the threshold has fewer with a probability near 1e-6.  Both counts are those of 75
-   percent; for a smaller percentage ``needed`` lowers them by the same bounds.
-4. What is left is confirmed on the full shingle sets, and the links give connected components.
-
-Scale: counts and smallest ids of lists are partially aggregated before the shuffle; no list, link or
-component is collected; a block pair holds 2 x ``BLOCK`` signatures; texts travel only for pairs that
-passed the count.
+   with one set are collapsed to a class named by its smallest id.
+2. Every (coordinate, value) pair posts the classes that have it.  A pair at or above the similarity
+   threshold collides in at least ``needed(percent)`` coordinates except with a probability of ``MISS``,
+   so with each class's pairs ordered from the rarest, two such classes share a pair within their first
+   ``COORDINATES - needed + 1`` (the prefix).  Pairs that only one class has are skipped, and so is every
+   class with fewer shared pairs than needed; of lists with the same members one is kept.
+3. Lists are dealt in blocks.  In a block a class's collisions with the classes of other components are
+   counted coordinate stride by stride, and a class is skipped as soon as what is left can't reach the
+   match threshold.  Pairs that reach it are confirmed on the full shingle sets there and then, and a
+   confirmed link joins their components.  A block thus emits a spanning forest of confirmed links, fewer
+   than it has rows.
+4. A list of one block is finished then.  In longer lists that still lie in several components, every
+   class outside the list's largest component meets every class of the list, block by block.
+
+Scale: counts, members and smallest ids of lists are partially aggregated before the shuffle; no list,
+link or component is collected; a task holds two blocks, which are bounded by rows and by bytes of sets.
+Sets travel only for classes whose prefix is shared.  Work is quadratic only in classes of one list that
+lie outside its largest component once each block is contracted; what is shuffled for them is divided by
+the block size, and nothing is emitted for them but links.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +39,15 @@ from chronolane.llm.textscan import NON_SPACE, chunks, mix, scan
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 32
-BAND = 4
-FILTER = 512
-FILTER_MATCHES = 337  # of 512 x 0.75 = 384 expected, with a deviation of 9.8
+MISS = 1e-10  # chance that a pair at exactly the threshold collides in too few coordinates
+STRIDE = 16
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-_FMUL = _rng.integers(0, 2**63, FILTER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FADD = _rng.integers(0, 2**63, FILTER, dtype=np.uint64)
 _ORDER = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,126 +70,137 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _minima(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 64):  # small enough for a core's cache
-        out = np.minimum(out, (shingles[k : k + 64, None] * mul + add).min(axis=0))
-    return out
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One minimum per coordinate, as 32-bit values."""
-    return (_minima(shingles, _MUL, _ADD) >> np.uint64(32)).astype(np.uint32)
+    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 256):  # small enough for a core's cache
+        out = np.minimum(out, (shingles[k : k + 256, None] * _MUL + _ADD).min(axis=0))
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def long_signature(shingles: np.ndarray) -> np.ndarray:
-    """A byte of each of FILTER further minima."""
-    return (mix(_minima(shingles, _FMUL, _FADD)) & np.uint64(0xFF)).astype(np.uint8)
+def _same(shingles: np.ndarray) -> bytes:
+    """The class of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, sets, signs, longs = [], [], [], []
+        sizes, same, signs = [], [], []
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
-            sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            same.append(_same(s) if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
-            longs.append(long_signature(s).tobytes() if len(s) else None)
-        columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, signs, longs))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "same", "sign", "long"])
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(signs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "same", "sign"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, token) of each coordinate; a token is coordinate << 32 | value."""
-    coords = np.arange(COORDINATES, dtype=np.int64) << 32
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, same, items): the full set of each text."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
-            signs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), COORDINATES)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array((signs.astype(np.int64) | coords).ravel())], ["rep", "token"])
+        for a, b in chunks(batch.column(1), CHUNK_BYTES):
+            part = batch.slice(a, b - a)
+            sets = list(shingle_sets(part.column(1)))
+            columns = [part.column(0), pa.array([_same(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "same", "items"])
+
 
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, band) of each band of coordinates; a band is a hash of its place and its values."""
-    place = np.arange(COORDINATES // BAND, dtype=np.uint64)
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, same, n, token) of each coordinate; a token is coordinate << 32 | value."""
+    coords = np.arange(COORDINATES, dtype=np.int64) << 32
     for batch in batches:
         for k in range(0, batch.num_rows, 4096):
             part = batch.slice(k, 4096)
-            signs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES // BAND, BAND)
-            bands = mix((mix(signs.astype(np.uint64) + np.uint64(1)) * _MUL[:BAND]).sum(axis=2) + place)
-            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), COORDINATES // BAND)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(bands.ravel().view(np.int64))], ["rep", "band"])
+            tokens = (_signs(part.column(3)).astype(np.int64) | coords).ravel()
+            at = pa.array(np.repeat(np.arange(part.num_rows), COORDINATES))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(3)), pa.array(tokens)], ["rep", "same", "n", "token"])
 
 
-def _most_below(n: int, p: float, miss: float) -> int:
-    """The largest count that a binomial(n, p) stays below with a probability of at most ``miss``."""
-    below, m = 0.0, 0
-    while m < n and (below := below + math.comb(n, m) * p**m * (1 - p) ** (n - m)) <= miss:
+def needed(percent: int) -> int:
+    """Collisions asked of a pair: fewer have a probability of at most ``MISS`` at exactly ``percent``."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISS:
         m += 1
-    return m
-
-
-def needed(percent: int) -> tuple[int, int]:
-    """Agreements asked of a pair's signatures and long signatures, at most those of 75 percent."""
-    p = percent / 100
-    matches, longer = _most_below(COORDINATES, p, 5e-6), _most_below(FILTER, p + (1 - p) / 256, 1.2e-6)
-    if matches < 1:
+    if m < 1:
         raise ValueError(f"percent = {percent}: too low for {COORDINATES} coordinates, such a pair may agree in none")
-    return min(matches, MATCHES), min(longer, FILTER_MATCHES)
-
-
-def _agreeing(matches: int):
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose signatures agree in enough coordinates."""
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-            use = pa.array((a == b).sum(axis=1) >= matches)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(use)
-
-    return agreeing
-
-
-def _merge_blocks(matches: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs in different components of one block pair of a list whose signatures agree enough."""
-        signs = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(-1, FILTER)
-        rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
-        out = []
-        for k in range(len(rep) - 1):
-            other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-            other = other[(signs[other] == signs[k]).sum(axis=1) >= matches]
-            out.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return m
 
-    return merge
 
+def forest(signs: np.ndarray, sets: list[np.ndarray], label: np.ndarray, queries: np.ndarray, others: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components (``label``, changed in place) of ``queries`` with those of ``others``.
 
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two rows are linked if their signatures collide in at least ``matches`` coordinates and
+    100 * intersection >= percent * union of their sets.  Pairs within a component aren't looked at, so at
+    most one link is given for each component that vanishes.
+    """
+    size = np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
+    item = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    mark = np.zeros(len(item), bool)
+    whole, links = queries is others, []
+    for k, q in enumerate(queries.tolist()):
+        alive = others[k + 1 :] if whole else others
+        alive = alive[label[alive] != label[q]]
+        alive = alive[percent * np.maximum(size[alive], size[q]) <= 100 * np.minimum(size[alive], size[q])]
+        hits = np.zeros(len(alive), np.int64)
+        for c in range(0, COORDINATES, STRIDE):
+            hits += (signs[alive, c : c + STRIDE] == signs[q, c : c + STRIDE]).sum(axis=1)
+            reach = hits + (COORDINATES - STRIDE - c) >= matches
+            alive, hits = alive[reach], hits[reach]
+        if not len(alive):
+            continue
+        alive = alive[np.argsort(-hits, kind="stable")]
+        own = item[first[q] : first[q] + size[q]]
+        mark[own] = True
+        while len(alive):
+            some, alive = alive[:64], alive[64:]
+            begin = np.cumsum(size[some]) - size[some]
+            at = np.arange(int(size[some].sum())) + np.repeat(first[some] - begin, size[some])
+            both = np.add.reduceat(mark[item[at]].astype(np.int64), begin)
+            for x in some[100 * both >= percent * (size[q] + size[some] - both)].tolist():
+                if label[x] != label[q]:
+                    links.append((q, x))
+                    label[label == label[x]] = label[q]
+            alive = alive[label[alive] != label[q]]
+        mark[own] = False
+    return links
+
+
+def _block_links(matches: int, percent: int):
+    def of_block(rows: pa.Table) -> pa.RecordBatch:
+        names = pa.chunked_array([*rows.column("rep").chunks, *rows.column("comp").chunks]).combine_chunks().dictionary_encode()
+        code = names.indices.to_numpy()
+        rep, label = code[: rows.num_rows], code[rows.num_rows :].copy()
+        outside = rows.column("outside").to_numpy()
+        everyone = np.arange(rows.num_rows)
+        queries, others = (np.flatnonzero(outside), np.flatnonzero(~outside)) if outside.any() else (everyone, everyone)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
+        links = np.array(forest(_signs(rows.column("sign")), sets, label, queries, others, matches, percent), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(rep[links[:, k]])) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (token, i, j); a block may lie across batches."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for s, e in chunks(batch.column(2), CHUNK_BYTES):
-                part = batch.slice(s, e - s)
-                ids = part.column(1).to_pylist()
-                firsts = [k for k in range(len(ids)) if k == 0 or ids[k] != ids[k - 1]]  # rows come sorted by b
-                others = shingle_sets(part.column(3).take(pa.array(firsts)))
-                hub, ok, starts = None, [], set(firsts)
-                for k, own in enumerate(shingle_sets(part.column(2))):
-                    if k in starts:
-                        hub = next(others)
-                    inter = len(np.intersect1d(own, hub, assume_unique=True))
-                    ok.append(100 * inter >= percent * (len(own) + len(hub) - inter))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return confirm
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets, written."""
-    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
-    return ws.table(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), name)
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            last = [held[-1].column(c)[0].as_py() for c in range(3)] if held else key[:, 0].tolist()
+            changed = np.any(key != np.concatenate([np.array(last).reshape(3, 1), key[:, :-1]], axis=1), axis=0)
+            at = 0
+            for cut in np.flatnonzero(changed).tolist():
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
+                yield of_block(pa.Table.from_batches(held))
+                held, at = [], cut
+            held.append(batch.slice(at))
+        if held:
+            yield of_block(pa.Table.from_batches(held))
+
+    return run
 
 
 def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: int = 75) -> DataFrame:
@@ -200,62 +209,69 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     Words are runs of anything but space and \\t-\\r, A-Z lower-cased; a text of fewer than five words is
     one shingle.  Documents are linked if 100 * intersection >= percent * union of their sets;
     component_id is the smallest id reachable.  Null, empty and blank texts have no shingles and are
-    linked with nothing.  An id names one document: rows that repeat it share its links.  Rows with a
-    null id get a null component_id and are kept.  An empty input gives an empty result.  A percentage
-    below 18 is refused.
+    linked with nothing.  An id, of any type with an order, names one document: rows that repeat it share
+    its links.  Rows with a null id get a null component_id and are kept.  Other columns, whatever their
+    names, are not looked at.  A very long text is held whole with its set (8 bytes a shingle) and goes
+    into a block of its own if need be.  An empty input gives an empty result.  A percentage so low that
+    pairs may collide nowhere is refused.
     """
-    matches, longer = needed(percent)
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near")
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = ws.table(source.mapInArrow(_sign, "id long, n long, same binary, sign binary, long binary"), "signed")
-    classes = signed.filter("id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("long").alias("long"))
-    classes = ws.table(classes, "classes")
-    signs = classes.select("rep", "sign")
-    texts = source.withColumnRenamed("id", "rep")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among pairs; texts are read for the documents in question alone."""
-        held = ws.table(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), f"{name}_held")
-        read = ws.table(texts.join(held, "rep", "left_semi"), f"{name}_texts")
-        links = _confirmed(pairs, read, ws, name, percent)
-        ws.drop(f"{name}_held", f"{name}_texts")
-        return links
-
-    # plain groups: everyone against the smallest document of its bands
-    bands = signs.mapInArrow(_bands, "rep long, band long")
-    hubs = ws.table(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").drop("n"), "hubs")
-    pairs = bands.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    a, b = (signs.select(F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(_agreeing(matches), "a long, b long")
-    pairs = ws.table(pairs, "pairs")
-    links = confirmed(pairs, "links")
-    first = components(links, ws, "first")
-    # postings: lists of one are skipped; each document keeps its rarest COORDINATES - matches + 1
-    posts = signs.mapInArrow(_tokens, "rep long, token long")
-    lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    shared = posts.join(lists, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    matches = needed(percent)
+    kind = docs.schema[id].dataType.simpleString()
+    ws = Workspace(docs.sparkSession, "near")
+    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    signed = ws.table(source.mapInArrow(_sign, f"id {kind}, n long, same binary, sign binary"), "signed")
+    named = signed.filter("id IS NOT NULL AND same IS NOT NULL")
+    classes = ws.table(named.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
+
+    # postings: lists of one are skipped; each class keeps its rarest COORDINATES - matches + 1
+    posts = classes.select("rep", "same", "n", "sign").mapInArrow(_postings, f"rep {kind}, same binary, n long, token long")
+    lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("posted")).filter("posted > 1"), "lists")
+    shared = posts.join(lists, "token").groupBy("rep", "same", "n").agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own"))
     prefix = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda x: x["token"])
-    shared = shared.filter(F.size("own") >= matches).select("rep", prefix.alias("own"))
-    placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.explode("own").alias("token"))
-    placed = ws.table(placed, "placed")
-    # lists that still lie in several components
-    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    open_ = ws.table(open_.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = placed.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("rep", "comp", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes.select("rep", "long"), "rep")
-    more = rows.groupBy("token", "i", "j").applyInPandas(_merge_blocks(longer), "a long, b long").distinct()
-    late = confirmed(ws.table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "block_pairs"), "block_links")
-    ws.drop("placed", "lists", "hubs", "open")
+    placed = ws.table(shared.filter(F.size("own") >= matches).select("rep", "same", "n", F.explode(prefix).alias("token")), "placed")
+    # of lists with the same members one is kept
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "rep", "same")).alias(f"x{k}") for k in (0, 1)]
+    members = placed.groupBy("token").agg(F.count("*").alias("rows"), F.sum("n").alias("items"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), *digests)
+    members = members.filter("rows > 1").groupBy("rows", "items", "lo", "hi", "x0", "x1").agg(F.min("token").alias("token"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("items") * 8 / BLOCK_BYTES)).cast("int")
+    kept = ws.table(members.select("token", blocks.alias("blocks")), "kept")
+    place = lambda n: F.pmod(F.xxhash64("token", "rep", "same"), n).cast("int")
+    dealt = ws.table(placed.join(kept, "token").select("token", "rep", "same", "blocks", place("blocks").alias("block")), "dealt")
+    ws.drop("lists", "placed", "kept")
+
+    # full sets of the classes in lists
+    active = ws.table(dealt.select("rep", "same").distinct().join(classes.select("same", "sign"), "same"), "active")
+    texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct(), "rep", "left_semi")
+    found = texts.mapInArrow(_sets, f"rep {kind}, same binary, items binary").dropDuplicates(["rep", "same"])
+    sets = ws.table(found.join(active, ["rep", "same"]), "sets")
+
+    def linked(rows: DataFrame, name: str) -> DataFrame:
+        """Confirmed links of the blocks (token, i, j) in rows, written."""
+        full = rows.join(sets, ["rep", "same"]).select("token", "i", "j", "outside", "rep", "comp", "sign", "items")
+        full = full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        return ws.table(full.mapInArrow(_block_links(matches, percent), f"a {kind}, b {kind}"), name)
+
+    links = linked(dealt.select("token", "rep", "same", F.col("block").alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp")), "links")
     # rows that share an id but not a set tie their classes together
-    ties = signed.filter("id IS NOT NULL AND same IS NOT NULL").join(classes.select("same", "rep"), "same").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    ends = classes.select(F.col("rep").alias("a")).distinct()
-    ties = ties.join(ends, "a", "left_semi")
-    final = components(links.select("a", "b").union(late).union(ties), ws, "final")
-    members = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    ties = named.join(classes.select("same", "rep"), "same").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    ties = ties.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
+    final = components(links.union(ties), ws, "first")
+
+    # lists of several blocks that still lie in several components
+    long = dealt.filter("blocks > 1").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    held = long.groupBy("token", "blocks", "comp").agg(F.count("*").alias("rows"))
+    held = held.groupBy("token", "blocks").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("comp", "rows").alias("largest")).filter("rows > most")
+    outer = F.ceil((F.col("rows") - F.col("most")) / F.col("rows") * F.col("blocks")).cast("int")
+    open_ = ws.table(held.select("token", "largest", outer.alias("outer")), "open")
+    if not open_.isEmpty():
+        long = long.join(open_, "token").withColumn("outside", F.col("comp") != F.col("largest"))
+        every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "rep", "same", "comp")
+        queries = long.filter("outside").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "rep", "same", "comp")
+        final = components(links.union(ties).union(linked(every.union(queries), "more_links")), ws, "final")
+    ws.drop("dealt", "active", "sets", "open")
+    all_ = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
-    return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    return all_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: int = 75) -> DataFrame:
