@@ -7,19 +7,20 @@
    so with each class's pairs ordered from the rarest, two such classes share a pair within their first
    ``COORDINATES - needed + 1`` (the prefix).  Pairs that only one class has are skipped, and so is every
    class with fewer shared pairs than needed; of lists with the same members one is kept.
-3. Lists are dealt in blocks.  In a block a class's collisions with the classes of other components are
-   counted coordinate stride by stride, and a class is skipped as soon as what is left can't reach the
-   match threshold.  Pairs that reach it are confirmed on the full shingle sets there and then, and a
-   confirmed link joins their components.  A block thus emits a spanning forest of confirmed links, fewer
-   than it has rows.
-4. A list of one block is finished then.  In longer lists that still lie in several components, every
-   class outside the list's largest component meets every class of the list, block by block.
+3. In each list a class's collisions with the classes of other components are counted coordinate stride
+   by stride, and a class is skipped as soon as what is left can't reach the match threshold.  Pairs that
+   reach it make candidate components.  A candidate component of one block is confirmed as a whole, so
+   its texts travel once; in larger ones the lists are confirmed, dealt in blocks.
+4. In a block pairs with enough collisions are confirmed on the full shingle sets, and a confirmed link
+   joins their components.  A block emits its joined components as stars, fewer rows than it has.
+5. In lists of several blocks that still lie in several components, every class outside the list's
+   largest component meets every class of the list, block by block.
 
 Scale: counts, members and smallest ids of lists are partially aggregated before the shuffle; no list,
 link or component is collected; a task holds two blocks, which are bounded by rows and by bytes of sets.
-Sets travel only for classes whose prefix is shared.  Work is quadratic only in classes of one list that
-lie outside its largest component once each block is contracted; what is shuffled for them is divided by
-the block size, and nothing is emitted for them but links.
+Texts travel only for classes of candidate components.  Work is quadratic only in classes of one list
+that lie outside its largest component once each block is contracted; what is shuffled for them is
+divided by the block size, and nothing is emitted for them but links.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,29 +96,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["id", "n", "same", "sign"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, same, items): the full set of each text."""
-    for batch in batches:
-        for a, b in chunks(batch.column(1), CHUNK_BYTES):
-            part = batch.slice(a, b - a)
-            sets = list(shingle_sets(part.column(1)))
-            columns = [part.column(0), pa.array([_same(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "same", "items"])
-
-
 def _signs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, same, n, token) of each coordinate; a token is coordinate << 32 | value."""
+    """(rep, cls, token) of each coordinate; a token is coordinate << 32 | value."""
     coords = np.arange(COORDINATES, dtype=np.int64) << 32
     for batch in batches:
         for k in range(0, batch.num_rows, 4096):
             part = batch.slice(k, 4096)
-            tokens = (_signs(part.column(3)).astype(np.int64) | coords).ravel()
+            tokens = (_signs(part.column(2)).astype(np.int64) | coords).ravel()
             at = pa.array(np.repeat(np.arange(part.num_rows), COORDINATES))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(3)), pa.array(tokens)], ["rep", "same", "n", "token"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in (0, 1)), pa.array(tokens)], ["rep", "cls", "token"])
 
 
 def needed(percent: int) -> int:
@@ -129,32 +121,34 @@ def needed(percent: int) -> int:
     return m
 
 
-def forest(signs: np.ndarray, sets: list[np.ndarray], label: np.ndarray, queries: np.ndarray, others: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join the components (``label``, changed in place) of ``queries`` with those of ``others``.
+def forest(signs: np.ndarray, sets: list[np.ndarray] | None, label: np.ndarray, queries: np.ndarray, others: np.ndarray, matches: int, percent: int) -> None:
+    """Join the components (``label``, changed in place) of ``queries`` with those of ``others``.
 
-    Two rows are linked if their signatures collide in at least ``matches`` coordinates and
-    100 * intersection >= percent * union of their sets.  Pairs within a component aren't looked at, so at
-    most one link is given for each component that vanishes.
+    Two rows are candidates if their signatures collide in at least ``matches`` coordinates, and linked if
+    also 100 * intersection >= percent * union of their sets; without sets candidates count as linked.
+    Pairs within a component aren't looked at.
     """
-    size = np.array([len(s) for s in sets])
-    first = np.cumsum(size) - size
-    item = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
-    mark = np.zeros(len(item), bool)
-    whole, links = queries is others, []
+    if sets is not None:
+        size = np.array([len(s) for s in sets])
+        first = np.cumsum(size) - size
+        item = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(len(item), bool)
+    whole = queries is others
     for k, q in enumerate(queries.tolist()):
         alive = others[k + 1 :] if whole else others
         alive = alive[label[alive] != label[q]]
-        alive = alive[percent * np.maximum(size[alive], size[q]) <= 100 * np.minimum(size[alive], size[q])]
+        if sets is not None:
+            alive = alive[percent * np.maximum(size[alive], size[q]) <= 100 * np.minimum(size[alive], size[q])]
         hits = np.zeros(len(alive), np.int64)
         for c in range(0, COORDINATES, STRIDE):
             hits += (signs[alive, c : c + STRIDE] == signs[q, c : c + STRIDE]).sum(axis=1)
             reach = hits + (COORDINATES - STRIDE - c) >= matches
             alive, hits = alive[reach], hits[reach]
-        if not len(alive):
+        if sets is None:
+            label[np.isin(label, label[alive])] = label[q]
             continue
         alive = alive[np.argsort(-hits, kind="stable")]
-        own = item[first[q] : first[q] + size[q]]
-        mark[own] = True
+        mark[item[first[q] : first[q] + size[q]]] = True
         while len(alive):
             some, alive = alive[:64], alive[64:]
             begin = np.cumsum(size[some]) - size[some]
@@ -162,25 +156,35 @@ def forest(signs: np.ndarray, sets: list[np.ndarray], label: np.ndarray, queries
             both = np.add.reduceat(mark[item[at]].astype(np.int64), begin)
             for x in some[100 * both >= percent * (size[q] + size[some] - both)].tolist():
                 if label[x] != label[q]:
-                    links.append((q, x))
                     label[label == label[x]] = label[q]
             alive = alive[label[alive] != label[q]]
-        mark[own] = False
-    return links
+        mark[item[first[q] : first[q] + size[q]]] = False
+
+
+def _joined(rows: pa.Table, matches: int, percent: int) -> pa.RecordBatch:
+    """Stars (a, b) over the components that one block joins; a is the smallest."""
+    comp = rows.column("comp").combine_chunks()
+    signs, keep, sets = _signs(rows.column("sign")), np.arange(rows.num_rows), None
+    if "text" in rows.column_names:
+        sets = list(shingle_sets(rows.column("text").combine_chunks()))
+        same = rows.column("same").to_pylist()
+        keep = np.array([k for k, s in enumerate(sets) if len(s) and _same(s) == same[k]], np.int64)  # rows that repeat an id may hold other texts
+        sets = [sets[k] for k in keep]
+    names = comp.unique()
+    names = names.take(pc.sort_indices(names))
+    code = pc.index_in(comp, names).to_numpy()[keep]
+    label, everyone = code.copy(), np.arange(len(keep))
+    outside = rows.column("outside").to_numpy()[keep]
+    queries, others = (np.flatnonzero(outside), np.flatnonzero(~outside)) if outside.any() else (everyone, everyone)
+    if len(keep):
+        forest(signs[keep], sets, label, queries, others, matches, percent)
+    code, at = np.unique(code, return_index=True)
+    _, first, back = np.unique(label[at], return_index=True, return_inverse=True)
+    hub = code[first][back]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(x[hub != code])) for x in (hub, code)], ["a", "b"])
 
 
 def _block_links(matches: int, percent: int):
-    def of_block(rows: pa.Table) -> pa.RecordBatch:
-        names = pa.chunked_array([*rows.column("rep").chunks, *rows.column("comp").chunks]).combine_chunks().dictionary_encode()
-        code = names.indices.to_numpy()
-        rep, label = code[: rows.num_rows], code[rows.num_rows :].copy()
-        outside = rows.column("outside").to_numpy()
-        everyone = np.arange(rows.num_rows)
-        queries, others = (np.flatnonzero(outside), np.flatnonzero(~outside)) if outside.any() else (everyone, everyone)
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
-        links = np.array(forest(_signs(rows.column("sign")), sets, label, queries, others, matches, percent), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(rep[links[:, k]])) for k in (0, 1)], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (token, i, j); a block may lie across batches."""
         held: list[pa.RecordBatch] = []
@@ -194,11 +198,11 @@ def _block_links(matches: int, percent: int):
             for cut in np.flatnonzero(changed).tolist():
                 if cut > at:
                     held.append(batch.slice(at, cut - at))
-                yield of_block(pa.Table.from_batches(held))
+                yield _joined(pa.Table.from_batches(held), matches, percent)
                 held, at = [], cut
             held.append(batch.slice(at))
         if held:
-            yield of_block(pa.Table.from_batches(held))
+            yield _joined(pa.Table.from_batches(held), matches, percent)
 
     return run
 
@@ -211,8 +215,8 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     component_id is the smallest id reachable.  Null, empty and blank texts have no shingles and are
     linked with nothing.  An id, of any type with an order, names one document: rows that repeat it share
     its links.  Rows with a null id get a null component_id and are kept.  Other columns, whatever their
-    names, are not looked at.  A very long text is held whole with its set (8 bytes a shingle) and goes
-    into a block of its own if need be.  An empty input gives an empty result.  A percentage so low that
+    names, are not looked at.  A very long text is held whole with its set (8 bytes a shingle) in the
+    block that it falls into.  An empty input gives an empty result.  A percentage so low that
     pairs may collide nowhere is refused.
     """
     matches = needed(percent)
@@ -223,35 +227,54 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     named = signed.filter("id IS NOT NULL AND same IS NOT NULL")
     classes = ws.table(named.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
 
+    classes = classes.withColumn("cls", F.xxhash64("same"))
+    of_class = ["rep", "cls"]
+
     # postings: lists of one are skipped; each class keeps its rarest COORDINATES - matches + 1
-    posts = classes.select("rep", "same", "n", "sign").mapInArrow(_postings, f"rep {kind}, same binary, n long, token long")
+    posts = classes.select("rep", "cls", "sign").mapInArrow(_postings, f"rep {kind}, cls long, token long")
     lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("posted")).filter("posted > 1"), "lists")
-    shared = posts.join(lists, "token").groupBy("rep", "same", "n").agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own"))
+    shared = posts.join(lists, "token").groupBy(of_class).agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own"))
     prefix = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda x: x["token"])
-    placed = ws.table(shared.filter(F.size("own") >= matches).select("rep", "same", "n", F.explode(prefix).alias("token")), "placed")
+    placed = shared.filter(F.size("own") >= matches).join(classes.select("rep", "cls", "n"), of_class)
+    placed = ws.table(placed.select("rep", "cls", "n", F.explode(prefix).alias("token")), "placed")
     # of lists with the same members one is kept
-    digests = [F.bit_xor(F.xxhash64(F.lit(k), "rep", "same")).alias(f"x{k}") for k in (0, 1)]
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "rep", "cls")).alias(f"x{k}") for k in (0, 1)]
     members = placed.groupBy("token").agg(F.count("*").alias("rows"), F.sum("n").alias("items"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), *digests)
     members = members.filter("rows > 1").groupBy("rows", "items", "lo", "hi", "x0", "x1").agg(F.min("token").alias("token"))
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("items") * 8 / BLOCK_BYTES)).cast("int")
-    kept = ws.table(members.select("token", blocks.alias("blocks")), "kept")
-    place = lambda n: F.pmod(F.xxhash64("token", "rep", "same"), n).cast("int")
-    dealt = ws.table(placed.join(kept, "token").select("token", "rep", "same", "blocks", place("blocks").alias("block")), "dealt")
+    blocks = lambda rows, items: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(items) * 8 / BLOCK_BYTES)).cast("int")
+    kept = ws.table(members.select("token", "lo", blocks("rows", "items").alias("blocks")), "kept")
+    place = lambda n: F.pmod(F.xxhash64("token", "rep", "cls"), n).cast("int")
+    dealt = ws.table(placed.join(kept, "token").select("token", "lo", "rep", "cls", "n", "blocks", place("blocks").alias("block")), "dealt")
     ws.drop("lists", "placed", "kept")
 
-    # full sets of the classes in lists
-    active = ws.table(dealt.select("rep", "same").distinct().join(classes.select("same", "sign"), "same"), "active")
+    def joined(rows: DataFrame, name: str) -> DataFrame:
+        """What the blocks (token, i, j) of rows join, written."""
+        rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        return ws.table(rows.mapInArrow(_block_links(matches, percent), f"a {kind}, b {kind}").distinct(), name)
+
+    # candidate components: collisions counted in lists of one block, longer lists as a whole
+    signs = classes.select("rep", "cls", "sign")
+    one = dealt.filter("blocks = 1").join(signs, of_class)
+    near = joined(one.select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp"), "sign"), "near")
+    near = near.union(dealt.filter("blocks > 1 AND rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
+    family = components(near, ws, "family")
+    active = ws.table(dealt.select("rep", "cls", "n").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("comp", "family"), "rep"), "active")
+    families = active.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+    families = families.select("family", (blocks("rows", "items") > 1).alias("large"))
+    active = ws.table(active.join(families, "family"), "members")
+    whole = active.filter("NOT large").select(F.xxhash64("family").alias("token"), F.lit(0).alias("i"), *of_class)
+    parts = dealt.join(active.filter("large").select(of_class), of_class).select("token", F.col("block").alias("i"), *of_class)
+
+    # confirmed on the texts of candidates; a class's text is that of its smallest id
     texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct(), "rep", "left_semi")
-    found = texts.mapInArrow(_sets, f"rep {kind}, same binary, items binary").dropDuplicates(["rep", "same"])
-    sets = ws.table(found.join(active, ["rep", "same"]), "sets")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).drop("h")
+    texts = texts.join(classes.select("rep", "cls", "same", "sign").join(active.select(of_class), of_class), "rep")
+    texts = ws.table(texts, "texts")
 
-    def linked(rows: DataFrame, name: str) -> DataFrame:
-        """Confirmed links of the blocks (token, i, j) in rows, written."""
-        full = rows.join(sets, ["rep", "same"]).select("token", "i", "j", "outside", "rep", "comp", "sign", "items")
-        full = full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        return ws.table(full.mapInArrow(_block_links(matches, percent), f"a {kind}, b {kind}"), name)
+    def confirmed(rows: DataFrame, name: str) -> DataFrame:
+        return joined(rows.join(texts, of_class).select("token", "i", "j", "outside", "comp", "same", "sign", "text"), name)
 
-    links = linked(dealt.select("token", "rep", "same", F.col("block").alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp")), "links")
+    links = confirmed(whole.union(parts).select("token", "i", F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp"), *of_class), "links")
     # rows that share an id but not a set tie their classes together
     ties = named.join(classes.select("same", "rep"), "same").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ties = ties.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
@@ -265,10 +288,10 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     open_ = ws.table(held.select("token", "largest", outer.alias("outer")), "open")
     if not open_.isEmpty():
         long = long.join(open_, "token").withColumn("outside", F.col("comp") != F.col("largest"))
-        every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "rep", "same", "comp")
-        queries = long.filter("outside").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "rep", "same", "comp")
-        final = components(links.union(ties).union(linked(every.union(queries), "more_links")), ws, "final")
-    ws.drop("dealt", "active", "sets", "open")
+        every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "comp", *of_class)
+        queries = long.filter("outside").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "comp", *of_class)
+        final = components(links.union(ties).union(confirmed(every.union(queries), "more_links")), ws, "final")
+    ws.drop("dealt", "near", "active", "members", "texts", "open")
     all_ = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
     return all_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
