@@ -230,10 +230,11 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     classes = classes.withColumn("cls", F.xxhash64("same"))
     of_class = ["rep", "cls"]
 
-    # postings: lists of one are skipped; each class keeps its rarest COORDINATES - matches + 1
+    # postings: lists of one are skipped; each class keeps its rarest COORDINATES - matches + 1.  Joins
+    # with postings or texts are merge joins at every size, so a small input is planned like a large one.
     posts = classes.select("rep", "cls", "sign").mapInArrow(_postings, f"rep {kind}, cls long, token long")
     lists = ws.table(posts.groupBy("token").agg(F.count("*").alias("posted")).filter("posted > 1"), "lists")
-    shared = posts.join(lists, "token").groupBy(of_class).agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own"))
+    shared = posts.join(lists.hint("merge"), "token").groupBy(of_class).agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own"))
     prefix = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda x: x["token"])
     placed = shared.filter(F.size("own") >= matches).join(classes.select("rep", "cls", "n"), of_class)
     placed = ws.table(placed.select("rep", "cls", "n", F.explode(prefix).alias("token")), "placed")
@@ -266,13 +267,13 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     parts = dealt.join(active.filter("large").select(of_class), of_class).select("token", F.col("block").alias("i"), *of_class)
 
     # confirmed on the texts of candidates; a class's text is that of its smallest id
-    texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct(), "rep", "left_semi")
+    texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).drop("h")
-    texts = texts.join(classes.select("rep", "cls", "same", "sign").join(active.select(of_class), of_class), "rep")
+    texts = texts.join(classes.select("rep", "cls", "same", "sign").join(active.select(of_class), of_class).hint("merge"), "rep")
     texts = ws.table(texts, "texts")
 
     def confirmed(rows: DataFrame, name: str) -> DataFrame:
-        return joined(rows.join(texts, of_class).select("token", "i", "j", "outside", "comp", "same", "sign", "text"), name)
+        return joined(rows.join(texts.hint("merge"), of_class).select("token", "i", "j", "outside", "comp", "same", "sign", "text"), name)
 
     links = confirmed(whole.union(parts).select("token", "i", F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp"), *of_class), "links")
     # rows that share an id but not a set tie their classes together
