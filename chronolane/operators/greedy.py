@@ -6,9 +6,10 @@ rows are dealt by key, sorted, and a small machine is reset wherever the key cha
 
 from __future__ import annotations
 
-from collections import deque
+import math
 from collections.abc import Callable, Iterator
 from statistics import median
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,34 +85,41 @@ def range_bouts(df: DataFrame, keys: dict[str, str], position: str, t: str, x: s
     return _stream(df, names, order, f"{kinds}, bout_index long, first long, last long, duration double", machine)
 
 
-class TemperatureGate:
-    """Rejects values far below the median of the last accepted ones; a long streak of rejects clears the memory."""
+class GateRule(NamedTuple):
+    """A reading is short if its core lies more than ``margin`` below the median of the last ``history``
+    remembered bodies, of which there must be ``least``; ``reset`` short readings in a row empty the memory."""
 
-    def __init__(self, margin: float, history: int, least: int = 5, reset: int = 30):
-        self.margin, self.least, self.reset = margin, least, reset
-        self.held: deque[float] = deque(maxlen=history)
-        self.streak = 0
+    margin: float
+    history: int
+    least: int = 5
+    reset: int = 30
 
-    def offer(self, value: float) -> float | None:
-        """The reference that the value fell short of, or None if it was accepted."""
-        reference = median(self.held) if len(self.held) >= self.least else None
-        if reference is None or value >= reference - self.margin:
-            self.held.append(value)
-            self.streak = 0
-            return None
-        self.streak += 1
-        if self.streak >= self.reset:
-            self.held.clear()
-            self.streak = 0
-        return reference
 
+def gate_reading(rule: GateRule, memory: list[float], short: int, core: float, body: float | None) -> tuple[float | None, list[float], int]:
+    """One reading: (the reference that it fell short of or None, memory, short readings in a row).
 
-def temperature_gate(df: DataFrame, keys: dict[str, str], id: str, value: str, order: list[str], margin: float, history: int, least: int = 5, reset: int = 30) -> DataFrame:
-    """Each row's id with the reference it was rejected against (NULL if accepted)."""
+    ``core`` is what is judged (the warm end of what was found), ``body`` what is remembered if it passes
+    (the mean where it could be measured); a reading that passes without a body changes nothing.
+    """
+    wanted = median(memory) if len(memory) >= rule.least else -math.inf
+    if core < wanted - rule.margin:
+        return (wanted, [], 0) if short + 1 >= rule.reset else (wanted, memory, short + 1)
+    return (None, memory, short) if body is None else (None, [*memory, body][-rule.history :], 0)
+
+
+def temperature_gate(df: DataFrame, keys: dict[str, str], id: str, core: str, body: str, order: list[str], rule: GateRule) -> DataFrame:
+    """Each row's id with the reference it fell short of (NULL if it passed); rows without a core are left out."""
 
     def machine():
-        gate = TemperatureGate(margin, history, least, reset)
-        return (lambda row: [(getattr(row, id), gate.offer(getattr(row, value)))]), list
+        memory, short = [], 0
+
+        def step(row) -> list[tuple]:
+            nonlocal memory, short
+            mean = getattr(row, body)
+            reference, memory, short = gate_reading(rule, memory, short, getattr(row, core), None if mean is None or math.isnan(mean) else mean)
+            return [(getattr(row, id), reference)]
+
+        return step, list
 
     kinds = ", ".join(f"{k} {v}" for k, v in keys.items())
-    return _stream(df.filter(F.col(value).isNotNull()), list(keys), order, f"{kinds}, {id} long, reference double", machine)
+    return _stream(df.filter(F.col(core).isNotNull()), list(keys), order, f"{kinds}, {id} long, reference double", machine)

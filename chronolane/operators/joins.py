@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def _bracketed(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: dict[str, Column]) -> DataFrame:
     """Rows of ``left`` (as a struct ``_l``) with the last right row at or before and the first one after, as structs _b and _f.
 
-    A union and two running picks: linear in rows, one exchange on the keys, no join.
+    A union and two running picks, one in each direction: linear in rows, one exchange on the keys, no join.
     """
     held = F.struct(F.col(t).alias("t"), *[c.alias(n) for n, c in value.items()])
     lefts = left.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
@@ -17,7 +17,8 @@ def _bracketed(left: DataFrame, right: DataFrame, keys: list[str], t: str, value
     both = lefts.unionByName(rights, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_t", "_side")
     back = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fore = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"))
+    fore = F.last("_r", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumns({"_b": back, "_f": fore}).filter("_side = 1")
 
 

@@ -199,9 +199,26 @@ def w_greedy_range_bouts_gap(spark, sf):
     return G.range_bouts(_numbered(spark, sf), {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0, gap=1)
 
 
-@query("w_temp_gate")
+#: Memory of 9 readings, 5 at least, emptied by 6 short ones in a row.
+GATE = G.GateRule(30.0, 9, 5, 6)
+
+
+def readings(spark, sf):
+    """Each sample's warm end (core) and mean (body)."""
+    return samples(spark, sf).withColumns({"core": F.greatest("x", "y"), "body": (F.col("x") + F.col("y")) / 2})
+
+
+GATE_SQL = f"""WITH RECURSIVE {SAMPLES}, p AS (SELECT lane, frame, row_number() OVER (PARTITION BY lane ORDER BY t, frame) AS pos, greatest(x, y) AS core, (x + y) / 2 AS body FROM s),
+w AS (SELECT DISTINCT lane, CAST(0 AS BIGINT) AS frame, CAST(0 AS BIGINT) AS pos, CAST([] AS DOUBLE[]) AS held, 0 AS short, CAST(NULL AS DOUBLE) AS reference FROM p
+UNION ALL SELECT lane, frame, pos, CASE WHEN NOT fell THEN list_append(held, body)[-{GATE.history}:] WHEN short + 1 >= {GATE.reset} THEN [] ELSE held END,
+ CASE WHEN NOT fell OR short + 1 >= {GATE.reset} THEN 0 ELSE short + 1 END, CASE WHEN fell THEN wanted END
+FROM (SELECT p.*, w.held, w.short, list_median(w.held) AS wanted, len(w.held) >= {GATE.least} AND p.core < list_median(w.held) - {GATE.margin} AS fell FROM w JOIN p ON p.lane = w.lane AND p.pos = w.pos + 1))
+SELECT lane, frame, round(reference, 6) AS reference FROM w WHERE pos > 0"""
+
+
+@query("w_temp_gate", GATE_SQL)
 def w_temp_gate(spark, sf):
-    return G.temperature_gate(samples(spark, sf), {"lane": "long"}, "frame", "x", ORDER, 30.0, 9)
+    return rounded(G.temperature_gate(readings(spark, sf), {"lane": "long"}, "frame", "core", "body", ORDER, GATE))
 
 
 # --- frames: an embedding is an 8 x n image, its label the video ------------------------------------

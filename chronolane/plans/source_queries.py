@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolane.operators import images as I
-from chronolane.plans.model_queries import PIX, WIDTH, frames
-from chronolane.plans.registry import LANE, SAMPLES, load, query, rounded, samples
-from chronolane.plans.sequence_queries import GAP, HOUR, LEAST, UNKNOWN_GAP, classified, staged
+from chronolane.plans.model_queries import GATE, GATE_SQL, PIX, WIDTH, frames, readings
+from chronolane.plans.registry import LANE, ORACLE_SQL, SAMPLES, load, query, rounded, samples
+from chronolane.plans.sequence_queries import BOUTS, GAP, HOUR, LEAST, UNKNOWN_GAP, classified, staged
 from chronolane.sources import frames as containers
 from chronolane.sources import tables
 from chronolane.sources.scratch import scratch
@@ -167,24 +167,24 @@ def _streamed(spark, rows, build):
     return spark.read.schema(made.schema).parquet(out)
 
 
-@query("stream_temp_gate")
+@query("stream_temp_gate", GATE_SQL.replace("SELECT lane, frame, round", "SELECT lane, frame AS id, round"))
 def stream_temp_gate(spark, sf):
-    rows = samples(spark, sf).select("lane", "t", "frame", "x")
-    return _streamed(spark, rows, lambda s: stateful.gate(s, "lane", "t", "frame", "x", 30.0, 9))
+    rows = readings(spark, sf).select("lane", "t", "frame", "core", "body")
+    return rounded(_streamed(spark, rows, lambda s: stateful.gate(s, "lane", "t", "frame", "core", "body", GATE)))
 
 
-@query("stream_entries")
+@query("stream_entries", f"SELECT lane, entry FROM ({ORACLE_SQL['w_entry_state_machine']}) WHERE entry IS NOT NULL")
 def stream_entries(spark, sf):
     rows = staged(spark, sf).select("lane", "t", "frame", "st")
     return _streamed(spark, rows, lambda s: stateful.entries(s, "lane", "t", "frame", "st", 3, 3))
 
 
-@query("stream_bouts")
+@query("stream_bouts", f"""WITH {BOUTS} SELECT lane, round(bout_start_sec, 6) AS start, round(bout_end_sec, 6) AS "end" FROM bouts""")
 def stream_bouts(spark, sf):
     rows = classified(spark, sf).select("lane", "t", "frame", "frame_state")
     # a last row per lane beyond both tolerances closes what is open and begins nothing
     closing = rows.groupBy("lane").agg((F.max("t") + UNKNOWN_GAP + 1).alias("t"), F.max("frame").alias("frame"), F.lit("moving").alias("frame_state"))
-    return _streamed(spark, rows.unionByName(closing), lambda s: stateful.bouts(s, "lane", "t", "frame", "frame_state", LEAST, GAP, UNKNOWN_GAP))
+    return rounded(_streamed(spark, rows.unionByName(closing), lambda s: stateful.bouts(s, "lane", "t", "frame", "frame_state", LEAST, GAP, UNKNOWN_GAP)))
 
 
 @query("stream_activity")

@@ -1,6 +1,7 @@
 """Streaming forms of the operators that are stateful by nature; each equals its batch form once closed.
 
-State is a handful of numbers per key, and event-time watermarks bound how long it is kept.
+State is a handful of numbers per key.  A watermark bounds how long ``activity`` keeps a window; the other
+three keep their numbers for as long as the query runs, since a lane may always go on.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronolane.operators.greedy import TemperatureGate
+from chronolane.operators.greedy import GateRule, gate_reading
 
 
-def gate(stream: DataFrame, lane: str, t: str, id: str, value: str, margin: float, history: int, least: int = 5, reset: int = 30) -> DataFrame:
-    """TemperatureGate per lane: id and reference (NULL if accepted); rows of a batch are taken in order of (t, id)."""
+def gate(stream: DataFrame, lane: str, t: str, id: str, core: str, body: str, rule: GateRule) -> DataFrame:
+    """The temperature gate per lane: id and reference (NULL if it passed); rows of a batch are taken in order of (t, id)."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g = TemperatureGate(margin, history, least, reset)
-        if state.exists:
-            held, g.streak = state.get
-            g.held.extend(held)
-        rows = pd.concat(list(batches)).sort_values([t, id])
-        out = [(key[0], int(i), g.offer(float(v))) for i, v in zip(rows[id], rows[value], strict=True)]
-        state.update((list(g.held), g.streak))
+        memory, short = state.get if state.exists else ([], 0)
+        memory, out = list(memory), []
+        for r in pd.concat(list(batches)).sort_values([t, id]).to_dict("records"):
+            reference, memory, short = gate_reading(rule, memory, short, r[core], None if pd.isna(r[body]) else r[body])
+            out.append((key[0], r[id], reference))
+        state.update((memory, short))
         yield pd.DataFrame(out, columns=["lane", "id", "reference"])
 
-    return stream.groupBy(lane).applyInPandasWithState(step, "lane long, id long, reference double", "held array<double>, streak long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.filter(F.col(core).isNotNull())
+    return rows.groupBy(lane).applyInPandasWithState(step, "lane long, id long, reference double", "memory array<double>, short long", "append", GroupStateTimeout.NoTimeout)
 
 
 def entries(stream: DataFrame, lane: str, t: str, id: str, state_column: str, sustained: int, intrusion: int, inside: str = "mouse", handling: str = "intrusion") -> DataFrame:

@@ -12,7 +12,7 @@ from chronolane.operators import joins as J
 from chronolane.operators import models as M
 from chronolane.operators import sampling as S
 from chronolane.operators import windows as W
-from chronolane.operators.greedy import TemperatureGate
+from chronolane.operators.greedy import GateRule, gate_reading
 
 
 def sequence(spark, pattern, rate=9.0):
@@ -183,11 +183,36 @@ def test_homography():
         M.fit_homography(src[:3], src[:3])
 
 
+def through(rule, readings):
+    memory, short, out = [], 0, []
+    for core, body in readings:
+        reference, memory, short = gate_reading(rule, memory, short, core, body)
+        out.append(reference)
+    return out
+
+
 def test_temperature_gate():
-    g = TemperatureGate(5, 9, 3, 4)
-    assert [g.offer(v) for v in (30, 31, 30)] == [None] * 3
-    assert [g.offer(v) for v in (20, 20, 20, 20)] == [30] * 4
-    assert g.offer(20) is None  # four rejects in a row cleared the memory
+    rule = GateRule(5, 9, 3, 4)
+    assert through(rule, [(v, v) for v in (30, 31, 30, 20, 20, 20, 20, 20)]) == [None] * 3 + [30] * 4 + [None]  # four in a row cleared the memory
+    # the core is judged, the body remembered: a cool body with a warm core passes, and lowers the reference
+    assert through(rule, [(31, 30), (31, 30), (31, 30), (26, 12), (24, 24)]) == [None] * 4 + [30]
+    assert through(rule, [(31, 30)] * 3 + [(20, 20), (31, None), (20, 20), (20, 20), (20, 20), (0, 0)]) == [None] * 3 + [30, None, 30, 30, 30, None]  # no body: the streak goes on
+
+
+def test_asof_is_linear_in_a_key(spark):
+    """Twice the rows of one key don't take four times as long."""
+    import time
+
+    def seconds(n):
+        left = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 1.0).alias("t"))
+        right = spark.range(n // 2).select(F.lit(1).alias("k"), (F.col("id") * 2.0 + 0.4).alias("t"), F.col("id").alias("v"))
+        start = time.time()
+        got = J.asof_nearest(left, right, ["k"], "t", ["v"], 5.0).agg(F.count("v"), F.sum("v")).first()
+        assert got[0] == n
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 8
 
 
 def test_sampling(spark):
