@@ -1,14 +1,16 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a few megabytes of whole documents inside one task.  Its words are coded by the phrases'
-vocabulary; runs of such words that are long enough for the shortest phrase are indexed, everything
-else separates them (no phrase can lie across).  All phrases (13-word windows of benchmark items) are
-searched backward through the wavelet-matrix ranks, occurrences are located from sampled suffix
-positions, and overlapping ones are merged into removal spans.
-
-Scale: one pass over the documents, no shuffle, memory bounded by the shard size.  The phrases are
-broadcast only up to ``MAX_BROADCAST`` bytes of benchmark text; a larger benchmark is written to the
-shared folder in blocks and every task streams the blocks past its shards.
+A shard is a few megabytes of whole documents.  Phrases (13-word windows of benchmark items) that may
+occur in it are searched backward through the wavelet-matrix ranks of the shard's FM-index, occurrences
+are located from sampled suffix positions, and overlapping ones are merged into removal spans.  Words are
+coded by the phrases' vocabulary; runs of such words that are long enough for the shortest phrase are
+indexed, everything else separates them (no phrase can lie across).
+
+Scale: the benchmark is a table of windows, never collected or broadcast.  A filter of fixed size
+(``FILTER_WORDS`` numbers, 8 MB) over the windows' hashes is; the rolling hashes of a shard's words that
+pass it are joined with the windows, so a shard gets the phrases whose hash it holds and no others.  A
+fuller filter lets more hashes through to the join and changes nothing else.  Documents are written once
+as shards, one compressed row each.
 """
 
 from __future__ import annotations
@@ -17,42 +19,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.taskcontext import TaskContext
 
-from chronolane.llm.base import Workspace, fresh
+from chronolane.llm.base import Workspace, fresh, packed, unpacked
 from chronolane.llm.fm_index import FMIndex
-from chronolane.llm.textscan import ALNUM, chunks, scan
+from chronolane.llm.textscan import ALNUM, chunks, mix, scan
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
-MAX_BROADCAST = 16 << 20
+FILTER_WORDS = 1 << 20
 _SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))
 
 
+def _factors(n: int) -> np.ndarray:
+    """Odd factors of a window's words by their place."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _windows(window: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(h, size, words, item) of each item's windows; words are their 64-bit hashes."""
+        factors = _factors(window)
+        for batch in batches:
+            words = scan(batch.column(1), ALNUM)
+            hashes, first = words.hashes(), words.first.tolist()
+            for i, (s, e) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                if s == e:
+                    continue
+                n = min(window, e - s)
+                own = np.lib.stride_tricks.sliding_window_view(hashes[s:e], n)
+                h = mix((own * factors[:n]).sum(axis=1) ^ np.uint64(n))
+                item = batch.column(0).take(pa.array(np.full(len(own), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(own), n, np.int32)), pa.array([w.tobytes() for w in own], pa.binary()), item], ["h", "size", "words", "item"])
+
+    return cut
+
+
+def _bits(h: Column) -> tuple[Column, Column]:
+    """The two places of a hash in the filter, as in _passing()."""
+    return F.pmod(h, F.lit(64 * FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64 * FILTER_WORDS))
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """A Bloom filter over the windows' hashes: at most FILTER_WORDS rows reach the driver."""
+    places = windows.select("h").distinct().select(F.explode(F.array(*_bits(F.col("h")))).alias("p"))
+    words = places.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits"))
+    held = np.zeros(FILTER_WORDS, np.uint64)
+    for at, bits in words.collect():
+        held[at] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    return held
+
+
+def _passing(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    size, on = 64 * len(held), np.ones(len(h), bool)
+    for place in (h.view(np.int64) % size, (h.view(np.int64) >> 32) % size):
+        on &= (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return on
+
+
+def _shards(shard_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for a, b in chunks(batch.column(0), shard_bytes):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([packed(part)], pa.binary())], ["shard", "docs"])
+                k += 1
+
+    return pack
+
+
+def _asking(held, sizes: list[int]):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, h): hashes of a shard's word windows that pass the filter."""
+        factors = _factors(max(sizes, default=1))
+        for batch in batches:
+            for shard, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = scan(unpacked(raw).column(0).combine_chunks(), ALNUM)
+                hashes, row = words.hashes(), words.row()
+                rolled, found = np.zeros(len(hashes), np.uint64), []
+                for n in range(1, max(sizes, default=0) + 1):
+                    if n > len(hashes):
+                        break
+                    rolled = rolled[: len(hashes) - n + 1] + hashes[n - 1 :] * factors[n - 1]
+                    if n in sizes:
+                        h = mix(rolled[row[: len(rolled)] == row[n - 1 :]] ^ np.uint64(n))
+                        found.append(np.unique(h[_passing(held.value, h)]))
+                got = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), shard)), pa.array(got.view(np.int64))], ["shard", "h"])
+
+    return ask
+
+
 class Phrases:
-    """Distinct windows of a block of items: word hashes, and which items hold each window."""
-
-    def __init__(self, ids: list, texts: list, window: int):
-        words = scan(pa.array(texts, pa.large_string()), ALNUM)
-        hashes = words.hashes()
-        self.vocabulary = np.unique(hashes)
-        codes = np.searchsorted(self.vocabulary, hashes) + 1
-        found: dict[tuple, set] = {}
-        for i, item in enumerate(ids):
-            own = codes[words.first[i] : words.first[i + 1]].tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + window]), set()).add(item)
-        self.items = [sorted(s, key=str) for s in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        self.by_length = {int(n): (np.flatnonzero(self.lengths == n), np.array([w for w in found if len(w) == n], np.int64)) for n in np.unique(self.lengths)}
+    """Phrases as rows of word hashes, by length."""
+
+    def __init__(self, words: list[bytes], sizes: np.ndarray):
+        self.lengths = sizes.astype(np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint64)
+        self.vocabulary = np.unique(flat)
+        codes, at = np.searchsorted(self.vocabulary, flat) + 1, np.cumsum(self.lengths) - self.lengths
+        self.shortest = int(self.lengths.min()) if len(words) else 0
+        self.by_length = {}
+        for n in np.unique(self.lengths).tolist():
+            which = np.flatnonzero(self.lengths == n)
+            self.by_length[n] = which, codes[at[which, None] + np.arange(n)]
 
     def occurrences(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, phrase) of every occurrence in words that belong to rows."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.items) or not len(hashes):
+        if not len(self.lengths) or not len(hashes):
             return none
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
@@ -84,89 +163,72 @@ class Phrases:
         return np.concatenate(starts), np.concatenate(phrases)
 
 
-def _blocks_from(path: str, window: int) -> Iterator[Phrases]:
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(path)
-    for part in ds.dataset(root, filesystem=system, format="parquet").to_batches(batch_size=2000):
-        yield Phrases(part.column(0).to_pylist(), part.column(1).to_pylist(), window)
-
-
-def _marker(held, window: int, path: str | None, shard_bytes: int, names: list[str]):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = None if path else [Phrases(*held.value, window)]
-        for batch in batches:
-            for a, b in chunks(batch.column(0), shard_bytes):
-                part = batch.slice(a, b - a)
-                words = scan(part.column(0), ALNUM)
-                hashes, row = words.hashes(), words.row()
-                n = len(hashes)
-                delta = np.zeros(n + 1, np.int64)
-                items: list[set] = [set() for _ in range(b - a)]
-                for phrases in ready or _blocks_from(path, window):
-                    start, which = phrases.occurrences(hashes, row)
-                    np.add.at(delta, start, 1)
-                    np.add.at(delta, start + phrases.lengths[which], -1)
-                    for r, p in {*zip(row[start].tolist(), which.tolist(), strict=True)}:
-                        items[r].update(phrases.items[p])
-                hit = np.cumsum(delta[:-1]) > 0
-                edge = np.ones(n, bool)
-                edge[1:] = (hit[1:] != hit[:-1]) | (row[1:] != row[:-1])
-                begin = np.flatnonzero(edge)
-                end = np.append(begin[1:], n)[hit[begin]] if n else begin
-                begin = begin[hit[begin]] if n else begin
-                spans: list[list] = [[] for _ in range(b - a)]
-                for s, e, r in zip(begin.tolist(), end.tolist(), row[begin].tolist(), strict=True):
-                    spans[r].append({"first_word": s - int(words.first[r]), "end_word": e - int(words.first[r])})
-                n_words = np.diff(words.first)
-                n_hit = np.bincount(row[hit], minlength=b - a) if n else np.zeros(b - a, np.int64)
-                columns = [
-                    *part.columns[1:],
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64())),
-                    pa.array(spans, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))),
-                    pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+def _marker(schema: pa.Schema):
+    def mark(home: pa.Table, asked: pa.Table) -> pa.Table:
+        """The documents of one shard with what its phrases hit."""
+        docs = unpacked(home.column("docs")[0].as_py())
+        words = scan(docs.column(0).combine_chunks(), ALNUM)
+        hashes, row, rows = words.hashes(), words.row(), docs.num_rows
+        n = len(hashes)
+        phrases = Phrases(asked.column("words").to_pylist(), asked.column("size").to_numpy())
+        start, which = phrases.occurrences(hashes, row)
+        delta = np.zeros(n + 1, np.int64)
+        np.add.at(delta, start, 1)
+        np.add.at(delta, start + phrases.lengths[which], -1)
+        named, items = asked.column("items").to_pylist(), [set() for _ in range(rows)]
+        for r, p in np.unique(np.stack([row[start], which], axis=1), axis=0).tolist():
+            items[r].update(named[p])
+        hit = np.cumsum(delta[:-1]) > 0
+        edge = np.ones(n, bool)
+        edge[1:] = (hit[1:] != hit[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], n)[hit[begin]] if n else begin
+        begin = begin[hit[begin]] if n else begin
+        spans: list[list] = [[] for _ in range(rows)]
+        for s, e, r in zip(begin.tolist(), end.tolist(), row[begin].tolist(), strict=True):
+            spans[r].append({"first_word": s - int(words.first[r]), "end_word": e - int(words.first[r])})
+        n_words = np.diff(words.first)
+        n_hit = np.bincount(row[hit], minlength=rows) if n else np.zeros(rows, np.int64)
+        found = [n_words, n_hit, [sorted(x, key=str) for x in items], spans, (n_hit > 0) & (20 * n_hit >= n_words)]
+        kinds = [f.type for f in schema][-5:]
+        return pa.Table.from_arrays([*docs.columns[1:], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], schema.names)
 
     return mark
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, with_text: bool = False
-) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, items (sorted as strings), spans and contaminated.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  A window is
     ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.  A
     document word inside any occurrence of a window is hit; spans are the maximal runs of hit words.
     contaminated: at least one word in twenty is hit.  Null and empty texts have no words and are clean;
-    items without words, or with a null id, count for nothing.  Repeated rows are judged one by one;
-    items with the same windows are all named.  Input columns called like a result column are replaced.
+    items without words, or with a null id, count for nothing; ids are of any type.  Repeated rows are
+    judged one by one; items with the same windows are all named.  Input columns called like a result
+    column are replaced.  A very long text is a shard of its own, indexed whole.  Without documents the
+    result is empty, without a benchmark every document is clean.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
+    ws = Workspace(spark, "phrases")
     docs = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
-    phrases = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("body")).filter("item IS NOT NULL AND body IS NOT NULL")
-    total = phrases.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    held, path = None, None
-    if total <= max_broadcast:
-        rows = phrases.orderBy("item", "body").collect()
-        held = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-    else:
-        ws = Workspace(spark, "phrases")
-        ws.table(phrases, "blocks")
-        path = ws.path("blocks")
-        path = path if ":/" in path else f"file://{path}"
+    kind = benchmark.schema[item_id].dataType
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).filter("item IS NOT NULL AND body IS NOT NULL")
+    cut = items.select("item", "body").mapInArrow(_windows(window), f"h long, size int, words binary, item {kind.simpleString()}")
+    windows = ws.table(cut.groupBy("h", "size", "words").agg(F.collect_set("item").alias("items")), "windows")
+    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` of them
+    held = spark.sparkContext.broadcast(_filter(windows))
+
     scanned = fresh(docs, "scanned")[0]
     rest = [c for c in docs.columns if with_text or c != text]
-    schema = T.StructType(
-        [docs.schema[c] for c in rest]
-        + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("spans", _SPANS), T.StructField("contaminated", T.BooleanType())]
-    )
-    source = docs.select(F.col(text).alias(scanned), *rest)
-    return source.mapInArrow(_marker(held, window, path, SHARD_BYTES, schema.names), schema)
+    found = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(kind)), ("spans", _SPANS), ("contaminated", T.BooleanType())]
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(*f) for f in found])
+    home = docs.select(F.col(text).alias(scanned), *rest).mapInArrow(_shards(shard_bytes), "shard long, docs binary")
+    home.write.option("compression", "none").parquet(ws.path("home"))
+    home = ws.read("home", home)
+    asked = home.mapInArrow(_asking(held, sizes), "shard long, h long").join(windows, "h").select("shard", "size", "words", "items")
+    return home.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_marker(to_arrow_schema(schema)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from chronolane.llm.base import Workspace
+from chronolane.llm.base import Workspace, packed, unpacked
 from chronolane.llm.textscan import NON_SPACE, chunks, mix, scan
 
 BATCH_BYTES = 8 << 20
@@ -57,18 +57,6 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(raw: bytes) -> pa.Table:
-    with pa.ipc.open_stream(raw) as f:
-        return f.read_all().combine_chunks()
-
-
 def _small(x: np.ndarray) -> bytes:
     """Counts in as few bytes as they need, compressed; _counts() reads them."""
     top = int(x.max()) if len(x) else 0
@@ -108,7 +96,7 @@ def _batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.filter(batch.column(2) if away else pa.compute.invert(batch.column(2)))
             for a, b in chunks(some.column(3), BATCH_BYTES):
                 part = pa.Table.from_batches([some.slice(a, b - a)])
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([away]), pa.array([_packed(part)], pa.binary())], ["batch", "away", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([away]), pa.array([packed(part)], pa.binary())], ["batch", "away", "docs"])
                 k += 1
 
 
@@ -116,7 +104,7 @@ def _ask(parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for incoming in rows:
             for batch, away, raw in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
-                docs = _unpacked(raw)
+                docs = unpacked(raw)
                 uni, bi, first = _tokens(docs.column("text").combine_chunks())
                 learn = np.repeat(~docs.column("held").to_numpy().astype(bool), np.diff(first))
                 for name, tokens in (("word", uni), ("pair", _pair_keys(bi, parts))):
@@ -164,7 +152,7 @@ def _answer(asked: pa.Table) -> pa.Table:
 
 def _joined(batches: pa.Table, replies: pa.Table, deleted: bool, parts: int):
     """Per token of a batch: counts of its bigram, its context and itself; kept counts if ``deleted``."""
-    docs = _unpacked(batches.column("docs")[0].as_py())
+    docs = unpacked(batches.column("docs")[0].as_py())
     uni, bi, first = _tokens(docs.column("text").combine_chunks())
     counts = {}
     replies = replies.sort_by("part")

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolane.llm import chat, mixing, warc
+from chronolane.llm import decontaminate as decontaminate_module
 from chronolane.llm.decontaminate import contamination, decontaminate
 from chronolane.llm.exact_dedup import exact_dedup, exact_groups
 from chronolane.llm.fm_index import FMIndex
@@ -216,7 +217,7 @@ def test_contamination(spark, docs, texts):
     items = [(10, " ".join(words[3][:20]).upper()), (11, " ".join(words[5][2:15])), (2, " ".join(words[5][2:15])), (12, "w1 w2"), (13, ""), (14, None), (15, "w7"), (16, " ".join(words[-1][100:160])), (None, "w3 w4")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, n_words string")
     got = contamination(docs.withColumn("items", F.lit(1)), bench).collect()
-    blocks = contamination(docs, bench, max_broadcast=0).collect()
+    blocks = contamination(docs, bench, shard_bytes=500).collect()
     windows = collections.defaultdict(set)
     for i, t in items:
         w = WORDY.findall(low(t or ""))
@@ -239,6 +240,20 @@ def test_contamination(spark, docs, texts):
     assert decontaminate(docs, bench).columns == docs.columns
     assert contamination(docs, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
     assert contamination(empty(docs), bench).count() == 0
+    named = contamination(docs, bench.withColumn("item_id", F.concat(F.lit("item "), "item_id"))).collect()
+    assert all(r["items"] == [f"item {i}" for i in want[r.doc_id][2]] and r.n_hit == want[r.doc_id][1] for r in named)
+
+
+def test_contamination_by_a_benchmark_larger_than_the_filter(spark, monkeypatch):
+    """20 MB of benchmark past a filter that is full: the same hits, and the filter's size is what is broadcast."""
+    monkeypatch.setattr(decontaminate_module, "FILTER_WORDS", 64)
+    rng = random.Random(6)
+    passages = [" ".join(f"p{k}q{rng.randrange(10**6)}" for k in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(f"d{rng.randrange(10**6)}" for _ in range(20)) + " " + (passages[k] if k % 2 else "")) for k in range(40)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    padding = spark.range(1000, 41000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.substring(F.sha2((F.col("id") * 64 + k).cast("string"), 224), 1, 12)), " ").alias("text"))
+    got = contamination(docs, bench.unionByName(padding)).collect()
+    assert all((r.n_hit, r["items"], r.contaminated) == ((30, [r.doc_id], True) if r.doc_id % 2 else (0, [], False)) for r in got) and len(got) == 40
 
 
 # --- 6 token counts --------------------------------------------------------------------------------
