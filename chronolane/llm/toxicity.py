@@ -3,11 +3,14 @@
 Words are compared by the gap-weighted subsequence kernel: two words are alike as far as they share
 subsequences of three letters, each weighted down by the letters it skips, so inserted or dropped
 characters cost a little and not everything.  Words are normalised first: case, accents, digits that
-stand for letters, and anything put between letters go, and letters standing alone in a row are one word.
-
-Landmarks are words of labelled documents.  The kernel between a sentence and a landmark is the best
-over the sentence's words; with the landmarks' own kernel matrix this gives Nyström features of the
-sentence, on which a linear SVM is trained.  Labels are of documents, so a toxic document is
+stand for letters, and anything put between letters go, letters of other scripts are dealt over the 26, and
+letters standing alone in a row are one word.
+
+Sentences are compared by the convolution kernel over their words, the sum over pairs of words of the
+``POWER``-th power of the word kernel (powers and sums of kernels are kernels); the power lets nearly equal
+words count and chance likeness vanish.  Landmarks are words of labelled documents, as sentences of one
+word.  The kernels of a sentence with them and their own kernel matrix give its Nyström features,
+on which a linear SVM is trained.  Labels are of documents, so a toxic document is
 represented by the sentence that the current machine finds most toxic (multiple-instance training).
 The words that stand for toxicity also train the machine with a letter inserted, doubled or dropped.  A
 document is judged by its ``WORST`` worst sentences, whose margins a sigmoid turns into a probability.
@@ -41,7 +44,8 @@ MAX_LABELLED = 2500
 LANDMARKS = 64
 DECAY = 0.7
 SPAN = 5  # letters that a subsequence of three may lie across
-NEAR = 0.3  # smaller kernel values count as 0
+NEAR = 0.3  # smaller word kernels count as 0 (their power is below 0.03)
+POWER = 3
 WORST = 3
 CANDIDATES = 3000
 CHUNK_BYTES = 4 << 20
@@ -56,11 +60,38 @@ _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?\n")] = True
 
 
+#: Letters that don't decompose into a letter and an accent (fixed values).
+_PLAIN = {"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i"}
+
+
+class _Letters(dict):
+    """What a character is among the 26 letters: letters of other scripts are dealt over them, one for an
+    alphabet's (before U+0900), two for others; what is no letter goes."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if code < 0x80:
+            found = c
+        elif c in _PLAIN:
+            found = _PLAIN[c]
+        elif not c.isalpha():
+            found = ""
+        else:
+            found = chr(0x61 + code % 26) if code < 0x900 else chr(0x61 + code // 26 % 26) + chr(0x61 + code % 26)
+        self[code] = found
+        return found
+
+
+_LETTERS_OF = _Letters()
+
+
 def normalise(word: bytes) -> bytes:
-    """Lower-case ASCII letters of a word: accents are folded, digits become the letters they imitate, the rest goes."""
+    """A word in the letters a-z: case and accents are folded, digits become the letters they imitate, other scripts' letters are dealt over the 26, the rest goes."""
     if not word.isascii():
-        text = word.decode("utf-8", "replace").replace("ß", "ss")
-        word = unicodedata.normalize("NFKD", text).encode("ascii", "ignore")
+        text = unicodedata.normalize("NFKD", word.decode("utf-8", "replace").casefold())
+        if len(_LETTERS_OF) > 200_000:
+            _LETTERS_OF.clear()
+        word = text.translate(_LETTERS_OF).encode("ascii")
     return word.translate(_TABLE, _DELETE)
 
 
@@ -186,12 +217,12 @@ class Model:
         return out
 
 
-def _thresholded(kernel: np.ndarray) -> np.ndarray:
-    return np.where(kernel >= NEAR, kernel, 0).astype(np.float32)
+def _powered(kernel: np.ndarray) -> np.ndarray:
+    return (np.where(kernel >= NEAR, kernel, 0) ** POWER).astype(np.float32)
 
 
 class WordTable:
-    """Kernels with the landmarks per distinct word; words near none share row 0."""
+    """Powers of the kernels with the landmarks per distinct word; words near none share row 0."""
 
     def __init__(self, model: Model, room: int = CACHE):
         self.model, self.room = model, room
@@ -202,13 +233,13 @@ class WordTable:
         self.rows = np.zeros((1, len(self.model.landmarks)), np.float32)
 
     def kernels(self, raw: list[bytes]) -> np.ndarray:
-        """Thresholded kernels of raw words with the landmarks."""
+        """Powers of the kernels of raw words with the landmarks."""
         out = np.zeros((len(raw), len(self.model.landmarks)), np.float32)
         if raw:
             words = [normalise(w) for w in raw]
             near = np.flatnonzero(may_be_near(words, self.model.bound))
             if len(near):
-                out[near] = _thresholded(Subsequences([words[k] for k in near.tolist()]).kernel(self.model.table))
+                out[near] = _powered(Subsequences([words[k] for k in near.tolist()]).kernel(self.model.table))
         return out
 
     def lookup(self, words) -> np.ndarray:
@@ -235,7 +266,7 @@ class WordTable:
         return self.place[np.searchsorted(self.hash, known)][inv]
 
     def pooled(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, best kernels) of each sentence that has a word near a landmark."""
+        """(row, kernels with the landmarks) of each sentence that has a word near one."""
         words, joined, sentence, where, row = _sentences(column)
         if not len(row):
             return np.zeros(0, np.int64), np.zeros((0, len(self.model.landmarks)), np.float32)
@@ -250,7 +281,7 @@ class WordTable:
         if not len(owner):
             return np.zeros(0, np.int64), values
         begin = np.flatnonzero(np.diff(owner, prepend=-1))
-        return row[owner[begin]], np.maximum.reduceat(values, begin)
+        return row[owner[begin]], np.add.reduceat(values, begin)
 
 
 def _choose(positive: list[set], negative: list[set], count: int) -> tuple[list[bytes], int]:
@@ -346,7 +377,7 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, landma
     del sets
     model = Model(names, np.zeros(len(names)), 0.0, np.zeros(WORST), 0.0)
     table = WordTable(model)
-    own = Subsequences(names).kernel(model.table).astype(float)
+    own = Subsequences(names).kernel(model.table).astype(float) ** POWER
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     good = values > 1e-3
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -365,7 +396,7 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, landma
     score = x @ np.linalg.pinv(whiten)[:, :n_toxic].max(axis=1)
     altered = [v for w in names[:n_toxic] for v in variants(w)]
     bent = table.kernels(altered).astype(float)
-    bent = bent[bent.max(axis=1) >= 0.5] @ whiten  # what is left of the word is less than half of it otherwise
+    bent = bent[bent.max(axis=1) >= 0.5**POWER] @ whiten  # what is left of the word is less than half of it otherwise
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     ends = np.append(begin[1:], len(row))
     for _ in range(rounds):
@@ -388,9 +419,12 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, landma
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
     """train() on at most ``most`` documents of each class, by a hash of the id; scores are meant for the labels' own mix of classes.
 
-    Labels other than 0 and 1 are ignored; labels without a document count for the mix only.
+    Labels other than 0 and 1 are ignored; labels without a document count for the mix only.  An id that is
+    labelled more than once counts once, as toxic if any label says so; of rows that repeat an id the
+    smallest text is used, so reruns give one model.  Null texts are empty, very long ones are used whole.
+    Without documents, labels or one of the classes the model gives every text the share of toxic labels.
     """
-    marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"))
+    marks = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     counts = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = None
@@ -404,7 +438,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
         m = train(pdf["_text"].tolist(), pdf["_y"].tolist(), prior)
         return pd.DataFrame({"model": [pickle.dumps((m.landmarks, m.weights, m.bias, m.slopes, m.shift))]})
 
-    found = rows.select("_doc", "_text", "_y", F.lit(0).alias("_all")).limit(4 * most).groupBy("_all").applyInPandas(run, "model binary").first()
+    one = rows.groupBy("_doc", "_y").agg(F.min("_text").alias("_text"))
+    found = one.select("_doc", "_text", "_y", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "model binary").first()
     return Model(*pickle.loads(bytes(found[0]))) if found else train([], [])
 
 
@@ -418,8 +453,9 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", with_text: bool
     """Every row of ``docs`` with score, the probability that it is toxic.
 
     Null, empty and blank texts have no sentences and get the score of a sentence without any word near
-    a landmark.  Rows are scored one by one from their whole texts; other columns play no part.  Input
-    columns called like the result column are replaced.
+    a landmark.  Rows, repeated ones too, are scored one by one from their whole texts, a very long one by
+    itself; other columns play no part.  Input columns called like the result column are replaced.  An
+    empty input gives an empty result.
     """
     docs = docs.drop("score")
     rest = [c for c in docs.columns if with_text or c != text]
