@@ -1,16 +1,15 @@
 """Exact dedup by distributed MSD radix partitioning.
 
-Texts are split by their length, then by successive bytes: each level groups what is still undecided
-by a longer prefix, so a group of one level is cut into the groups of the next.  A group is done when
-it holds one document, or when its texts have ended; equal prefixes that reach the end are equal
-texts, so no digest is compared anywhere.  The prefix grows by a factor per level: the bytes that all
-levels look at together are little more than the bytes of the texts, and the number of levels is the
-logarithm of the longest text that has a partner.
+Texts are split by their length, then by successive bytes: each level splits every open group by the
+next bytes of its texts, and each part that holds more than one document gets a number of its own, which
+the next level splits in turn.  A group is done when it holds one document, or when its texts have ended;
+texts that stayed together until then are equal, so no digest is compared anywhere.  The step grows by a
+factor per level, so the number of levels is the logarithm of the longest text that has a partner.
 
 Scale: a level counts its groups with map-side partial aggregation, so a group with a third of all
 rows costs one row per map task there; groups of two or more are written and go back by an ordinary
-equi-join whose hot partitions adaptive execution can split.  Only documents of groups that are still open are written
-for the next level.
+equi-join whose hot partitions adaptive execution can split.  A level looks at its own bytes alone, and only
+the bytes after them, of documents whose groups are still open, go on to the next.
 """
 
 from __future__ import annotations
@@ -29,33 +28,34 @@ def exact_groups(
     keep: which id of equal texts stays, "max" or "min".  with_text: the result carries the text, else
     it has all other columns.  Null texts count as empty, and all empty texts are equal.  Rows that tie
     (same text and same id) are all in the group and all kept.  A null id is never preferred to
-    another; a group with null ids only keeps its rows, with a null ``keep_id``.  An empty input gives
-    an empty result.  Input columns called like a result column are replaced.
+    another; a group with null ids only keeps its rows, with a null ``keep_id``.  A very long text is one
+    value of its row, cut level by level.  An empty input gives an empty result.  Input columns called like a result column are replaced.
     """
     if first_bytes < 1 or growth < 2:
         raise ValueError("first_bytes must be positive and growth at least 2")
     pick = {"max": F.max, "min": F.min}[keep]
     docs = docs.drop("keep_id", "group_size", "kept")
-    bytes_, size, prefix, n, top, done = fresh(docs, "body", "size", "prefix", "n", "top", "done")
-    state = docs.withColumn(bytes_, or_empty(text).cast("binary")).withColumn(size, F.length(bytes_))
+    rest, size, group, cut, n, top, done, number = fresh(docs, "rest", "size", "group", "cut", "n", "top", "done", "number")
+    state = docs.withColumn(rest, or_empty(text).cast("binary")).withColumn(size, F.length(rest)).withColumn(group, F.col(size).cast("long"))
     if not with_text:
         state = state.drop(text)
     ws = Workspace(docs.sparkSession, "exact")
-    width, level, decided = first_bytes, 0, None
+    width, seen, level, decided = first_bytes, 0, 0, None
     while True:
-        cut = state.withColumn(prefix, F.substring(bytes_, 1, width))
-        groups = cut.groupBy(size, prefix).agg(F.count("*").alias(n), pick(id).alias(top)).filter(F.col(n) > 1)
-        joined = cut.join(ws.table(groups, f"groups{level}").hint("merge"), [size, prefix], "left").withColumn(done, F.col(n).isNull() | (F.col(size) <= width))
-        keep_body = F.col(bytes_) if with_text else F.when(~F.col(done), F.col(bytes_))
-        level_rows = ws.table(joined.withColumn(bytes_, keep_body).drop(prefix), f"level{level}")
-        found = level_rows.filter(done).withColumn("keep_id", F.when(F.col(n).isNull(), F.col(id)).otherwise(F.col(top)))
+        seen += width
+        split = state.withColumn(cut, F.substring(rest, 1, width)).withColumn(rest, F.substring(rest, width + 1, 2**31 - 1))
+        parts = split.groupBy(group, cut).agg(F.count("*").alias(n), pick(id).alias(top)).filter(F.col(n) > 1)
+        parts = ws.table(parts.withColumn(number, F.monotonically_increasing_id()), f"parts{level}")  # numbers stand once written
+        joined = split.join(parts.hint("merge"), [group, cut], "left").withColumn(done, F.col(n).isNull() | (F.col(size) <= seen))
+        rows = ws.table(joined.withColumn(rest, F.when(~F.col(done), F.col(rest))).drop(cut, group), f"level{level}")
+        found = rows.filter(done).withColumn("keep_id", F.when(F.col(n).isNull(), F.col(id)).otherwise(F.col(top)))
         found = found.withColumn("group_size", F.coalesce(n, F.lit(1)).cast("long")).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id)))
-        found = found.drop(bytes_, size, n, top, done)
+        found = found.drop(rest, size, n, top, done, number)
         decided = found if decided is None else decided.unionByName(found)
-        state = level_rows.filter(~F.col(done)).drop(n, top, done)
+        state = rows.filter(~F.col(done)).drop(n, top, done).withColumnRenamed(number, group)
         if state.isEmpty():
             return decided
-        width, level = width * growth, level + 1
+        width, level = min(width * growth, 1 << 30), level + 1
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "max") -> DataFrame:

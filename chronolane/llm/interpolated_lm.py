@@ -8,9 +8,8 @@ the final scores use all training counts.
 Scale: nothing of the model is broadcast or collected.  Documents are written once as batches, one
 compressed row each.  A batch sends its distinct words and bigrams, as sorted keys with counts, to the
 owners of key ranges; an owner adds up each key and answers every batch in the order it asked, so the
-way back is counts alone and a hot word or bigram costs one entry per batch at each end.  Words have
-64-bit keys.  A bigram has 40 bits besides its owner (owners grow with the input, so ranges stay of one
-size), and is sent as a 4-byte step from the one before it.  The driver sees three totals and a
+way back is counts alone and a hot word or bigram costs one entry per batch at each end.  Words and
+bigrams have 64-bit keys, sent as 6-byte steps from the ones before them.  The driver sees three totals and a
 histogram of (context bucket, probability cells) whose size is fixed.
 """
 
@@ -35,7 +34,6 @@ ROUNDS = 60
 _END = np.uint64(0x5851F42D4C957F2D)
 _LEFT = np.uint64(0x9FB21C651E98DF25)
 _ASKED = "kind string, part int, batch long, keys binary, train binary, gone binary"
-_PAIR_BITS = np.uint64(40)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,21 +69,20 @@ def _counts(raw: bytes) -> np.ndarray:
 
 
 def _steps(keys: np.ndarray) -> bytes:
-    """Ascending keys as 4-byte steps where they fit."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    small = not len(step) or int(step.max()) < 1 << 32
-    return (b"4" + step.astype(np.uint32).tobytes()) if small else (b"8" + keys.tobytes())
+    """Ascending keys as the first and 6-byte steps, where those fit."""
+    step = np.diff(keys)
+    if len(step) and int(step.max()) >= 1 << 48:
+        return b"8" + keys.tobytes()
+    return b"6" + keys[:1].tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _keys(raw: bytes) -> np.ndarray:
-    body = memoryview(raw)[1:]
-    return np.cumsum(np.frombuffer(body, np.uint32), dtype=np.uint64) if raw[:1] == b"4" else np.frombuffer(body, np.uint64)
-
-
-def _pair_keys(bi: np.ndarray, parts: int) -> np.ndarray:
-    """Owner and 40 bits of each bigram, in one ascending number."""
-    low = mix(bi) >> (np.uint64(64) - _PAIR_BITS)
-    return (_part(bi, parts).astype(np.uint64) << _PAIR_BITS) | low
+    body = np.frombuffer(raw, np.uint8, offset=1)
+    if raw[:1] == b"8":
+        return np.frombuffer(body.tobytes(), np.uint64)
+    step = np.zeros(((len(body) - 8) // 6, 8), np.uint8)
+    step[:, :6] = body[8:].reshape(-1, 6)
+    return np.cumsum(np.concatenate([np.frombuffer(body[:8].tobytes(), np.uint64), step.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def _batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +104,10 @@ def _ask(parts: int):
                 docs = unpacked(raw)
                 uni, bi, first = _tokens(docs.column("text").combine_chunks())
                 learn = np.repeat(~docs.column("held").to_numpy().astype(bool), np.diff(first))
-                for name, tokens in (("word", uni), ("pair", _pair_keys(bi, parts))):
+                for name, tokens in (("word", uni), ("pair", bi)):
                     keys, inv = np.unique(tokens, return_inverse=True)
                     train = np.bincount(inv, weights=learn, minlength=len(keys)).astype(np.int64)
-                    owner = _part(keys, parts) if name == "word" else (keys >> _PAIR_BITS).astype(np.int64)
-                    if name == "pair":
-                        keys = keys & ((np.uint64(1) << _PAIR_BITS) - np.uint64(1))
-                    cut = np.searchsorted(owner, np.arange(parts + 1))
+                    cut = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
                     have = np.flatnonzero(np.diff(cut)).tolist()
                     own = [(keys[cut[p] : cut[p + 1]], train[cut[p] : cut[p + 1]]) for p in have]
                     counts = [_small(t) for _, t in own]
@@ -150,13 +144,13 @@ def _answer(asked: pa.Table) -> pa.Table:
     )
 
 
-def _joined(batches: pa.Table, replies: pa.Table, deleted: bool, parts: int):
+def _joined(batches: pa.Table, replies: pa.Table, deleted: bool):
     """Per token of a batch: counts of its bigram, its context and itself; kept counts if ``deleted``."""
     docs = unpacked(batches.column("docs")[0].as_py())
     uni, bi, first = _tokens(docs.column("text").combine_chunks())
     counts = {}
     replies = replies.sort_by("part")
-    for kind, tokens in (("word", uni), ("pair", _pair_keys(bi, parts))):
+    for kind, tokens in (("word", uni), ("pair", bi)):
         rows = replies.filter(pa.compute.equal(replies.column("kind"), kind))
         get = lambda name: np.concatenate([_counts(x) for x in rows.column(name).to_pylist()])  # noqa: B023, E731
         total = get("train") - (get("gone") if deleted else 0)
@@ -181,9 +175,9 @@ def _cell(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.minimum(CELLS - 1, (-STEPS * np.log2(np.maximum(p, 1e-300))).astype(np.int64) + 1), 0)
 
 
-def _histogram(kept_tokens: int, parts: int):
+def _histogram(kept_tokens: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        _, _, pair, context, word = _joined(docs, replies, True, parts)
+        _, _, pair, context, word = _joined(docs, replies, True)
         p2, p1 = _ratio(pair, context), _ratio(word, kept_tokens)
         cell = (_bucket(context) * CELLS + _cell(p2)) * CELLS + _cell(p1)
         found, inv = np.unique(cell, return_inverse=True)
@@ -217,9 +211,9 @@ def learn_weights(cell: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarra
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _score(tokens: int, distinct: int, weights: np.ndarray, parts: int):
+def _score(tokens: int, distinct: int, weights: np.ndarray):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        docs, first, pair, context, word = _joined(docs, replies, False, parts)
+        docs, first, pair, context, word = _joined(docs, replies, False)
         base = np.log10((word + 0.1) / (tokens + 0.1 * (distinct + 1)))
         w = weights[_bucket(context)]
         mixed = np.log10(w[:, 0] * _ratio(pair, context) + w[:, 1] * _ratio(word, tokens) + w[:, 2] / (distinct + 1))
@@ -267,9 +261,9 @@ def lm_scores(docs: DataFrame, text: str = "text", id: str = "doc_id", parts: in
     replies = answers.filter("batch >= 0")
     away = home.filter("away")
     told = replies.join(away.select("batch"), "batch", "left_semi")
-    cells = away.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_histogram(tokens - gone, parts), "cell long, n double, p2 double, p1 double")
+    cells = away.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_histogram(tokens - gone), "cell long, n double, p2 double, p1 double")
     held = cells.groupBy("cell").agg(F.sum("n"), F.sum("p2"), F.sum("p1")).orderBy("cell").collect()
     cell, n, p2, p1 = (np.array([r[k] for r in held], np.int64 if k == 0 else float) for k in range(4))
     weights = learn_weights(cell, n, p2, p1, 1 / (distinct + 1))
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return home.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(tokens, distinct, weights, parts), shape)
+    return home.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(tokens, distinct, weights), shape)

@@ -1,10 +1,10 @@
 """WARC archives as a Spark data source, and the archive of a page table with revisit records.
 
-Writing: each task writes one file of gzip members, one member per record, and the driver commits a
-manifest that names the files of the attempts that counted.  Every member carries its compressed and
+Writing: each task writes files of gzip members, one member per record and ``FILE_BYTES`` per file or a
+little more, and the driver commits a manifest that names the files of the attempts that counted.  Every member carries its compressed and
 its full length in a gzip extra field, so a reader can step over it without inflating it.
 
-Reading: files are planned into partitions by size.  Predicates on record type and other headers are
+Reading: files, plain or gzip, are planned into partitions by size.  Predicates on record type and other headers are
 pushed down; a record's headers are inflated and parsed first, and its payload is inflated only if the
 record is wanted and the ``payload`` option asks for it ("read", "verify" or "skip").
 """
@@ -50,6 +50,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "_manifest.json"
 PARTITION_BYTES = 64 << 20
+FILE_BYTES = 64 << 20
 _STEP = 1 << 14
 
 
@@ -124,25 +125,62 @@ class _Member:
                 raise ValueError(f"record at {self.at} has no end of headers")
         return found + len(mark)
 
-    def rest(self) -> bytes:
-        parts = [self.data]
-        while not self.inflater.eof:
+    def upto(self, size: int | None) -> bytes:
+        """At least ``size`` bytes of the record, all of it for None."""
+        parts, have = [self.data], len(self.data)
+        while not self.inflater.eof and (size is None or have < size):
             raw = self.file.read(_STEP)
             if not raw:
                 raise ValueError(f"record at {self.at} is cut off")
             self.read += len(raw)
             parts.append(self.inflater.decompress(raw))
+            have += len(parts[-1])
         self.data = b"".join(parts)
         return self.data
 
-    def end(self) -> int:
+    def end(self, size: int) -> int:
         """Where the next member begins; stepping over what wasn't inflated if the length is known."""
         if self.length:
             return self.at + self.length
-        self.rest()
+        self.upto(None)
         return self.at + self.read - len(self.inflater.unused_data)
 
 
+class _Plain:
+    """One record of an open file that isn't compressed, read as far as asked."""
+
+    def __init__(self, file, at: int):
+        self.file, self.at, self.data = file, at, b""
+        file.seek(at)
+        self.ended = not self.more()
+
+    def more(self) -> bool:
+        raw = self.file.read(_STEP)
+        self.data += raw
+        return bool(raw)
+
+    def until(self, mark: bytes, start: int = 0) -> int:
+        while (found := self.data.find(mark, start)) < 0:
+            if not self.more():
+                raise ValueError(f"record at {self.at} has no end of headers")
+        return found + len(mark)
+
+    def upto(self, size: int) -> bytes:
+        if len(self.data) < size:
+            self.data += self.file.read(size - len(self.data))
+        if len(self.data) < size:
+            raise ValueError(f"record at {self.at} is cut off")
+        return self.data
+
+    def end(self, size: int) -> int:
+        return self.at + size + 4
+
+
+def _record(file, at: int) -> _Member | _Plain:
+    file.seek(at)
+    return _Member(file, at) if file.read(2) == b"\x1f\x8b" else _Plain(file, at)
+
+
 def _fields(head: bytes) -> dict[str, str]:
     pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:] if line)
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
@@ -151,24 +189,25 @@ def _fields(head: bytes) -> dict[str, str]:
 def read_records(file, wanted, payload: str) -> Iterator[dict]:
     """Records of an open archive; ``wanted`` decides on the headers, before the payload is inflated."""
     at = 0
-    while not (member := _Member(file, at)).ended:
+    while not (member := _record(file, at)).ended:
         stop = member.until(b"\r\n\r\n")
         named = _fields(member.data[:stop])
         row = {c: named.get(name.lower()) for c, name in HEADERS.items()}
+        whole = stop + int(named["content-length"])
         if wanted(row):
             body = member.until(b"\r\n\r\n", stop) if "application/http" in named.get("content-type", "") else stop
             http = _fields(member.data[stop:body])
-            size = int(named["content-length"]) - (body - stop)
+            size = whole - body
             row["payload_length"] = int(http.get("content-length", size))
             row["payload"] = None
             if payload != "skip" and row["type"] != "revisit":
-                content = member.rest()[body : body + size]
+                content = member.upto(whole)[body:whole]
                 if payload == "read":
                     row["payload"] = content
                 elif (row["payload_length"], row["payload_digest"]) != (len(content), f"sha1:{base32_sha1(content)}"):
                     raise ValueError(f"record {row['record_id']} doesn't hold the payload that its headers name")
             yield row
-        at = member.end()
+        at = member.end(whole)
 
 
 @dataclass
@@ -223,7 +262,8 @@ class WarcReader(DataSourceReader):
             with system.open_input_stream(listed[MANIFEST].path) as f:
                 files = [listed[x] for x in json.load(f)]
         else:
-            files = [x for name, x in sorted(listed.items()) if name.endswith((".warc.gz", ".warc"))]
+            every = system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+            files = sorted((x for x in every if x.base_name.endswith((".warc.gz", ".warc"))), key=lambda x: x.path)
         out, room = [], 0
         for x in files:
             if not out or room + x.size > self.most:
@@ -252,27 +292,42 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
+        self.most = int(options.get("fileBytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _filesystem(self.path)
-        name, out = f"part-{uuid.uuid4().hex}.warc.gz", None
+        names, out, size = [], None, 0
         try:
             for batch in iterator:
-                if out is None:
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(f"{root}/{name}", compression=None)
-                for row in batch.to_pylist():
-                    out.write(gzip_member(encode_record(row)))
-        finally:
+                for k in range(0, batch.num_rows, 256):
+                    for row in batch.slice(k, 256).to_pylist():
+                        if out is None:
+                            system.create_dir(root, recursive=True)
+                            names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                            out, size = system.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+                        size += out.write(gzip_member(encode_record(row)))
+                        if size >= self.most:
+                            out.close()
+                            out = None
+        except BaseException:
             if out is not None:
                 out.close()
-        return Written(name if out is not None else None)
+            self._remove(names)
+            raise
+        if out is not None:
+            out.close()
+        return Written(names)
+
+    def _remove(self, names: list[str]) -> None:
+        system, root = _filesystem(self.path)
+        for name in names:
+            system.delete_file(f"{root}/{name}")
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _filesystem(self.path)
@@ -282,10 +337,11 @@ class WarcWriter(DataSourceArrowWriter):
             with system.open_input_stream(f"{root}/{MANIFEST}") as f:
                 known = json.load(f)
         with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(known + sorted(m.name for m in messages if m and m.name)).encode())
+            f.write(json.dumps(known + sorted(x for m in messages if m for x in m.names)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Files of failed attempts aren't in the manifest, so nobody reads them."""
+        """Files of tasks that ended go; a failed task removed its own, and no manifest names those of a lost executor."""
+        self._remove([x for m in messages if m for x in m.names])
 
 
 class WarcSource(DataSource):
@@ -321,16 +377,17 @@ def page_records(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     The payload is the html in UTF-8, empty for null.  Of pages with equal payloads of at least
     ``least`` bytes the smallest id is a response and the others revisit it; pages below that are all
     responses.  A null id counts as larger than any other; pages that tie on payload and smallest id are
-    all responses, as are equal pages without any id.
+    all responses, as are equal pages without any id.  Payloads are equal if their SHA-256 and lengths are.
+    Other columns, whatever their names, are left out; a very long payload is held whole by its task.  An
+    empty table gives no records.
     """
-    digest, size, body, n, first = fresh(pages, "digest", "size", "body", "n", "first")
-    # the digest that decides is SHA-1 with the length, as in the records
+    digest, size, body, n, first, same = fresh(pages, "digest", "size", "body", "n", "first", "same")
     keyed = pages.select(F.col(id), F.col(url), F.coalesce(F.col(html), F.lit("")).cast("binary").alias(body))
-    keyed = keyed.withColumn(digest, F.sha1(body)).withColumn(size, F.length(body).cast("long"))
-    groups = keyed.filter(F.col(size) >= least).groupBy(digest, size).agg(F.count("*").alias(n), F.min(id).alias(first)).filter(F.col(n) > 1).drop(n)
+    keyed = keyed.withColumn(digest, F.sha1(body)).withColumn(same, F.sha2(body, 256)).withColumn(size, F.length(body).cast("long"))
+    groups = keyed.filter(F.col(size) >= least).groupBy(same, size).agg(F.count("*").alias(n), F.min(id).alias(first)).filter(F.col(n) > 1).drop(n)
     # written, so that the join below has an exchange of its own that adaptive execution can split
     groups = Workspace(pages.sparkSession, "warc").table(groups, "groups")
-    both = keyed.join(groups, [digest, size], "left")
+    both = keyed.join(groups, [same, size], "left")
     again = F.col(first).isNotNull() & ~F.col(first).eqNullSafe(F.col(id))
     return both.select(
         _urn(F.col(id)).alias("record_id"),
@@ -358,7 +415,9 @@ def page_id(record: str) -> Column:
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "read", where: str | Column | None = None) -> DataFrame:
-    """The records under ``path``; ``where`` is pushed down as far as it speaks of headers.
+    """The records under ``path``, of the files its manifest names or else of all .warc and .warc.gz files below it.
+
+    ``where`` is pushed down as far as it speaks of headers.  A folder without archives gives no rows.
 
     Spark keeps pushed predicates with a loaded relation, so every call loads a new one; don't filter
     one loaded DataFrame in two different ways.

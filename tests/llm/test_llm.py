@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolane.llm import chat, mixing, warc
+from chronolane.llm import chat, interpolated_lm, mixing, warc
 from chronolane.llm import decontaminate as decontaminate_module
 from chronolane.llm.decontaminate import contamination, decontaminate
 from chronolane.llm.exact_dedup import exact_dedup, exact_groups
@@ -282,7 +282,6 @@ def test_lm_scores(docs):
     left = lambda i: zlib.crc32(str(i).encode()) % 10
     train_rows = [w for i, w in rows if left(i) != 0]
     c = collections.Counter(x for w in train_rows for x in w)
-    pairs = collections.Counter(p for w in train_rows for p in zip([None, *w], w, strict=False))
     n, v = sum(c.values()), len(c)
     own = collections.defaultdict(list)
     for i, w in rows:
@@ -292,16 +291,73 @@ def test_lm_scores(docs):
         assert (r.n_tokens, r.n_known) in {o[:2] for o in own[r.doc_id]} and r.train_tokens == n and r.held_out == (left(r.doc_id) == 0)
         assert any(r.base_score == pytest.approx(o[2], rel=1e-9) for o in own[r.doc_id])
         assert math.isfinite(r.score) and r.score < 0
-    # probabilities over a vocabulary sum to less than one in every context
-    weights = np.array([[0.5, 0.3, 0.2]] * 16)
-    some = next(iter(c))
-    total = sum(0.5 * pairs[some, x] / max(1, c[some]) + 0.3 * c[x] / n + 0.2 / (v + 1) for x in c)
-    assert total <= 1 + 1e-9 and weights.shape == (16, 3)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm_scores(empty(docs)).count() == 0
 
 
+def brute_model(rows, left, weights=None):
+    """Scores by direct counting; weights by EM over single tokens where none are given."""
+
+    def counts(some):
+        return collections.Counter(x for w in some for x in w), collections.Counter(p for w in some for p in zip([None, *w], w, strict=False))
+
+    def parts(one, two, w):
+        n = sum(one.values())
+        return [(one[a], two[a, b] / max(1, one[a]), one[b] / max(1, n)) for a, b in zip([None, *w], w, strict=False)]
+
+    bucket = lambda c: min(15, int(math.log2(c)) + 1) if c else 0
+    one, two = counts([w for i, w in rows if left(i) != 0])
+    floor = 1 / (len(one) + 1)
+    if weights is None:
+        kept = counts([w for i, w in rows if left(i) > 1])
+        seen = collections.defaultdict(list)
+        for w in (w for i, w in rows if left(i) == 1):
+            for c, p2, p1 in parts(*kept, w):
+                seen[bucket(c)].append((p2, p1, floor))
+        weights = np.full((16, 3), 1 / 3)
+        weights[0] = 0, 0.5, 0.5
+        for b, probs in seen.items():
+            probs = np.array(probs)
+            for _ in range(60):
+                share = weights[b] * probs
+                weights[b] = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        for b in range(1, 16):
+            if b not in seen:
+                weights[b] = weights[b - 1] if b > 1 else 1 / 3
+        weights = np.maximum(weights, [0, 0, 1e-6])
+        weights /= weights.sum(axis=1, keepdims=True)
+    return [(i, sum(math.log10(weights[bucket(c)] @ [p2, p1, floor]) for c, p2, p1 in parts(one, two, w))) for i, w in rows], weights
+
+
+def test_lm_score_equals_direct_counting(docs, monkeypatch):
+    rows = [(r.doc_id, SPACED.findall(low(r.text or "")) + [None]) for r in docs.collect()]
+    left = lambda i: zlib.crc32(str(i).encode()) % 10
+    learned = []
+    real = interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda *a: learned.append(real(*a)) or learned[-1])
+    monkeypatch.setattr(interpolated_lm, "BATCH_BYTES", 1 << 20)
+    got = collections.defaultdict(list)
+    for r in lm_scores(docs, parts=3).collect():
+        got[r.doc_id].append(r.score)
+    same, _ = brute_model(rows, left, learned[0])
+    assert all(any(x == pytest.approx(want, rel=1e-9) for x in got[i]) for i, want in same)
+    # cells of a quarter octave instead of single tokens change the weights little
+    exact, weights = brute_model(rows, left)
+    assert np.abs(weights - learned[0]).max() < 0.05
+    assert all(any(x == pytest.approx(want, rel=0.02) for x in got[i]) for i, want in exact)
+
+
+def test_lm_keys_travel_whole():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 100_000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        if n:
+            assert (interpolated_lm._keys(interpolated_lm._steps(keys)) == keys).all()
+    near = np.uint64(2**63) + np.cumsum(rng.integers(1, 2**40, 1000, dtype=np.uint64))
+    assert len(interpolated_lm._steps(near)) == 9 + 999 * 6 and (interpolated_lm._keys(interpolated_lm._steps(near)) == near).all()
+
+
 def test_weights_find_the_better_part():
     cell = np.array([((5 * 177) + 10) * 177 + 60])
     w = learn_weights(cell, np.array([1000.0]), np.array([200.0]), np.array([1.0]), 1e-6)
@@ -364,6 +420,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_plain_files_folders_and_sizes(spark, tmp_path):
+    rows = [dict(record_id=f"<urn:page:{k}>", type="response", target_uri="u", date=warc.DATE, payload_digest="sha1:" + warc.base32_sha1(b"x" * k), refers_to=None, payload_length=k, payload=b"x" * k) for k in (0, 3, 70_000, 5)]
+    plain = b"".join(warc.encode_record(r) for r in rows)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.warc").write_bytes(plain)
+    (tmp_path / "in" / "deep" / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.encode_record(r)) for r in rows))
+    path = f"file://{tmp_path}/in"
+    assert sorted(len(r.payload) for r in warc.read_warc(spark, path).collect()) == [0, 0, 3, 3, 5, 5, 70_000, 70_000]
+    assert warc.read_warc(spark, path, "verify", "record_id = '<urn:page:5>'").count() == 2
+    assert [r.payload_length for r in warc.read_warc(spark, path, "skip", F.col("record_id").endswith(":3>")).collect()] == [3, 3]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(plain[:-6])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, f"file://{tmp_path}/cut").collect()
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 50).alias("html")).coalesce(1)
+    warc.register(spark)
+    warc.page_records(pages).coalesce(1).write.format("warc").option("fileBytes", 20_000).mode("append").save(f"{path}/out")
+    assert len(list((tmp_path / "in" / "out").glob("*.warc.gz"))) > 3 and warc.read_warc(spark, f"{path}/out", "verify").count() == 200
+
+
 def test_warc_without_lengths_and_with_a_broken_payload(tmp_path):
     row = dict(record_id="<urn:page:1>", type="response", target_uri="u", date=warc.DATE, payload_digest="sha1:" + warc.base32_sha1(b"abc"), refers_to=None, payload_length=3, payload=b"abc")
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(warc.encode_record(row)) + warc.gzip_member(warc.encode_record(row)) + gzip.compress(warc.encode_record(row | {"payload": b"abd"})))
