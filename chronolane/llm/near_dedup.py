@@ -264,12 +264,12 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     families = families.select("family", (blocks("rows", "items") > 1).alias("large"))
     active = ws.table(active.join(families, "family"), "members")
     whole = active.filter("NOT large").select(F.xxhash64("family").alias("token"), F.lit(0).alias("i"), *of_class)
-    parts = dealt.join(active.filter("large").select(of_class), of_class).select("token", F.col("block").alias("i"), *of_class)
+    parts = dealt.join(active.filter("large").select(of_class), of_class, "left_semi").select("token", F.col("block").alias("i"), *of_class)
 
     # confirmed on the texts of candidates; a class's text is that of its smallest id
     texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).drop("h")
-    texts = texts.join(classes.select("rep", "cls", "same", "sign").join(active.select(of_class), of_class).hint("merge"), "rep")
+    texts = texts.join(classes.select("rep", "cls", "same", "sign").join(active.select(of_class), of_class, "left_semi").hint("merge"), "rep")
     texts = ws.table(texts, "texts")
 
     def confirmed(rows: DataFrame, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ POWER = 3
 WORST = 3
 CANDIDATES = 3000
 CHUNK_BYTES = 4 << 20
-CACHE = 400_000
+CACHE = 250_000
 _LETTERS = 27
 _CODES = _LETTERS**3
 _FROM, _TO = "0134579@", "oieastga"
