@@ -9,12 +9,14 @@
    class with fewer shared pairs than needed; of lists with the same members one is kept.
 3. In each list a class's collisions with the classes of other components are counted coordinate stride
    by stride, and a class is skipped as soon as what is left can't reach the match threshold.  Pairs that
-   reach it make candidate components.  A candidate component of one block is confirmed as a whole, so
-   its texts travel once; in larger ones the lists are confirmed, dealt in blocks.
+   reach it make candidate components; a list of several blocks is one as it stands, and a list within
+   it isn't looked at.  A candidate component of one block is confirmed as a whole, so its texts travel
+   once; in larger ones each class is confirmed in its longest list first, dealt in blocks in two ways.
 4. In a block pairs with enough collisions are confirmed on the full shingle sets, and a confirmed link
    joins their components.  A block emits its joined components as stars, fewer rows than it has.
-5. In lists of several blocks that still lie in several components, every class outside the list's
-   largest component meets every class of the list, block by block.
+5. Lists of large candidate components that still lie in several components are confirmed next: those of
+   one block whole, in others every class outside the list's largest component meets every class of the
+   list, block by block.
 
 Scale: counts, members and smallest ids of lists are partially aggregated before the shuffle; no list,
 link or component is collected; a task holds two blocks, which are bounded by rows and by bytes of sets.
@@ -243,9 +245,9 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     members = placed.groupBy("token").agg(F.count("*").alias("rows"), F.sum("n").alias("items"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), *digests)
     members = members.filter("rows > 1").groupBy("rows", "items", "lo", "hi", "x0", "x1").agg(F.min("token").alias("token"))
     blocks = lambda rows, items: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(items) * 8 / BLOCK_BYTES)).cast("int")
-    kept = ws.table(members.select("token", "lo", blocks("rows", "items").alias("blocks")), "kept")
-    place = lambda n: F.pmod(F.xxhash64("token", "rep", "cls"), n).cast("int")
-    dealt = ws.table(placed.join(kept, "token").select("token", "lo", "rep", "cls", "n", "blocks", place("blocks").alias("block")), "dealt")
+    kept = ws.table(members.select("token", "lo", "rows", blocks("rows", "items").alias("blocks")), "kept")
+    place = lambda n, *more: F.pmod(F.xxhash64("token", "rep", "cls", *more), n).cast("int")
+    dealt = ws.table(placed.join(kept, "token").select("token", "lo", "rep", "cls", "n", "rows", "blocks", place("blocks").alias("block")), "dealt")
     ws.drop("lists", "placed", "kept")
 
     def joined(rows: DataFrame, name: str) -> DataFrame:
@@ -253,18 +255,24 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
         rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
         return ws.table(rows.mapInArrow(_block_links(matches, percent), f"a {kind}, b {kind}").distinct(), name)
 
-    # candidate components: collisions counted in lists of one block, longer lists as a whole
-    signs = classes.select("rep", "cls", "sign")
-    one = dealt.filter("blocks = 1").join(signs, of_class)
-    near = joined(one.select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp"), "sign"), "near")
+    # candidate components: a list of several blocks joins its classes; in lists of one block that lie in
+    # several such components collisions are counted
+    longest = ws.table(dealt.groupBy(of_class).agg(F.max(F.struct("blocks", "rows", "token", "lo")).alias("of")).select(*of_class, "of.*"), "longest")
+    one = dealt.filter("blocks = 1").select("token", *of_class).join(longest.select(*of_class, F.when(F.col("blocks") > 1, F.col("lo")).alias("lo")), of_class)
+    one = ws.table(one.select("token", *of_class, F.coalesce("lo", "rep").alias("comp")), "one")
+    several = one.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    one = one.join(several, "token", "left_semi").join(classes.select("rep", "cls", "sign"), of_class)
+    near = joined(one.select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), "comp", "sign"), "near")
     near = near.union(dealt.filter("blocks > 1 AND rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
     family = components(near, ws, "family")
     active = ws.table(dealt.select("rep", "cls", "n").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("comp", "family"), "rep"), "active")
     families = active.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     families = families.select("family", (blocks("rows", "items") > 1).alias("large"))
     active = ws.table(active.join(families, "family"), "members")
-    whole = active.filter("NOT large").select(F.xxhash64("family").alias("token"), F.lit(0).alias("i"), *of_class)
-    parts = dealt.join(active.filter("large").select(of_class), of_class, "left_semi").select("token", F.col("block").alias("i"), *of_class)
+    whole = active.filter("NOT large").select(F.xxhash64("family").alias("token"), F.lit(0).alias("i"), F.lit(0).alias("j"), *of_class)
+    large = active.filter("large").select(*of_class, "family")
+    turns = F.sequence(F.lit(0), F.when(F.col("blocks") > 1, 1).otherwise(0))
+    parts = longest.join(large, of_class, "left_semi").withColumn("j", F.explode(turns)).select("token", place("blocks", "j").alias("i"), "j", *of_class)
 
     # confirmed on the texts of candidates; a class's text is that of its smallest id
     texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct().hint("merge"), "rep", "left_semi")
@@ -275,14 +283,15 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     def confirmed(rows: DataFrame, name: str) -> DataFrame:
         return joined(rows.join(texts.hint("merge"), of_class).select("token", "i", "j", "outside", "comp", "same", "sign", "text"), name)
 
-    links = confirmed(whole.union(parts).select("token", "i", F.lit(0).alias("j"), F.lit(False).alias("outside"), F.col("rep").alias("comp"), *of_class), "links")
+    links = confirmed(whole.union(parts).select("token", "i", "j", F.lit(False).alias("outside"), F.col("rep").alias("comp"), *of_class), "links")
     # rows that share an id but not a set tie their classes together
     ties = named.join(classes.select("same", "rep"), "same").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ties = ties.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
     final = components(links.union(ties), ws, "first")
 
-    # lists of several blocks that still lie in several components
-    long = dealt.filter("blocks > 1").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # lists of large candidate components that still lie in several components
+    long = dealt.join(large, of_class).withColumn("token", F.xxhash64("token", "family"))
+    long = long.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     held = long.groupBy("token", "blocks", "comp").agg(F.count("*").alias("rows"))
     held = held.groupBy("token", "blocks").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("comp", "rows").alias("largest")).filter("rows > most")
     outer = F.ceil((F.col("rows") - F.col("most")) / F.col("rows") * F.col("blocks")).cast("int")
@@ -290,9 +299,9 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     if not open_.isEmpty():
         long = long.join(open_, "token").withColumn("outside", F.col("comp") != F.col("largest"))
         every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "comp", *of_class)
-        queries = long.filter("outside").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "comp", *of_class)
+        queries = long.filter("outside AND blocks > 1").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "comp", *of_class)
         final = components(links.union(ties).union(confirmed(every.union(queries), "more_links")), ws, "final")
-    ws.drop("dealt", "near", "active", "members", "texts", "open")
+    ws.drop("dealt", "longest", "one", "near", "active", "members", "texts", "open")
     all_ = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
     return all_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
