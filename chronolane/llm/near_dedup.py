@@ -290,8 +290,8 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     final = components(links.union(ties), ws, "first")
 
     # lists of large candidate components that still lie in several components
-    long = dealt.join(large, of_class).withColumn("token", F.xxhash64("token", "family"))
-    long = long.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    large = large.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    long = ws.table(dealt.join(large, of_class).withColumn("token", F.xxhash64("token", "family")), "long")
     held = long.groupBy("token", "blocks", "comp").agg(F.count("*").alias("rows"))
     held = held.groupBy("token", "blocks").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("comp", "rows").alias("largest")).filter("rows > most")
     outer = F.ceil((F.col("rows") - F.col("most")) / F.col("rows") * F.col("blocks")).cast("int")
@@ -301,7 +301,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
         every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "comp", *of_class)
         queries = long.filter("outside AND blocks > 1").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "comp", *of_class)
         final = components(links.union(ties).union(confirmed(every.union(queries), "more_links")), ws, "final")
-    ws.drop("dealt", "longest", "one", "near", "active", "members", "texts", "open")
+    ws.drop("dealt", "longest", "one", "near", "active", "members", "texts", "long", "open")
     all_ = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
     return all_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
