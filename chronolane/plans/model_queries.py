@@ -10,6 +10,7 @@ from chronolane.operators import aggregates as A
 from chronolane.operators import greedy as G
 from chronolane.operators import images as I
 from chronolane.operators import models as M
+from chronolane.operators import timeseries as T
 from chronolane.operators import windows as W
 from chronolane.operators.columns import homography
 from chronolane.plans.registry import LANE, ORDER, SAMPLES, load, query, rounded, samples
@@ -164,6 +165,17 @@ def m_session_lmm(spark, sf):
     return M.interaction_model(per, "y", "injection", "R", "virus", ("BUILDING", "MACHINERY"), "mouse", {"stationary": "boolean"})
 
 
+@query("m_timeseries_lmm")
+def m_timeseries_lmm(spark, sf):
+    """Prices of two flags by the days from an order to the shipping of its lines, in bins of ten days."""
+    o, c, li = (load(spark, sf, n) for n in ("orders", "customer", "lineitem"))
+    some = li.filter(F.col("l_returnflag").isin("A", "R")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    some = some.withColumn("elapsed", F.datediff("l_shipdate", "o_orderdate"))
+    keys = {"virus": "c_mktsegment", "mouse": "c_custkey", "session": "l_orderkey", "injection": "l_returnflag"}
+    per = T.binned_means(some.withColumnsRenamed({v: k for k, v in keys.items()}), list(keys), "elapsed", "l_extendedprice", 10.0)
+    return T.timeseries_model(per, "injection", "R", "mouse", "session", {"virus": "string"}, 60.0)
+
+
 @query("m_levene", f"""WITH {LINES}, z AS (SELECT virus, abs(y - quantile_cont(y, 0.5) OVER (PARTITION BY virus)) AS z FROM ln), g AS (SELECT virus, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY virus),
 t AS (SELECT sum(n) AS nn, count(*) AS k, sum(n * m) / sum(n) AS g, sum(n * m * m) AS s2, sum(n * v) AS w FROM g) SELECT round((nn - k) / (k - 1) * (s2 - nn * g * g) / w, 4) AS w, k - 1 AS df1, CAST(nn - k AS BIGINT) AS df2 FROM t""")
 def m_levene(spark, sf):
