@@ -7,8 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolane.operators import aggregates as A
+from chronolane.operators import columns as C
 from chronolane.operators import greedy as G
 from chronolane.operators import images as I
+from chronolane.operators import measure as P
 from chronolane.operators import models as M
 from chronolane.operators import timeseries as T
 from chronolane.operators import windows as W
@@ -368,13 +370,13 @@ def i_curve_max_percentile(spark, sf):
     return I.curve_percentile(_path(spark, sf), pixels(spark, sf), ["label"], 1.5)
 
 
-def _per_frame(spark, sf, kernel, schema):
-    """A numpy kernel on each frame (8 pixels wide)."""
+def _per_frame(spark, sf, kernel, schema, numbered=False):
+    """A numpy kernel on each frame (8 pixels wide), and its number if asked for."""
     import pandas as pd
 
     def run(batches):
         for pdf in batches:
-            out = [(int(i), *kernel(np.array(p).reshape(-1, WIDTH))) for i, p in zip(pdf["vec_id"], pdf["pixels"], strict=True)]
+            out = [(int(i), *kernel(np.array(p).reshape(-1, WIDTH), *([int(i)] if numbered else []))) for i, p in zip(pdf["vec_id"], pdf["pixels"], strict=True)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in f"vec_id long, {schema}".split(", ")])
 
     return frames(spark, sf).select("vec_id", "pixels").mapInPandas(run, f"vec_id long, {schema}")
@@ -428,6 +430,70 @@ def i_skeleton_path(spark, sf):
     return _per_frame(spark, sf, kernel, "kept long, length long, base double")
 
 
+@query("i_track_row")
+def i_track_row(spark, sf):
+    """A row of 34 columns per frame, against its video's background."""
+    import pandas as pd
+
+    f = frames(spark, sf)
+    b = I.background_median(f, ["label"], "pixels").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "background"))), lambda s: s["background"]).alias("bg"))
+    named = f"video_file string, frame_number long, elapsed_time_sec double, sampling_interval_frames int, {P.TRACK_ROW}"
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for v, i, p, bg in zip(pdf["label"], pdf["vec_id"], pdf["pixels"], pdf["bg"], strict=True):
+                frame, back = (np.array(a).reshape(-1, WIDTH) * 100 for a in (p, bg))
+                out.append((f"{v}.seq", int(i), i / 8.0, 1, *P.track_row(frame, back, np.ones(frame.shape, bool), 0.5, 2, 60, 1.0, 4)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in named.split(", ")])
+
+    return f.join(b, "label").select("label", "vec_id", "pixels", "bg").mapInPandas(run, named)
+
+
+@query("i_measure_sample")
+def i_measure_sample(spark, sf):
+    """Each frame's blob as the other camera's mask, a pixel off; registered, refined, measured, then gated."""
+
+    def kernel(f):
+        f = f * 100
+        found = I.segment(f, np.full(f.shape, np.median(f)), 0.5, 2, 60)
+        mask = np.zeros(f.shape, bool)
+        if found:
+            mask[tuple(found["pixels"].T)] = True
+        native = (found["x"], found["y"]) if found else None
+        return P.sample(f, mask, P.translation(1, -1), native, 1.0, (1.5, 4.0), 1, least=5)
+
+    rows = _per_frame(spark, sf, kernel, P.SAMPLE)
+    reasons = C.gate(F.col("delta"), F.lit(1.0), F.lit(True), F.lit(True), F.col("posture") == "extended", 0.3, 0.5)
+    return rows.withColumn("qc", F.when(F.col("posture").isNotNull(), F.array_join(reasons, "; ")))
+
+
+@query("i_tail_delta_curve", f"""WITH {PIX}, k AS (SELECT unnest(range(4)) + 0.5 AS x), near AS (SELECT vec_id, x, max(value) AS v FROM px, k WHERE (px - x) * (px - x) + (py - vec_id % 8) * (py - vec_id % 8) <= 1 GROUP BY 1, 2), t AS (SELECT vec_id, quantile_cont(v, 0.9) AS tail FROM near GROUP BY 1),
+f AS (SELECT vec_id, CASE WHEN count(*) >= 10 THEN quantile_cont(value, 0.5) END AS floor FROM (SELECT *, (px - 2) * (px - 2) + (py - vec_id % 8) * (py - vec_id % 8) AS r2 FROM px) WHERE r2 <= 16 AND r2 > 2.25 AND value <= 0.2 GROUP BY 1)
+SELECT t.vec_id, round(tail, 6) AS tail, round(floor, 6) AS floor, round(tail - floor, 6) AS delta, CASE WHEN floor IS NULL THEN 'insufficient clean floor annulus pixels' ELSE '' END AS reason FROM t LEFT JOIN f ON t.vec_id = f.vec_id""")
+def i_tail_delta_curve(spark, sf):
+    """The tail along four points of one pixel row, half a pixel off, less the floor around them."""
+
+    def kernel(f, k):
+        points = np.array([(x, k % 8) for x in range(4)]) + np.array([0.5, 0.0])
+        return P.tail_delta(f, points, 1.0, 1.5, 4.0, f > 0.2)
+
+    return rounded(_per_frame(spark, sf, kernel, "tail double, floor double, delta double, reason string", numbered=True))
+
+
+@query("i_registration_centroids", f"""WITH {PIX}, w AS (SELECT vec_id, avg(px + 1) AS x, avg(py - 1) AS y FROM px WHERE value > 0.05 AND px < 7 AND py > 0 GROUP BY 1), n AS (SELECT vec_id, avg(px) AS x, avg(py) AS y FROM px WHERE value > 0.15 GROUP BY 1), i AS (SELECT DISTINCT vec_id FROM px)
+SELECT i.vec_id, round(n.x - w.x, 6) AS dx, round(n.y - w.y, 6) AS dy FROM i LEFT JOIN w ON i.vec_id = w.vec_id LEFT JOIN n ON i.vec_id = n.vec_id""")
+def i_registration_centroids(spark, sf):
+    """The shift that takes a mask's centroid, warped by one pixel each way, to that of the frame's warm pixels."""
+
+    def kernel(f):
+        warm = np.argwhere(f > 0.15)
+        native = tuple(warm.mean(axis=0)[::-1]) if len(warm) else None
+        return P.registered(P.translation(1, -1), f > 0.05, f.shape, native)[1] or (None, None)
+
+    return rounded(_per_frame(spark, sf, kernel, "dx double, dy double"))
+
+
 @query("i_track_file")
 def i_track_file(spark, sf):
     import pandas as pd
