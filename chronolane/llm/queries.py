@@ -11,12 +11,15 @@ from chronolane.llm.base import Workspace, load
 from chronolane.llm.chat import ESCAPE, Template, format_chats, read_back
 from chronolane.llm.decontaminate import contamination
 from chronolane.llm.exact_dedup import exact_groups
+from chronolane.llm.fill_in_middle import fill_in_middle, restored
 from chronolane.llm.interpolated_lm import lm_scores
 from chronolane.llm.line_dedup import line_dedup
 from chronolane.llm.mixing import mix
 from chronolane.llm.near_dedup import near_groups
+from chronolane.llm.packing import pack
 from chronolane.llm.token_counts import token_counts
 from chronolane.llm.toxicity import Model, fit, toxicity
+from chronolane.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, codebooks_sha256, vector_codes
 from chronolane.llm.warc import archive_pages, page_id, read_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +125,63 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again.alias("restored_sha256"))
+
+
+def _h(k: int) -> str:
+    return f"CAST('0x' || substr(sha256('1:' || CAST(doc_id AS VARCHAR)), {8 * k + 1}, 8) AS BIGINT)"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_h(0)} AS h1, {_h(1)} AS h2, {_h(2)} AS h3, {_h(3)} AS h4 FROM documents),
+m AS (SELECT *, length(t) AS n, least(h1 % (length(t) + 1), h2 % (length(t) + 1)) AS a, greatest(h1 % (length(t) + 1), h2 % (length(t) + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS s FROM m)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || mid ELSE '<S>' || s || '<P>' || p || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM c
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    steps = [f"""e AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+w AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in v] AS v, len(v) // {PARTS} AS k FROM e),
+p AS (SELECT vec_id, label, r, i AS pos, v[i * k + 1:i * k + k] AS part FROM w, range({PARTS}) t(i)),
+u AS (SELECT pos, part, count(*) AS n FROM p GROUP BY pos, part),
+b0 AS (SELECT pos, r AS idx, part AS c FROM p WHERE r < {ENTRIES})"""]
+    far = "CAST(list_sum([(u.part[j] - b.c[j]) * (u.part[j] - b.c[j]) for j in range(1, len(u.part) + 1)]) AS BIGINT)"
+    for k in range(ROUNDS + 1):
+        steps.append(f"""d{k} AS (SELECT u.pos, u.part, any_value(u.n) AS n, min(ROW({far}, b.idx)) AS best FROM u JOIN b{k} b ON u.pos = b.pos GROUP BY u.pos, u.part),
+a{k} AS (SELECT pos, part, n, best[1] AS far, best[2] AS idx FROM d{k})""")
+        if k < ROUNDS:
+            steps.append(f"""s{k} AS (SELECT pos, idx, j, sum(part[j] * n) AS total, sum(n) AS n FROM a{k}, unnest(range(1, len(part) + 1)) t(j) GROUP BY pos, idx, j),
+m{k} AS (SELECT pos, idx, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{k} GROUP BY pos, idx),
+b{k + 1} AS (SELECT b.pos, b.idx, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.pos = m.pos AND b.idx = m.idx)""")
+    return "WITH " + ",\n".join(steps) + f""",
+x AS (SELECT p.vec_id, p.label, string_agg(format('{{:02x}}', a.idx), '' ORDER BY p.pos) AS code, CAST(sum(a.far) AS BIGINT) AS error
+ FROM p JOIN a{ROUNDS} a ON p.pos = a.pos AND p.part = a.part GROUP BY p.r, p.vec_id, p.label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, idx)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM x, h
+"""
+
+
+OP13_SQL = _op13_sql()
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COUNT = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in Template().controls())
 
@@ -167,6 +227,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,4 +237,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
