@@ -51,19 +51,60 @@ def interpolate_at(left: DataFrame, right: DataFrame, keys: list[str], t: str, c
     return found.select("_l.*", value.alias(out))
 
 
+#: Intervals shorter than this power of two (of the time's unit) share cells of that size.
+FINEST = -16
+
+
+def _covered(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Each interval once per cell that it touches: cells of a power of two (_width) between an eighth and a fourth of its length, by their begin (_cell)."""
+    s, e = F.col(start).cast("double"), F.col(end).cast("double")
+    held = intervals.filter(e >= s).withColumn("_width", F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(e - s, F.lit(4 * 2.0**FINEST)))) - 2))
+    low = s - F.pmod(s, F.col("_width"))
+    cells = F.sequence(F.lit(0), F.floor((e - low) / F.col("_width")).cast("int"))
+    return held.withColumn("_cell", F.explode(F.transform(cells, lambda k: low + k * F.col("_width"))))
+
+
+def cell_pairs(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str) -> DataFrame:
+    """Points beside the intervals of their key with which they share a cell; a pair that matches comes once, others lie within a fourth of the interval's length of it.
+
+    Lengths that differ by less than a factor of two share a cell size.  A point looks up its cell of each
+    size that occurs (one number a power of two), so the join is an equality on (key, size, cell): intervals
+    may overlap, and a key with most of the rows is dealt out by its cells.
+    """
+    cells = _covered(intervals, start, end)
+    sizes = cells.agg(F.collect_set("_width").alias("_width"))
+    at = F.col(t).cast("double")
+    looked = points.crossJoin(F.broadcast(sizes)).withColumn("_width", F.explode("_width")).withColumn("_cell", at - F.pmod(at, F.col("_width")))  # one row of sizes
+    return looked.join(cells, [*keys, "_width", "_cell"]).drop("_width", "_cell")
+
+
 def frames_in_bouts(frames: DataFrame, bouts: DataFrame, keys: list[str], t: str, start: str = "bout_start_sec", end: str = "bout_end_sec", valid: Column | None = None) -> DataFrame:
-    """Frames inside closed intervals of the same key, with the interval's columns; only valid frames if asked."""
+    """Frames inside closed intervals of the same key, with the interval's columns; only valid frames if asked.
+
+    Intervals may overlap; one that ends before it starts, or has no start or end, holds nothing.
+    """
     rows = frames if valid is None else frames.filter(valid)
-    return rows.join(bouts, keys).filter(F.col(t).between(F.col(start), F.col(end)))
+    return cell_pairs(rows, bouts, keys, t, start, end).filter(F.col(t).between(F.col(start), F.col(end)))
 
 
 def nonempty_bouts(frames: DataFrame, bouts: DataFrame, keys: list[str], t: str, start: str = "bout_start_sec", end: str = "bout_end_sec", valid: Column | None = None) -> DataFrame:
-    """Intervals that hold at least one (valid) frame."""
-    rows = (frames if valid is None else frames.filter(valid)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(t).alias("_t"))
-    on = F.col("_t").between(F.col(start), F.col(end))
+    """Intervals that hold at least one (valid) frame; equal ones as often as they occur."""
+    rows = (frames if valid is None else frames.filter(valid)).select(*keys, F.col(t).alias("_t"))
+    counted = bouts.groupBy(*bouts.columns).agg(F.count("*").alias("_times"))
+    found = cell_pairs(rows, counted, keys, "_t", start, end).filter(F.col("_t").between(F.col(start), F.col(end)))
+    held = found.groupBy(*bouts.columns).agg(F.first("_times").alias("_times"))
+    return held.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*bouts.columns)
+
+
+def inside_any(frames: DataFrame, bouts: DataFrame, keys: list[str], t: str, out: str, start: str = "bout_start_sec", end: str = "bout_end_sec") -> DataFrame:
+    """``frames`` with ``out``: whether an interval of the key holds the frame."""
+    at = frames.select(*keys, F.col(t).alias("_t")).distinct()
+    spans = bouts.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    held = cell_pairs(at, spans, keys, "_t", "_s", "_e").filter("_t BETWEEN _s AND _e").select(*[F.col(k).alias(f"_{k}") for k in keys], "_t").distinct()
+    on = F.col(t) == F.col("_t")
     for k in keys:
         on &= F.col(k) == F.col(f"_{k}")
-    return bouts.join(rows, on, "left_semi")
+    return frames.join(held, on, "left").withColumn(out, F.col("_t").isNotNull()).drop("_t", *[f"_{k}" for k in keys])
 
 
 def overlapping(bouts: DataFrame, t0: float, t1: float, pad: float = 0.0, start: str = "bout_start_sec", end: str = "bout_end_sec") -> DataFrame:

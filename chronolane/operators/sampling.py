@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronolane.sources.scratch import scratch
+
+
+def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``, the row's number from 1 in the order of the whole table; rows that tie are numbered in any order.
+
+    Rows are dealt to ranges of the order and written, numbered within their range by a window, and the
+    ranges before add their counts: one count a range is all that the driver sees, and no task has all rows.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    before = dict(zip([k for k, _ in counts], accumulate([0, *(n for _, n in counts)])))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+    if not before:
+        return ranged.withColumn(out, place).drop("_range")
+    held = F.create_map(*[F.lit(v) for k, n in before.items() for v in (k, int(n))])
+    return ranged.withColumn(out, place + F.element_at(held, F.col("_range"))).drop("_range")
 
 
 def top_by(df: DataFrame, keys: list[str], score: Column, order: list[str]) -> DataFrame:

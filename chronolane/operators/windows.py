@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chronolane.operators.joins import frames_in_bouts
+
 
 def sequence(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -118,11 +120,9 @@ def islands(
 def bout_metrics(df: DataFrame, bouts: DataFrame, keys: list[str], order: list[str], metrics: dict[str, Column]) -> DataFrame:
     """Means over all rows from a bout's first to its last, bridged gaps included, nulls skipped."""
     rows = df.withColumn("_row", F.row_number().over(sequence(keys, order)))
-    held = bouts.select(*[F.col(k).alias(f"_{k}") for k in keys], "bout_index", "first_row", "last_row")
-    on = F.col("_row").between(F.col("first_row"), F.col("last_row"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"_{k}")
-    means = rows.join(held, on).groupBy(*keys, "bout_index").agg(*[F.avg(c).alias(n) for n, c in metrics.items()])
+    held = bouts.select(*keys, "bout_index", "first_row", "last_row")
+    inside = frames_in_bouts(rows, held, keys, "_row", "first_row", "last_row")
+    means = inside.groupBy(*keys, "bout_index").agg(*[F.avg(c).alias(n) for n, c in metrics.items()])
     return bouts.drop("first_row", "last_row").join(means, [*keys, "bout_index"], "left")
 
 

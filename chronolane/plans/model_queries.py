@@ -10,8 +10,10 @@ from chronolane.operators import aggregates as A
 from chronolane.operators import columns as C
 from chronolane.operators import greedy as G
 from chronolane.operators import images as I
+from chronolane.operators import maps
 from chronolane.operators import measure as P
 from chronolane.operators import models as M
+from chronolane.operators import slopes
 from chronolane.operators import timeseries as T
 from chronolane.operators import windows as W
 from chronolane.operators.columns import homography
@@ -39,7 +41,7 @@ def m_fit_affine_lag(spark, sf):
 @query("m_theil_sen", f"""WITH {FIT}, q AS (SELECT a.lane, quantile_cont((b.x - a.x) / (b.h - a.h), 0.5) AS slope FROM p a JOIN p b ON a.lane = b.lane AND b.h > a.h GROUP BY a.lane), m AS (SELECT lane, quantile_cont(x, 0.5) AS mx, quantile_cont(h, 0.5) AS mh FROM p GROUP BY lane)
 SELECT q.lane, round(slope, 7) AS slope, round(mx - slope * mh, 5) AS intercept FROM q JOIN m ON q.lane = m.lane""")
 def m_theil_sen(spark, sf):
-    out = M.theil_sen(timed(spark, sf), LANE, "h", "x")
+    out = slopes.theil_sen(timed(spark, sf), LANE, "h", "x")
     return out.select("lane", F.round("slope", 7).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
@@ -135,18 +137,41 @@ def m_alt_regime_fit(spark, sf):
     return own.join(other, "lane", "left").withColumn("own_fits_better", F.col("loss") < F.col("alt_loss"))
 
 
-@query("m_orientation_check", f"WITH {SAMPLES} SELECT lane, count(*) AS n, 'a' AS better FROM s GROUP BY lane")
+#: What takes every lane's (x, y) to (u, v), and the width about which the odd lanes' clicked pairs are mirrored.
+TRUE_MAP, MIRROR = [1.1, 0.02, 3.0, -0.01, 0.95, -2.0, 0.0001, 0.0002, 1.0], 500.0
+
+
+def _mapped(x: str) -> tuple[str, str]:
+    h = TRUE_MAP
+    w = f"({h[6]} * ({x}) + {h[7]} * y + {h[8]})"
+    return f"({h[0]} * ({x}) + {h[1]} * y + {h[2]}) / {w}", f"({h[3]} * ({x}) + {h[4]} * y + {h[5]}) / {w}"
+
+
+def _pairs(spark, sf):
+    s = samples(spark, sf)
+    p = homography([F.lit(v) for v in TRUE_MAP], F.col("x"), F.col("y"))
+    return s.select("lane", "state", "x", "y", p["x"].alias("u"), p["y"].alias("v"))
+
+
+(_U, _V), (_MU, _MV) = _mapped("x"), _mapped(f"{MIRROR} - x")
+
+
+@query("m_orientation_check", f"""WITH {SAMPLES}, e AS (SELECT lane, count(*) AS n, avg(sqrt(power({_MU} - {_U}, 2) + power({_MV} - {_V}, 2))) AS far FROM s WHERE state = 'view' GROUP BY lane),
+c AS (SELECT lane, count(*) AS k FROM s WHERE state = 'click' GROUP BY lane), j AS (SELECT coalesce(e.lane, c.lane) AS lane, coalesce(n, 0) AS n, far, coalesce(n, 0) >= 12 AND coalesce(k, 0) >= 4 AS judged FROM e FULL JOIN c ON e.lane = c.lane)
+SELECT lane, CASE WHEN judged THEN round(CASE WHEN lane % 2 = 1 THEN far ELSE 0.0 END, 4) END AS mean_err_as_clicked, CASE WHEN judged THEN round(CASE WHEN lane % 2 = 1 THEN 0.0 ELSE far END, 4) END AS mean_err_x_mirrored, n AS n_validation_points,
+ CASE WHEN judged AND lane % 2 = 1 THEN 'x_mirrored' ELSE 'as_clicked' END AS recommendation, NOT judged OR lane % 2 = 1 AS flagged FROM j""")
 def m_orientation_check(spark, sf):
-    pairs = samples(spark, sf).select("lane", "x", "y", (F.col("x") + 2).alias("u"), F.col("y").alias("v"))
-    return M.better_homography(pairs, LANE, [1, 0, 2, 0, 1, 0, 0, 0, 1], [-1, 0, 300, 0, 1, 0, 0, 0, 1], 5).select("lane", "n", "better")
+    """Clicked pairs of odd lanes are mirrored by mistake; lanes with few matched pairs, or fewer than four clicked ones, are refused."""
+    pairs = _pairs(spark, sf)
+    clicked = pairs.filter("state = 'click'").withColumn("x", F.when(F.col("lane") % 2 == 1, MIRROR - F.col("x")).otherwise(F.col("x")))
+    return rounded(maps.check_orientation(clicked, pairs.filter("state = 'view'"), LANE, MIRROR, 12), 4)
 
 
-@query("m_fit_homography", "SELECT 4 AS n, true AS exact".replace("4 AS n", "CAST(4 AS BIGINT) AS n"))
+@query("m_fit_homography", f"WITH {SAMPLES} SELECT lane, count(*) AS n, {', '.join(f'CAST({v} AS DOUBLE) AS h{k}' for k, v in enumerate(TRUE_MAP[:8]))}, 0.0::DOUBLE AS rmse FROM s GROUP BY lane")
 def m_fit_homography(spark, sf):
-    h = np.array([[1.1, 0.02, 3.0], [-0.01, 0.95, -2.0], [0.0001, 0.0002, 1.0]])
-    src = np.array([[0.0, 0.0], [100.0, 0.0], [100.0, 50.0], [0.0, 50.0]])
-    fitted, rmse = M.fit_homography(src, M.project(h, src))
-    return spark.createDataFrame([(4, bool(np.allclose(fitted, h, atol=1e-8) and rmse < 1e-6))], "n long, exact boolean")
+    """The map that every lane's points went through, fitted anew from its rows."""
+    found = maps.fit_maps(_pairs(spark, sf), LANE)
+    return rounded(found.select("lane", "n", *[F.get("map", k).alias(f"h{k}") for k in range(8)], "rmse"))
 
 
 @query("a_paired_tests")

@@ -41,8 +41,8 @@ def j_asof_nearest(spark, sf):
 SELECT row_number() OVER (ORDER BY l.frame) AS place, l.frame, round(d.rt, 6) AS matched_t FROM l LEFT JOIN (SELECT * FROM d WHERE k = 1) d ON l.lane = d.lane AND l.frame = d.frame""")
 def s_sort_stable_restore(spark, sf):
     left, right = _sides(spark, sf)
-    left = left.withColumn("place", F.row_number().over(Window.orderBy("frame")).cast("long"))
-    return rounded(J.asof_nearest(left, right, LANE, "t", ["x"], 1e12).select("place", "frame", "matched_t").orderBy("place"))
+    left = S.global_row_number(left, [F.col("frame")], "place")
+    return rounded(J.asof_nearest(left, right, LANE, "t", ["x"], 1e12).select("place", "frame", "matched_t"))
 
 
 @query("j_interp_at_time", f"""WITH {BRACKET} SELECT lane, frame, round(CASE WHEN least(t - bt, ft - t) <= 86400 THEN CASE WHEN t = bt THEN bx WHEN bt IS NULL THEN fx WHEN ft IS NULL THEN bx ELSE bx + (fx - bx) * (t - bt) / (ft - bt) END END, 6) AS value FROM h""")
@@ -95,9 +95,7 @@ def f_after_entry(spark, sf):
 
 @query("p_bout_in_window", f"WITH {BOUTS} SELECT s.lane, s.frame, EXISTS (SELECT 1 FROM bouts b WHERE b.lane = s.lane AND s.t BETWEEN bout_start_sec AND bout_end_sec) AS inside FROM s")
 def p_bout_in_window(spark, sf):
-    held = bouts(spark, sf).groupBy("lane").agg(F.collect_list(F.struct(F.col("bout_start_sec").alias("s"), F.col("bout_end_sec").alias("e"))).alias("held"))
-    rows = samples(spark, sf).join(held, "lane", "left")
-    return rows.select("lane", "frame", F.coalesce(C.in_any(F.col("t"), F.col("held")), F.lit(False)).alias("inside"))
+    return J.inside_any(samples(spark, sf), bouts(spark, sf), LANE, "t", "inside").select("lane", "frame", "inside")
 
 
 # --- lookups --------------------------------------------------------------------------------------
@@ -547,8 +545,8 @@ def s_random_frames(spark, sf):
 def s_linspace_jitter(spark, sf):
     rows = load(spark, sf, "events").select("event_id")
     at = S.jittered_positions(rows.count(), 50, 2, 7)
-    place = F.row_number().over(Window.orderBy("event_id")) - 1  # of all rows, as positions are
-    return rows.withColumn("_at", place).filter(F.col("_at").isin(at)).select("event_id")
+    numbered = S.global_row_number(rows, [F.col("event_id")], "_at")  # of all rows, as positions are
+    return numbered.filter((F.col("_at") - 1).isin(at)).select("event_id")
 
 
 @query("s_stratified_sample")

@@ -174,15 +174,6 @@ def test_lag_and_trajectory(spark):
     assert r.camera_fps == 10 and r.offset_sec == pytest.approx(-2.8, abs=0.3) and abs(r.drift_slope) < 0.002
 
 
-def test_homography():
-    h = np.array([[1.2, 0.1, 5], [0.05, 0.9, -3], [1e-4, 2e-4, 1]])
-    src = np.array([[0, 0], [100, 0], [100, 60], [0, 60], [40, 30.0]])
-    got, rmse = M.fit_homography(src, M.project(h, src))
-    assert np.allclose(got, h, atol=1e-8) and rmse < 1e-8
-    with pytest.raises(ValueError):
-        M.fit_homography(src[:3], src[:3])
-
-
 def through(rule, readings):
     memory, short, out = [], 0, []
     for core, body in readings:
