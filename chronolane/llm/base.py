@@ -71,6 +71,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` whose columns of these names (any case) are renamed, and the new name of each; back() undoes it."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    new = {}
+    for c in clash:
+        name = f"_{c}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        new[c] = name
+    return df.withColumnsRenamed(new), new
+
+
+def back(df: DataFrame, columns: list[str], renamed: dict[str, str]) -> DataFrame:
+    """The columns that a table had before aside(), in its order."""
+    return df.select(*[F.col(renamed.get(c, c)).alias(c) for c in columns])
+
+
 def packed(table: pa.Table) -> bytes:
     """A table as one compressed value; unpacked() reads it."""
     sink = pa.BufferOutputStream()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from chronolane.llm.base import Workspace, fresh, packed, unpacked
+from chronolane.llm.base import Workspace, aside, back, fresh, packed, unpacked
 from chronolane.llm.fm_index import FMIndex
 from chronolane.llm.textscan import ALNUM, chunks, mix, scan
 
@@ -232,5 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
-    return contamination(docs, benchmark, text, with_text=True, **options).filter(~F.col("contaminated")).select(docs.columns)
+    """The rows of ``docs`` that are not contaminated, unchanged, with columns of any names."""
+    rows, renamed = aside(docs, "n_words", "n_hit", "items", "spans", "contaminated")
+    found = contamination(rows, benchmark, renamed.get(text, text), with_text=True, **options).filter(~F.col("contaminated"))
+    return back(found, docs.columns, renamed)

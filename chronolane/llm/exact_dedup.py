@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.base import Workspace, fresh, or_empty
+from chronolane.llm.base import Workspace, aside, back, fresh, or_empty
 
 
 def exact_groups(
@@ -59,5 +59,7 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    return exact_groups(docs, text, id, keep, with_text=True).filter("kept").select(docs.columns)
+    """The rows of ``docs`` that stay, with their own columns, whatever their names."""
+    rows, renamed = aside(docs, "keep_id", "group_size", "kept")
+    found = exact_groups(rows, renamed.get(text, text), renamed.get(id, id), keep, with_text=True).filter("kept")
+    return back(found, docs.columns, renamed)

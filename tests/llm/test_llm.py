@@ -453,17 +453,87 @@ def test_warc_without_lengths_and_with_a_broken_payload(tmp_path):
 # --- 5 mixing --------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.targets([10, 1000, 0, 500], [5, 2, 1, 5])
+def targets_by_hand(sizes, weights, most=3):
+    """Shares by weight; whoever is above ``most`` times the size stops there, the rest is shared again."""
+    out, rest, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
+    while open_:
+        per = rest / sum(weights[i] for i in open_)
+        full = [i for i in sorted(open_) if per * weights[i] > most * sizes[i]]
+        for i in full or sorted(open_):
+            out[i] = float(most * sizes[i]) if full else per * weights[i]
+        if not full:
+            break
+        rest -= sum(out[i] for i in full)
+        open_ -= set(full)
+    return out
+
+
+def test_targets_by_hand():
+    got = targets_by_hand([10, 1000, 0, 500], [5, 2, 1, 5])
     assert got[0] == 30 and got[2] == 0 and sum(got) == pytest.approx(1510) and got[1] <= 3000 and got[3] <= 1500
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0, 0]
 
 
-def test_splitting_tree_keeps_quotas():
-    q = np.array([1000, 3, 0, 57])
-    tree = mixing.splitting_tree(q, 7, 3)
-    assert (tree.sum(axis=0) == q).all() and (tree >= 0).all() and np.ptp(tree.sum(axis=1)) <= 3
-    assert (tree == mixing.splitting_tree(q, 7, 3)).all()
+def lefts_of(quotas, source):
+    """Blocks of the left halves of the dyadic ranges around a source, from all sources down."""
+    depth = (len(quotas) - 1).bit_length() if len(quotas) > 1 else 0
+    total = lambda level, node: sum(quotas[node << level : (node + 1) << level])
+    return [total(level, source >> (level + 1) << 1) for level in reversed(range(depth))]
+
+
+@pytest.mark.parametrize(("quotas", "shards"), [([1000, 3, 0, 57, 12], 7), ([40], 9), ([5, 5], 1), ([1, 0, 0, 1, 300, 20, 4], 64)])
+def test_splitting_tree_deals_exact_quotas(quotas, shards):
+    place = lambda: [[tree.shard(s, lefts_of(quotas, s), b) for b in range(q)] for s, q in enumerate(quotas)]
+    tree = mixing.SplittingTree(3, shards, sum(quotas))
+    first = place()
+    per = np.bincount([x for row in first for x in row], minlength=shards)
+    assert len(per) == shards and np.ptp(per) <= (shards - 1).bit_length()
+    assert all(row == sorted(row) for row in first)  # a shard has a range of permuted blocks
+    tree = mixing.SplittingTree(3, shards, sum(quotas))
+    assert place() == first
+    many = mixing.SplittingTree(4, shards, sum(quotas))
+    for s, q in enumerate(quotas):
+        if q:
+            seen = collections.Counter(many.shard_of_block(s, lefts_of(quotas, s), q, b) for b in range(q))
+            assert seen == collections.Counter(many.shard(s, lefts_of(quotas, s), b) for b in range(q))
+
+
+def test_splitting_tree_draws_without_bias():
+    quotas, shards = [30, 10, 40], 4
+    mean = np.mean([[np.bincount([tree.shard(s, lefts_of(quotas, s), b) for b in range(q)], minlength=shards) for s, q in enumerate(quotas)] for seed in range(300) for tree in [mixing.SplittingTree(seed, shards, 80)]], axis=0)
+    assert np.abs(mean - np.array([[7.5], [2.5], [10]])).max() < 0.5
+
+
+def test_mix_of_many_sources(spark):
+    n = 200_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.lpad("id", 7, "0")).alias("source"), F.concat(F.lit("a b "), F.col("id")).alias("text"))
+    found = mixing.mix(docs.unionByName(docs.filter("doc_id < 3000").withColumn("source", F.lit("t"))), shard_words=40_000).select("source", "source_size", "size", "target", "pieces").persist()
+    row = found.select("size", "target", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"), F.explode_outer("pieces").alias("p"))
+    per = row.groupBy("p.shard").agg(F.sum("p.words").alias("w")).filter("shard IS NOT NULL").collect()
+    assert len(per) == -(-(3 * n + 9000) // 40_000) and max(r.w for r in per) < 1.5 * 40_000
+    got = found.groupBy("source").agg(F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
+    sizes = {r.source: r.s for r in got}
+    names = sorted(sizes)
+    want = dict(zip(names, targets_by_hand([sizes[k] for k in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    assert all(r.g == pytest.approx(want[r.source]) for r in got)
+
+
+def test_mixed_shards_keep_clashing_columns(docs):
+    extra = docs.withColumns({c: F.lit(f"my {c}") for c in ("copy", "shard", "words", "size", "target", "pieces", "piece")})
+    out = mixing.mixed_shards(extra, shard_words=3000)
+    assert out.columns == [*extra.columns, "_size", "source_size", "_target", "_copy", "_shard", "_words"]
+    rows = out.collect()
+    assert {(r.copy, r.shard, r.words, r.size, r.target, r.pieces, r.piece) for r in rows} == {("my copy", "my shard", "my words", "my size", "my target", "my pieces", "my piece")}
+    assert all(len(SPACED.findall(r.text)) == r._words for r in rows)
+    assert mixing.mixed_shards(empty(extra)).count() == 0
+
+
+def test_rows_that_stay_keep_clashing_columns(docs):
+    names = ["keep_id", "group_size", "kept", "n_words", "items", "spans", "contaminated"]
+    extra = docs.withColumns({c: F.lit(f"my {c}") for c in names})
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 4")
+    for out in (exact_dedup(extra), decontaminate(extra, bench)):
+        assert out.columns == extra.columns
+        assert all(r[c] == f"my {c}" for r in out.collect() for c in names)
 
 
 def test_mix(docs):
@@ -473,7 +543,7 @@ def test_mix(docs):
     for r in docs.collect():
         sizes[r.source] += len(SPACED.findall(r.text or ""))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(names, mixing.targets([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    goal = dict(zip(names, targets_by_hand([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
     taken = collections.Counter()
     for r in found:
         t = sum(p.words for p in r.pieces)

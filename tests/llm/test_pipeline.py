@@ -4,12 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolane.llm import mixing
 from chronolane.llm.queries import TOXIC, toxicity_model
 from chronolane.llm.toxicity import toxicity
-from tests.llm.test_llm import SPACED, WORDY, brute_components, brute_lines, low
+from tests.llm.test_llm import SPACED, WORDY, brute_components, brute_lines, low, targets_by_hand
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,41 @@ def test_run_equals_the_stages_by_hand(spark, corpus):
         assert len(re.findall(SPACED, r.text)) == r.words
         taken[r.source] = taken.get(r.source, 0) + r.words
     names = sorted(sizes)
-    goals = mixing.targets([sizes[s] for s in names], [5, 2, 1])
+    goals = targets_by_hand([sizes[s] for s in names], [5, 2, 1])
     assert [taken[s] for s in names] == [round(g) for g in goals]
     assert {r.doc_id for r in out if r.copy == 0} <= set(kept)
+
+
+CLASHES = ["words", "copy", "shard", "piece", "pieces", "items", "kept", "score", "size", "n_lines", "n_hit", "spans", "keep_id", "component_id", "scanned"]
+
+
+def test_run_keeps_extra_columns_of_any_name(spark, corpus, tmp_path):
+    d, rows, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    known = sorted({w for k, t, *_ in rows if t and k % 5 != 1 for w in t.split()})
+    rng = random.Random(2)
+    long = "\n".join(" ".join(rng.choices(known, k=9)) for _ in range(360_000))  # 20 MB
+    assert len(long) > 2e7
+    odd = [(1000, "", "en", "s0", 0), (1001, None, None, None, None), (1002, " \n\t", "en", "s1", 3), (1003, long, "en", "s2", len(long)), (1003, long, "en", "s2", len(long))]
+    whole = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    whole = whole.withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in CLASHES})
+    whole.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*whole.columns, "_size", "source_size", "target", "_copy", "_shard", "_words"]
+    got = out.collect()
+    assert all(r[c] == f"{c} {r.doc_id}" for r in got for c in CLASHES)
+    plain = {(r.doc_id, r.copy) for r in corpus_pipeline.run(spark, d).collect()}
+    assert {r.doc_id for r in got} - {1003} <= {i for i, *_ in rows} and len({r.doc_id for r in got} & {i for i, _ in plain}) > 0.9 * len({i for i, _ in plain})
+    mine = [r for r in got if r.doc_id == 1003]
+    assert mine, "gone"
+    assert any(r.text == long for r in mine), [(len(r.text), r._words, r._size, len(long), r.target, r.source) for r in mine]
+
+
+def test_run_of_an_empty_table(spark, corpus, tmp_path):
+    d, _, _ = corpus
+    spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
