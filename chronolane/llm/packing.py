@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,17 @@ BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RESULT = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+class _Unlike(Exception):
+    """A word has a character that the library classes in another way than the pattern."""
+
+
 class TokenIds(dict):
-    """word -> its ids as little-endian 32-bit numbers, as the ``tokenizers`` library gives them.
+    """word -> its ids as 32-bit numbers (little-endian, as on every machine that Spark runs on), as the ``tokenizers`` library gives them.
 
     Files with plain byte-level words are cut by a pattern and the words looked up, since most repeat; the
     library encodes missing words.  A text with a character that pattern and library don't class alike, and
-    any text of another kind of file, is encoded whole by the library.
+    any text of another kind of file, is encoded whole by the library.  ``room`` words are kept, and as many
+    that were kept before them; those that come again stay.
     """
 
     def __init__(self, path: str, room: int = CACHE):
@@ -61,16 +67,22 @@ class TokenIds(dict):
         found = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
         self.alike: dict[str, bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
+        ids = self.older.pop(word, None)
+        if ids is None:
+            if not all(map(self._same, word)):
+                raise _Unlike
+            ids = self._ids(word)
         if len(self) >= self.room:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _same(self, char: str) -> bool:
         """Whether the library and the pattern cut around this character alike."""
@@ -80,13 +92,18 @@ class TokenIds(dict):
             self.alike[char] = own == [span for _, span in self.whole.pre_tokenizer.pre_tokenize_str(probe)]
         return self.alike[char]
 
+    def _words(self, text: str) -> bytes:
+        return b"".join([self[w] for w in self.pattern.findall(text)])
+
     def ids(self, text: str) -> bytes:
-        if not self.pattern or not all(map(self._same, set(text))):
+        if not self.pattern:
+            return self._ids(text)
+        try:
+            if not self.split or not self.split.search(text):
+                return self._words(text)
+            return b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self._words(p) for k, p in enumerate(self.split.split(text)))
+        except _Unlike:
             return self._ids(text)
-        if not self.split or not self.split.search(text):
-            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
-        parts = self.split.split(text)
-        return b"".join(np.uint32(self.special[p]).tobytes() if k % 2 else b"".join(map(self.__getitem__, self.pattern.findall(p))) for k, p in enumerate(parts))
 
 
 _READERS: dict[str, TokenIds] = {}
@@ -114,7 +131,7 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", capacity: int =
     schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(n, t) for n, t, _ in own)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, close = _reader(path), np.uint32(end).tobytes()
+        reader, close = _reader(path), array("I", [end]).tobytes()
         for batch in batches:
             out, rows = [[] for _ in own], []
             for row, t in enumerate(batch.column(0)):
