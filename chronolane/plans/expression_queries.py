@@ -171,7 +171,6 @@ def p_homography_apply(spark, sf):
 
 
 @query("p_homography_translate", f"WITH {SAMPLES} SELECT frame, round((1.1 * x + 0.02 * y + 3.0) / {HW} + 4.0, 6) AS px, round((-0.01 * x + 0.95 * y - 2.0) / {HW} - 1.5, 6) AS py FROM s")
-@query("i_registration_correction", f"WITH {SAMPLES} SELECT frame, round((1.1 * x + 0.02 * y + 3.0) / {HW} + 4.0, 6) AS px, round((-0.01 * x + 0.95 * y - 2.0) / {HW} - 1.5, 6) AS py FROM s")
 def p_homography_translate(spark, sf):
     moved = C.translated(_h(), F.lit(4.0), F.lit(-1.5))
     return rounded(samples(spark, sf).withColumn("p", C.homography(moved, F.col("x"), F.col("y"))).select("frame", F.col("p.x").alias("px"), F.col("p.y").alias("py")))
@@ -238,15 +237,8 @@ def p_height_correction(spark, sf):
     return rounded(samples(spark, sf).select("frame", point.alias("p")).select("frame", "p.x", "p.y"))
 
 
-@query("p_stretch_uint8", """WITH e AS (SELECT vec_id, embedding[1:8] AS a FROM embeddings), f AS (SELECT vec_id, list_min(a) AS lo, list_max(a) AS hi, a FROM e), g AS (SELECT vec_id, lo, hi, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM f)
+@query("p_stretch_uint8", """WITH e AS (SELECT vec_id, embedding AS a FROM embeddings), f AS (SELECT vec_id, list_min(a) AS lo, list_max(a) AS hi, a FROM e), g AS (SELECT vec_id, lo, hi, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM f)
 SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(CASE WHEN hi > lo THEN floor((CAST(p AS DOUBLE) - CAST(lo AS DOUBLE)) * 255.0 / (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE))) ELSE 0 END AS INTEGER) AS v FROM g""")
 def p_stretch_uint8(spark, sf):
-    e = load(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("a"))
-    return e.select("vec_id", F.posexplode(C.stretch(F.col("a")))).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").alias("v"))
-
-
-@query("p_stretch_uint8_frame", """WITH e AS (SELECT vec_id, embedding AS a FROM embeddings), f AS (SELECT vec_id, list_min(a) AS lo, list_max(a) AS hi, a FROM e), g AS (SELECT vec_id, lo, hi, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM f)
-SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(CASE WHEN hi > lo THEN floor((CAST(p AS DOUBLE) - CAST(lo AS DOUBLE)) * 255.0 / (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE))) ELSE 0 END AS INTEGER) AS v FROM g""")
-def p_stretch_uint8_frame(spark, sf):
     e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     return e.select("vec_id", F.posexplode(C.stretch(F.col("a")))).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").alias("v"))

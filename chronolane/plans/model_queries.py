@@ -61,23 +61,11 @@ def m_manual_sync(spark, sf):
     return samples(spark, sf).select("lane").distinct().select("lane", F.lit(2.5).alias("offset_sec"), F.lit(None).cast("double").alias("r_squared"), F.lit(True).alias("low_confidence"))
 
 
-@query("m_resample_grid", f"""WITH {FIT}, w AS (SELECT lane, h, x, lead(h) OVER v AS h1, lead(x) OVER v AS x1 FROM p WINDOW v AS (PARTITION BY lane ORDER BY h)),
-g AS (SELECT lane, CAST(k * 24 AS DOUBLE) AS g FROM (SELECT DISTINCT lane FROM p), (SELECT unnest(range(1, 29)) AS k))
-SELECT g.lane, g.g, round(x + (x1 - x) * (g - h) / (h1 - h), 6) AS v FROM g JOIN w ON g.lane = w.lane AND h <= g AND g < h1""")
-def m_resample_grid(spark, sf):
-    p = timed(spark, sf)
-    grid = p.select("lane").distinct().select("lane", F.explode(F.sequence(F.lit(1), F.lit(28))).alias("k")).select("lane", (F.col("k") * 24.0).alias("g"))
-    nxt = Window.partitionBy("lane").orderBy("h")
-    w = p.select("lane", "h", "x", F.lead("h").over(nxt).alias("h1"), F.lead("x").over(nxt).alias("x1"))
-    found = grid.join(w, "lane").filter("h <= g AND g < h1")
-    return rounded(found.select("lane", "g", (F.col("x") + (F.col("x1") - F.col("x")) * (F.col("g") - F.col("h")) / (F.col("h1") - F.col("h"))).alias("v")))
-
-
-@query("m_resample_overlap", f"""WITH {FIT}, w AS (SELECT lane, h, x, lead(h) OVER v AS h1, lead(x) OVER v AS x1 FROM p WINDOW v AS (PARTITION BY lane ORDER BY h, frame)),
+@query("m_resample_grid", f"""WITH {FIT}, w AS (SELECT lane, h, x, lead(h) OVER v AS h1, lead(x) OVER v AS x1 FROM p WINDOW v AS (PARTITION BY lane ORDER BY h, frame)),
 e AS (SELECT lane, CAST(ceil(min(h) / 24) AS BIGINT) AS k0, CAST(floor(max(h) / 24) AS BIGINT) AS k1 FROM p GROUP BY lane), g AS (SELECT lane, CAST(unnest(range(k0, k1 + 1)) * 24 AS DOUBLE) AS g FROM e)
 SELECT g.lane, g.g, round(CASE WHEN h1 IS NULL THEN x ELSE x + (x1 - x) * (g - h) / (h1 - h) END, 6) AS v FROM g JOIN w ON g.lane = w.lane AND h <= g AND (g < h1 OR h1 IS NULL)""")
-def m_resample_overlap(spark, sf):
-    """m_resample_grid from each lane's first grid point to its last."""
+def m_resample_grid(spark, sf):
+    """Each trace on a daily grid, from its first grid point to its last."""
     p = timed(spark, sf)
     ends = p.groupBy("lane").agg(F.ceil(F.min("h") / 24).alias("k0"), F.floor(F.max("h") / 24).alias("k1")).filter("k0 <= k1")
     grid = ends.select("lane", F.explode(F.sequence("k0", "k1")).alias("k")).select("lane", (F.col("k") * 24.0).alias("g"))
@@ -289,11 +277,18 @@ def i_foreground_score(spark, sf):
 
 
 @query("i_roi_stats", f"WITH {PIX} SELECT vec_id, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM px WHERE (px - 3) * (px - 3) + (py - 3) * (py - 3) <= 4 GROUP BY vec_id")
-@query("i_circular_mask", f"WITH {PIX} SELECT vec_id, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM px WHERE (px - 3) * (px - 3) + (py - 3) * (py - 3) <= 4 GROUP BY vec_id")
 def i_roi_stats(spark, sf):
     return rounded(I.roi_stats(pixels(spark, sf), ["vec_id"], I.in_circle(F.lit(3), F.lit(3), 2)))
 
 
+@query("i_circular_mask", f"WITH {PIX} SELECT vec_id, count(*) AS area, sum(px) AS sum_px, sum(py) AS sum_py, min(px) AS left, max(py) AS bottom FROM px WHERE (px - vec_id % 8) * (px - vec_id % 8) + (py - (vec_id // 8) % 8) * (py - (vec_id // 8) % 8) <= 6 GROUP BY vec_id".replace("AS left", 'AS "left"').replace("sum(px)", "CAST(sum(px) AS BIGINT)").replace("sum(py)", "CAST(sum(py) AS BIGINT)"))
+def i_circular_mask(spark, sf):
+    """A disk whose centre goes over the whole frame, so that each edge cuts it off somewhere."""
+    inside = I.in_circle(F.col("vec_id") % 8, F.floor(F.col("vec_id") / 8) % 8, 6**0.5)
+    found = pixels(spark, sf).filter(inside).groupBy("vec_id")
+    return found.agg(F.count("*").alias("area"), F.sum("px").alias("sum_px"), F.sum("py").alias("sum_py"), F.min("px").cast("long").alias("left"), F.max("py").cast("long").alias("bottom"))
+
+
 @query("i_polygon_mask", f"WITH {PIX} SELECT vec_id, count(*) AS n FROM px WHERE px < 4 AND py < 3 GROUP BY vec_id")
 def i_polygon_mask(spark, sf):
     return pixels(spark, sf).filter(I.in_polygon([(0, 0), (4, 0), (4, 3), (0, 3)])).groupBy("vec_id").agg(F.count("*").alias("n"))
@@ -354,7 +349,6 @@ def i_dorsal(spark, sf):
 
 
 @query("i_local_floor", f"WITH {PIX}, d AS (SELECT *, (px - 3) * (px - 3) + (py - 3) * (py - 3) AS r2 FROM px) SELECT vec_id, round(CASE WHEN count(*) >= 10 THEN quantile_cont(value, 0.5) END, 6) AS floor FROM d WHERE r2 <= 9 AND r2 > 1 AND value < 0.2 GROUP BY vec_id")
-@query("i_tail_delta", f"WITH {PIX}, d AS (SELECT *, (px - 3) * (px - 3) + (py - 3) * (py - 3) AS r2 FROM px) SELECT vec_id, round(CASE WHEN count(*) >= 10 THEN quantile_cont(value, 0.5) END, 6) AS floor FROM d WHERE r2 <= 9 AND r2 > 1 AND value < 0.2 GROUP BY vec_id")
 def i_local_floor(spark, sf):
     ring = pixels(spark, sf).filter(I.in_annulus(F.lit(3), F.lit(3), 1, 3) & (F.col("value") < 0.2))
     return rounded(ring.groupBy("vec_id").agg(I.guarded(F.col("value"), 10).alias("floor")))
@@ -366,8 +360,7 @@ def i_arc_length_fraction(spark, sf):
     return rounded(I.arc_fractions(samples(spark, sf), LANE, "t").select("lane", "frame", "fraction"), 9)
 
 
-PATH = "path AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i, vec_id % 8 AS x, (vec_id // 8) % 8 AS y FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)"
-WHOLE_PATH = "path AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i, vec_id % 8 AS x, (vec_id // 8) % 8 AS y FROM embeddings)"
+PATH = "path AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i, vec_id % 8 AS x, (vec_id // 8) % 8 AS y FROM embeddings)"
 
 
 def _path(spark, sf):
@@ -379,13 +372,6 @@ def _path(spark, sf):
 @query("i_nearest_path", f"""WITH {PIX}, {PATH}, q AS (SELECT DISTINCT label, px, py FROM px), d AS (SELECT q.label, px, py, i, row_number() OVER (PARTITION BY q.label, px, py ORDER BY (px - x) * (px - x) + (py - y) * (py - y), i) AS k FROM q JOIN path ON q.label = path.label)
 SELECT label, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, i AS nearest FROM d WHERE k = 1""")
 def i_nearest_path(spark, sf):
-    q = pixels(spark, sf).select("label", "px", "py").distinct()
-    return I.nearest_path(q, _path(spark, sf).filter("i <= 5"), ["label"], "i").select("label", F.col("px").cast("long"), F.col("py").cast("long"), "nearest")
-
-
-@query("i_nearest_path_all", f"""WITH {PIX}, {WHOLE_PATH}, q AS (SELECT DISTINCT label, px, py FROM px), d AS (SELECT q.label, px, py, i, row_number() OVER (PARTITION BY q.label, px, py ORDER BY (px - x) * (px - x) + (py - y) * (py - y), i) AS k FROM q JOIN path ON q.label = path.label)
-SELECT label, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, i AS nearest FROM d WHERE k = 1""")
-def i_nearest_path_all(spark, sf):
     q = pixels(spark, sf).select("label", "px", "py").distinct()
     return I.nearest_path(q, _path(spark, sf), ["label"], "i").select("label", F.col("px").cast("long"), F.col("py").cast("long"), "nearest")
 
@@ -493,10 +479,10 @@ def i_measure_sample(spark, sf):
     return rows.withColumn("qc", F.when(F.col("posture").isNotNull(), F.array_join(reasons, "; ")))
 
 
-@query("i_tail_delta_curve", f"""WITH {PIX}, k AS (SELECT unnest(range(4)) + 0.5 AS x), near AS (SELECT vec_id, x, max(value) AS v FROM px, k WHERE (px - x) * (px - x) + (py - vec_id % 8) * (py - vec_id % 8) <= 1 GROUP BY 1, 2), t AS (SELECT vec_id, quantile_cont(v, 0.9) AS tail FROM near GROUP BY 1),
+@query("i_tail_delta", f"""WITH {PIX}, k AS (SELECT unnest(range(4)) + 0.5 AS x), near AS (SELECT vec_id, x, max(value) AS v FROM px, k WHERE (px - x) * (px - x) + (py - vec_id % 8) * (py - vec_id % 8) <= 1 GROUP BY 1, 2), t AS (SELECT vec_id, quantile_cont(v, 0.9) AS tail FROM near GROUP BY 1),
 f AS (SELECT vec_id, CASE WHEN count(*) >= 10 THEN quantile_cont(value, 0.5) END AS floor FROM (SELECT *, (px - 2) * (px - 2) + (py - vec_id % 8) * (py - vec_id % 8) AS r2 FROM px) WHERE r2 <= 16 AND r2 > 2.25 AND value <= 0.2 GROUP BY 1)
 SELECT t.vec_id, round(tail, 6) AS tail, round(floor, 6) AS floor, round(tail - floor, 6) AS delta, CASE WHEN floor IS NULL THEN 'insufficient clean floor annulus pixels' ELSE '' END AS reason FROM t LEFT JOIN f ON t.vec_id = f.vec_id""")
-def i_tail_delta_curve(spark, sf):
+def i_tail_delta(spark, sf):
     """The tail along four points of one pixel row, half a pixel off, less the floor around them."""
 
     def kernel(f, k):
@@ -506,9 +492,9 @@ def i_tail_delta_curve(spark, sf):
     return rounded(_per_frame(spark, sf, kernel, "tail double, floor double, delta double, reason string", numbered=True))
 
 
-@query("i_registration_centroids", f"""WITH {PIX}, w AS (SELECT vec_id, avg(px + 1) AS x, avg(py - 1) AS y FROM px WHERE value > 0.05 AND px < 7 AND py > 0 GROUP BY 1), n AS (SELECT vec_id, avg(px) AS x, avg(py) AS y FROM px WHERE value > 0.15 GROUP BY 1), i AS (SELECT DISTINCT vec_id FROM px)
+@query("i_registration_correction", f"""WITH {PIX}, w AS (SELECT vec_id, avg(px + 1) AS x, avg(py - 1) AS y FROM px WHERE value > 0.05 AND px < 7 AND py > 0 GROUP BY 1), n AS (SELECT vec_id, avg(px) AS x, avg(py) AS y FROM px WHERE value > 0.15 GROUP BY 1), i AS (SELECT DISTINCT vec_id FROM px)
 SELECT i.vec_id, round(n.x - w.x, 6) AS dx, round(n.y - w.y, 6) AS dy FROM i LEFT JOIN w ON i.vec_id = w.vec_id LEFT JOIN n ON i.vec_id = n.vec_id""")
-def i_registration_centroids(spark, sf):
+def i_registration_correction(spark, sf):
     """The shift that takes a mask's centroid, warped by one pixel each way, to that of the frame's warm pixels."""
 
     def kernel(f):

@@ -553,17 +553,3 @@ def s_linspace_jitter(spark, sf):
 def s_stratified_sample(spark, sf):
     df = samples(spark, sf).withColumns({"session": F.floor(F.col("lane") / 10), "zone": C.zone(F.col("x"), 21, 70), "nest": F.col("state") == "purchase"})
     return S.stratified(df, "session", "zone", "nest", "frame", 30, {"cool": 0.3, "mid": 0.4, "hot": 0.3}, 3).select("session", "zone", "nest", "frame")
-
-
-# --- sinks: what they decide ----------------------------------------------------------------------
-
-
-@query("sink_skip_existing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def sink_skip_existing(spark, sf):
-    return load(spark, sf, "customer").join(load(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("sink_json_report", "SELECT count(*) AS n_orders FROM orders")
-def sink_json_report(spark, sf):
-    doc = load(spark, sf, "orders").agg(F.to_json(F.struct(F.count("*").alias("n_orders"))).alias("doc"))
-    return doc.select(F.from_json("doc", "n_orders long")["n_orders"].alias("n_orders"))

@@ -21,6 +21,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 MAGIC = b"FFF\0"
 RAW_BLOCK = 0x00020001
 SCHEMA = "path string, frame long, height int, width int, pixels array<int>"
+HEADER = "path string, frames long, height int, width int, r1 double, r2 double, b double, f double, o double, bytes_read long"
+#: The block of camera data (low half of its tag), and where it holds the constants R1, B, F, R2 (32-bit floats) and O (a 32-bit integer).
+CAMERA_BLOCK = 0x0020
+CONSTANTS = {"r1": ("<f", 0x58), "b": ("<f", 0x5C), "f": ("<f", 0x60), "o": ("<i", 0x308), "r2": ("<f", 0x30C)}
+HEAD_BYTES = 4096
 
 
 def _open(path: str):
@@ -30,6 +35,8 @@ def _open(path: str):
 
 def blocks(head: bytes) -> list[tuple[int, int, int]]:
     """(tag, offset, size) of the blocks that a frame's head lists."""
+    if head[:4] != MAGIC or len(head) < 0x20:
+        return []
     count = struct.unpack_from("<I", head, 0x1C)[0]
     return [struct.unpack_from("<I8xII", head, 0x40 + 32 * k) for k in range(count) if 0x40 + 32 * (k + 1) <= len(head)]
 
@@ -50,11 +57,11 @@ def decode(raw: bytes) -> np.ndarray:
 def layout(file, size: int) -> tuple[int, int, int]:
     """(size of the first frame, size of the others, number of frames)."""
     file.seek(0)
-    first = frame_size(file.read(4096))
+    first = frame_size(file.read(HEAD_BYTES))
     if first <= 0 or first > size:
         return 0, 0, 0
     file.seek(first)
-    head = file.read(4096)
+    head = file.read(HEAD_BYTES)
     rest = frame_size(head) if head[:4] == MAGIC else 0
     return first, rest, 1 + ((size - first) // rest if rest else 0)
 
@@ -79,7 +86,7 @@ class FrameReader(DataSourceReader):
             if f.attribute != ("frame",):
                 yield f
             elif isinstance(f, EqualTo):
-                self.lo, self.hi = max(self.lo, f.value), f.value + 1
+                self.lo, self.hi = max(self.lo, f.value), f.value + 1 if self.hi is None else min(self.hi, f.value + 1)
             elif isinstance(f, GreaterThanOrEqual):
                 self.lo = max(self.lo, f.value)
             elif isinstance(f, LessThan | LessThanOrEqual):
@@ -130,14 +137,74 @@ class FrameSource(DataSource):
         return FrameReader(self.options)
 
 
-def encode(pixels: np.ndarray, pad: int = 0) -> bytes:
-    """One frame in the container's layout."""
+def header(file, path: str, size: int) -> dict:
+    """What a container's heads say: frames, size of a frame, the camera's constants (NULL where there are none); no pixel is read."""
+    first, rest, frames = layout(file, size)
+    out = dict.fromkeys(["height", "width", *CONSTANTS]) | {"path": path, "frames": frames, "bytes_read": min(size, HEAD_BYTES) + (min(size - first, HEAD_BYTES) if first else 0)}
+    file.seek(0)
+    head = file.read(HEAD_BYTES)
+    for tag, at, long in blocks(head) if frames else []:
+        if tag == RAW_BLOCK:
+            file.seek(at)
+            out["width"], out["height"] = struct.unpack("<2xHH", file.read(6))
+            out["bytes_read"] += 6
+        elif tag & 0xFFFF == CAMERA_BLOCK:
+            file.seek(at)
+            own = file.read(long)
+            out["bytes_read"] += len(own)
+            out |= {name: float(struct.unpack_from(kind, own, place)[0]) for name, (kind, place) in CONSTANTS.items() if place + 4 <= len(own)}
+    return out
+
+
+class HeaderReader(DataSourceReader):
+    """Files are dealt to tasks by the listing alone; the tasks open them."""
+
+    def __init__(self, options: dict):
+        self.path, self.per_task = options["path"], int(options.get("filesPerPartition", 64))
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = _open(self.path)
+        info = system.get_file_info(root)
+        files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.base_name.endswith(".seq")]
+        named = sorted((f.path, f.size) for f in files)
+        return [InputPartition(named[k : k + self.per_task]) for k in range(0, len(named), self.per_task)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        system, _ = _open(self.path)
+        for path, size in partition.value:
+            with system.open_input_file(path) as file:
+                found = header(file, path, size)
+            yield tuple(found[c.split()[0]] for c in HEADER.split(", "))
+
+
+class HeaderSource(DataSource):
+    """format("frame_headers"): a row per container; options path and filesPerPartition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frame_headers"
+
+    def schema(self) -> str:
+        return HEADER
+
+    def reader(self, schema) -> HeaderReader:
+        return HeaderReader(self.options)
+
+
+def encode(pixels: np.ndarray, pad: int = 0, constants: dict | None = None) -> bytes:
+    """One frame in the container's layout, with a block of camera data if there are constants."""
     h, w = pixels.shape
-    at, body = 0x60 + pad, 32 + pixels.size * 2
+    camera = bytearray(0x310 if constants else 0)
+    for name, value in (constants or {}).items():
+        struct.pack_into(CONSTANTS[name][0], camera, CONSTANTS[name][1], int(value) if name == "o" else value)
+    at, body = 0x80 + pad + len(camera), 32 + pixels.size * 2
     head = bytearray(at)
     head[:4], head[4:14] = MAGIC, b"ResearchIR"
-    struct.pack_into("<I", head, 0x1C, 1)
+    struct.pack_into("<I", head, 0x1C, 1 + bool(constants))
     struct.pack_into("<I8xII", head, 0x40, RAW_BLOCK, at, body)
+    if constants:
+        struct.pack_into("<I8xII", head, 0x60, CAMERA_BLOCK, at - len(camera), len(camera))
+        head[at - len(camera) :] = camera
     sub = bytearray(32)
     struct.pack_into("<HH", sub, 2, w, h)
     return bytes(head) + bytes(sub) + pixels.astype("<u2").tobytes()
@@ -146,3 +213,4 @@ def encode(pixels: np.ndarray, pad: int = 0) -> bytes:
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FrameSource)
+    spark.dataSource.register(HeaderSource)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,3 +60,51 @@ def changed(now: DataFrame, then: DataFrame) -> DataFrame:
 def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Inputs without an output yet."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a report folder: the sessions that are finished, and the run that wrote each."""
+    ledger = f"{path}/finished"
+    return spark.read.schema("session string, run string").parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], "session string, run string")
+
+
+def write_reports(docs: DataFrame, path: str, again: str = "skip") -> DataFrame:
+    """One JSON document per session (column ``session``, the other columns nested in it) under ``path``; returns the sessions written.
+
+    A run writes its documents into a folder of its own and then, as the last step, its sessions into the
+    ledger: only what the ledger names counts, so a run that fails anywhere leaves nothing.  Sessions in the ledger are
+    skipped; ``again="refuse"`` raises FileExistsError if there is one, ``again="replace"`` writes it anew,
+    and the ledger's newest run holds.  A session that occurs twice in ``docs``, or has no name, is an error.
+    """
+    spark, run = docs.sparkSession, f"{uuid.uuid1().time:020d}"
+    done = finished(spark, path)
+    if again == "refuse" and (met := docs.join(done.select("session").distinct(), "session", "left_semi").select("session").head()):
+        raise FileExistsError(f"session {met.session} is finished")
+    todo = docs if again == "replace" else pending(docs, done, ["session"])
+    wrong = F.col("session").isNull() | (F.col("_n") > 1)
+    counted = todo.groupBy("session").agg(F.count("*").alias("_n"))
+    if bad := counted.filter(wrong).head():
+        raise ValueError(f"session {bad.session} occurs {bad._n} times")
+    folder = f"{path}/run={run}"
+    body = F.to_json(F.struct(*[c for c in todo.columns if c != "session"]), {"ignoreNullFields": "false"})
+    todo.select("session", body.alias("value")).repartition("session").write.mode("errorifexists").partitionBy("session").text(folder)
+    if not exists(spark, f"{folder}/_SUCCESS"):
+        raise OSError(f"{folder} is not complete")
+    mine = counted.select("session", F.lit(run).alias("run"))
+    mine.write.mode("append").parquet(f"{path}/finished")
+    return finished(spark, path).filter(F.col("run") == run)
+
+
+def read_reports(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The finished documents: session and a struct of ``kind``, of each session the newest."""
+    newest = finished(spark, path).groupBy("session").agg(F.max("run").alias("run"))
+    if not exists(spark, f"{path}/finished"):
+        return newest.select("session", F.from_json(F.lit(None).cast("string"), kind).alias("report"))
+    raw = spark.read.option("basePath", path).option("wholetext", True).schema("value string, run string, session string").text(f"{path}/run=*")
+    return raw.join(newest, ["session", "run"]).select("session", F.from_json("value", kind).alias("report"))

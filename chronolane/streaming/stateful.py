@@ -1,87 +1,250 @@
-"""Streaming forms of the operators that are stateful by nature; each equals its batch form once closed.
+"""Streaming forms of the operators that are stateful by nature; each equals its batch form.
 
-State is a handful of numbers per key.  A watermark bounds how long ``activity`` keeps a window; the other
-three keep their numbers for as long as the query runs, since a lane may always go on.
+Rows of a lane wait in a list until the watermark has passed them, so rows that come late (within the delay)
+or in any order are taken in order of time, whatever the micro-batches are.  Event-time timers wake a lane: for the
+first row that waits, for the moment after which nothing can join an open interval, and for the end of its
+memory.  When a bounded run is over, finish() reads what is still open from the query's checkpoint.
+
+The queries need RocksDB as state store; start() asks for it where the session doesn't say otherwise.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from chronolane.operators.greedy import GateRule, gate_reading
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def gate(stream: DataFrame, lane: str, t: str, id: str, core: str, body: str, rule: GateRule) -> DataFrame:
-    """The temperature gate per lane: id and reference (NULL if it passed); rows of a batch are taken in order of (t, id)."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, short = state.get if state.exists else ([], 0)
-        memory, out = list(memory), []
-        for r in pd.concat(list(batches)).sort_values([t, id]).to_dict("records"):
-            reference, memory, short = gate_reading(rule, memory, short, r[core], None if pd.isna(r[body]) else r[body])
-            out.append((key[0], r[id], reference))
-        state.update((memory, short))
-        yield pd.DataFrame(out, columns=["lane", "id", "reference"])
+@dataclass(frozen=True)
+class GateMachine:
+    """The temperature gate: id and reference (NULL if it passed) of each reading."""
 
-    rows = stream.filter(F.col(core).isNotNull())
-    return rows.groupBy(lane).applyInPandasWithState(step, "lane long, id long, reference double", "memory array<double>, short long", "append", GroupStateTimeout.NoTimeout)
+    rule: GateRule
+    state: str = "memory array<double>, short long"
+    row: str = "core double, body double"
+    out: str = "id long, reference double"
 
+    def fresh(self) -> tuple:
+        return [], 0
 
-def entries(stream: DataFrame, lane: str, t: str, id: str, state_column: str, sustained: int, intrusion: int, inside: str = "mouse", handling: str = "intrusion") -> DataFrame:
-    """One row per lane when its entry is complete: lane and entry (row position)."""
+    def step(self, state: tuple, t: float, id: int, core: float, body: float | None) -> tuple[tuple, list[tuple]]:
+        reference, memory, short = gate_reading(self.rule, list(state[0]), state[1], core, None if pd.isna(body) else body)
+        return (memory, short), [(id, reference)]
 
-    def step(key, batches, state: GroupState):
-        at, run, streak, seen, done = state.get if state.exists else (0, 0, 0, False, False)
-        rows = pd.concat(list(batches)).sort_values([t, id])
-        found = []
-        for s in rows[state_column]:
-            run = run + 1 if s == handling else 0
-            seen = seen or run >= intrusion
-            streak = streak + 1 if s == inside and seen else 0
-            if streak >= sustained and not done:
-                found.append((key[0], at - sustained + 1))
-                done = True
-            at += 1
-        state.update((at, run, streak, seen, done))
-        yield pd.DataFrame(found, columns=["lane", "entry"])
-
-    return stream.groupBy(lane).applyInPandasWithState(step, "lane long, entry long", "at long, run long, streak long, seen boolean, done boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def bouts(stream: DataFrame, lane: str, t: str, id: str, state_column: str, least: float, gap: float, unknown_gap: float) -> DataFrame:
-    """Closed intervals as soon as nothing can join them: lane, start, end.
-
-    An open interval ends for good when a row lies more than the larger tolerance after it, or when a
-    later run didn't merge.  Rows after the last closing one stay open until more arrive.
-    """
-    wide = max(gap, unknown_gap)
+    def deadline(self, state: tuple) -> float | None:
+        return None
+
+    def close(self, state: tuple) -> tuple[tuple, list[tuple]]:
+        return state, []
+
+
+@dataclass(frozen=True)
+class EntryMachine:
+    """The entry: its row's position in the lane, once when it is complete."""
+
+    sustained: int
+    intrusion: int
+    inside: str = "mouse"
+    handling: str = "intrusion"
+    state: str = "at long, run long, streak long, seen boolean, done boolean"
+    row: str = "seen_as string"
+    out: str = "entry long"
+
+    def fresh(self) -> tuple:
+        return 0, 0, 0, False, False
+
+    def step(self, state: tuple, t: float, id: int, seen_as: str) -> tuple[tuple, list[tuple]]:
+        at, run, streak, seen, done = state
+        run = run + 1 if seen_as == self.handling else 0
+        seen = seen or run >= self.intrusion
+        streak = streak + 1 if seen_as == self.inside and seen else 0
+        found = [(at - self.sustained + 1,)] if streak >= self.sustained and not done else []
+        return (at + 1, run, streak, seen, done or bool(found)), found
 
-    def step(key, batches, state: GroupState):
-        start, end, moved, apart = state.get if state.exists else (None, None, False, False)
+    def deadline(self, state: tuple) -> float | None:
+        return None
+
+    def close(self, state: tuple) -> tuple[tuple, list[tuple]]:
+        return state, []
+
+
+@dataclass(frozen=True)
+class BoutMachine:
+    """Closed intervals of stationary rows, as soon as nothing can join them."""
+
+    least: float
+    gap: float
+    unknown_gap: float
+    state: str = "start double, end double, moved boolean, apart boolean"
+    row: str = "state string"
+    out: str = "start double, end double"
+
+    def fresh(self) -> tuple:
+        return None, None, False, False
+
+    def step(self, state: tuple, t: float, id: int, seen_as: str) -> tuple[tuple, list[tuple]]:
+        start, end, moved, apart = state
         out = []
-        rows = pd.concat(list(batches)).sort_values([t, id])
-        for when, s in zip(rows[t].tolist(), rows[state_column].tolist(), strict=True):
-            if start is not None and (when - end > wide if s != "stationary" else apart and when - end > (gap if moved else wide)):
-                if end - start >= least:
-                    out.append((key[0], start, end))
-                start = None
-            if s == "stationary":
-                start = when if start is None else start
-                end, moved, apart = when, False, False
-            else:
-                moved, apart = moved or s == "moving", True
-        state.update((start, end, moved, apart))
-        yield pd.DataFrame(out, columns=["lane", "start", "end"])
-
-    return stream.groupBy(lane).applyInPandasWithState(step, "lane long, start double, end double", "start double, end double, moved boolean, apart boolean", "append", GroupStateTimeout.NoTimeout)
+        wide = max(self.gap, self.unknown_gap)
+        if start is not None and (t - end > wide if seen_as != "stationary" else apart and t - end > (self.gap if moved else wide)):
+            (start, end, moved, apart), out = self.close(state)
+        if seen_as == "stationary":
+            return (t if start is None else start, t, False, False), out
+        return (start, end, moved or seen_as == "moving", True), out
+
+    def deadline(self, state: tuple) -> float | None:
+        return None if state[0] is None else state[1] + max(self.gap, self.unknown_gap)
+
+    def close(self, state: tuple) -> tuple[tuple, list[tuple]]:
+        start, end = state[:2]
+        return self.fresh(), [(start, end)] if start is not None and end - start >= self.least else []
+
+
+class InOrder(StatefulProcessor):
+    """Takes each lane's rows in order of time and gives them to a machine."""
+
+    def __init__(self, machine, keep: float):
+        self.machine, self.keep = machine, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"t double, id long, {self.machine.row}")
+        self.memory = handle.getValueState("memory", f"last double, {self.machine.state}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = math.inf
+        for pdf in rows:
+            self.waiting.appendList(list(pdf.drop(columns=["lane", "ts"]).itertuples(index=False, name=None)))
+            first = min(first, pdf["t"].min())
+        self.handle.registerTimer(math.ceil(first * 1000))
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        passed = sum(r[0] * 1000 <= now for r in rows)
+        held = self.memory.get() if self.memory.exists() else None
+        if not passed and held is None:  # a timer of a memory that is gone
+            yield self._frame(key, [])
+            return
+        held = held or (-math.inf, *self.machine.fresh())
+        last, state, out = held[0], tuple(held[1:]), []
+        for r in rows[:passed]:
+            state, found = self.machine.step(state, *r)
+            out += found
+            last = r[0]
+        until = self.machine.deadline(state)
+        if until is not None and now > until * 1000:
+            state, found = self.machine.close(state)
+            out, until = out + found, None
+        if rows[passed:]:
+            self.waiting.put(rows[passed:])
+            self.handle.registerTimer(math.ceil(rows[passed][0] * 1000))
+        elif rows:
+            self.waiting.clear()
+        if until is not None:
+            self.handle.registerTimer(math.floor(until * 1000) + 1)
+        end = math.floor((last + self.keep) * 1000) + 1
+        if now >= end and not rows[passed:] and until is None:
+            self.memory.clear()
+        else:
+            self.memory.update((last, *state))
+            if now < end:
+                self.handle.registerTimer(end)
+        yield self._frame(key, out)
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        names = [c.split()[0] for c in self.machine.out.split(", ")]
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["lane", *names]).astype({"lane": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def run(stream: DataFrame, lane: str, t: str, id: str, columns: list[str], machine, late: str = "1 hour", keep: float = math.inf) -> DataFrame:
+    """What a machine finds in a stream of rows with a time in seconds: lane and the machine's columns.
+
+    Rows later than ``late`` behind the newest are dropped, as they are by any watermark.  A lane that is
+    silent for ``keep`` seconds of event time is forgotten; if it goes on, it begins anew.
+    """
+    names = [c.split()[0] for c in machine.row.split(", ")]
+    ts = F.timestamp_micros(F.round(F.col(t) * 1e6).cast("long"))
+    rows = stream.select(F.col(lane).cast("long").alias("lane"), ts.alias("ts"), F.col(t).alias("t"), F.col(id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    keep = min(keep, 1e11)  # timers are milliseconds in 64 bits
+    return rows.withWatermark("ts", late).groupBy("lane").transformWithStateInPandas(InOrder(machine, keep), f"lane long, {machine.out}", "append", "EventTime")
+
+
+def gate(stream: DataFrame, lane: str, t: str, id: str, core: str, body: str, rule: GateRule, **options) -> DataFrame:
+    """The temperature gate per lane: id and reference (NULL if it passed); rows without a core are left out."""
+    return run(stream.filter(F.col(core).isNotNull()), lane, t, id, [core, body], GateMachine(rule), **options)
+
+
+def entries(stream: DataFrame, lane: str, t: str, id: str, state_column: str, sustained: int, intrusion: int, **options) -> DataFrame:
+    """One row per lane when its entry is complete: lane and entry (row position)."""
+    return run(stream, lane, t, id, [state_column], EntryMachine(sustained, intrusion), **options)
+
+
+def bouts(stream: DataFrame, lane: str, t: str, id: str, state_column: str, least: float, gap: float, unknown_gap: float, **options) -> DataFrame:
+    """Closed intervals (lane, start, end): when a later run doesn't merge, or when the watermark is the larger tolerance past the end."""
+    return run(stream, lane, t, id, [state_column], BoutMachine(least, gap, unknown_gap), **options)
+
+
+def finish(spark: SparkSession, checkpoint: str, machine) -> DataFrame:
+    """What a run that is over would have found next: the rows that still wait are taken and what is open is closed.
+
+    Reads the state of the run's checkpoint and changes nothing there.
+    """
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    memory = read("memory").select(F.col("key.lane").alias("lane"), F.col("value").alias("held"))
+    waiting = read("waiting").groupBy(F.col("key.lane").alias("lane")).agg(F.sort_array(F.collect_list("list_element")).alias("rows"))
+    names = ["lane", *[c.split()[0] for c in machine.out.split(", ")]]
+
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for lane, held, rows in zip(pdf["lane"], pdf["held"], pdf["rows"], strict=True):
+                state = machine.fresh() if held is None else tuple(held.values())[1:]
+                for r in [] if rows is None else rows:
+                    state, found = machine.step(state, *r.values())
+                    out += [(lane, *f) for f in found]
+                out += [(lane, *f) for f in machine.close(state)[1]]
+            yield pd.DataFrame(out, columns=names)
+
+    both = memory.join(waiting, "lane", "full").select("lane", "held", "rows")
+    return both.mapInPandas(end, f"lane long, {machine.out}")
 
 
 def activity(stream: DataFrame, ts: str, value: str, keys: list[str], width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts and sums in tumbling windows, emitted when the watermark passes a window's end."""
+    """Counts and sums in tumbling windows; in append mode when the watermark passes a window's end, in update mode whenever they change."""
     timed = stream.withWatermark(ts, late)
     return timed.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
+
+
+def start(made: DataFrame, out: str, checkpoint: str):
+    """Runs a query over all that is there and appends what it finds to Parquet."""
+    spark = made.sparkSession
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return made.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
+def latest(made: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Runs an updating query over all that is there; the last state of each key, from what each micro-batch wrote."""
+    spark = made.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(made.schema.simpleString()[7:-1].replace(":", " ") + ", _batch int").option("recursiveFileLookup", True).parquet(out)
+    values = [c for c in made.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*").select(*made.columns)

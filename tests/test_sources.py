@@ -1,4 +1,7 @@
-"""Files: tracking tables, lookups, session documents, manifests and frame containers."""
+"""Files: tracking tables, lookups, session documents, reports, manifests and frame containers."""
+
+import itertools
+import operator
 
 import numpy as np
 import pytest
@@ -59,3 +62,68 @@ def test_frames(spark, tmp_path):
     assert [r.frame for r in load(every=4).orderBy("frame").collect()] == [0, 4, 8]
     assert load().rdd.getNumPartitions() == 3
     assert load().agg(F.max("height"), F.max("width")).first() == (6, 9)
+
+
+PREDICATES = [("frame < 3", operator.lt, 3), ("frame <= 4", operator.le, 4), ("frame = 5", operator.eq, 5), ("frame = 2", operator.eq, 2), ("frame >= 2", operator.ge, 2), ("frame > 6", operator.gt, 6)]
+
+
+def test_every_pair_of_frame_predicates(spark, tmp_path):
+    (tmp_path / "v.seq").write_bytes(b"".join(frames.encode(np.full((2, 3), k)) for k in range(9)))
+    frames.register(spark)
+    for (a, f, x), (b, g, y) in itertools.product(PREDICATES, PREDICATES):
+        got = spark.read.format("frames").option("framesPerPartition", 4).load(str(tmp_path / "v.seq")).filter(f"{a} AND {b}").select("frame").collect()
+        assert sorted(r.frame for r in got) == [k for k in range(9) if f(k, x) and g(k, y)], (a, b)
+
+
+def test_headers_are_read_without_pixels(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    known = {"r1": 14000.5, "r2": 0.0125, "b": 1400.0, "f": 1.5, "o": -6000}
+    video = [rng.integers(0, 60000, (240, 320)) for _ in range(20)]
+    (tmp_path / "a.seq").write_bytes(frames.encode(video[0], pad=64, constants=known) + b"".join(frames.encode(v, constants=known) for v in video[1:]))
+    (tmp_path / "b.seq").write_bytes(frames.encode(video[0]))
+    (tmp_path / "c.seq").write_bytes(b"")
+    (tmp_path / "d.seq").write_bytes(b"not a container")
+    frames.register(spark)
+    heads = spark.read.format("frame_headers").option("filesPerPartition", 1).load(str(tmp_path))
+    got = {r.path[-5]: r for r in heads.collect()}
+    assert heads.rdd.getNumPartitions() == 4
+    assert {k: (r.frames, r.height, r.width) for k, r in got.items()} == {"a": (20, 240, 320), "b": (1, 240, 320), "c": (0, None, None), "d": (0, None, None)}
+    assert [got["a"][k] for k in ("r1", "b", "f", "o")] == [14000.5, 1400.0, 1.5, -6000.0] and got["a"].r2 == pytest.approx(0.0125) and got["b"].r1 is None
+    size = (tmp_path / "a.seq").stat().st_size
+    assert max(r.bytes_read for r in got.values()) < 10_000 < size / 300
+    pixels = spark.read.format("frames").load(str(tmp_path / "a.seq")).filter("frame = 7").first().pixels
+    assert pixels == video[7].ravel().tolist()
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("frame_headers").load(str(tmp_path / "none")).count() == 0
+
+
+KIND = "struct<n:bigint,parts:array<struct<k:string,v:double>>>"
+
+
+def test_reports_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    doc = lambda rows: spark.createDataFrame([(s, n, [{"k": f"p{i}", "v": i / 2} for i in range(n)]) for s, n in rows], f"session string, {KIND[7:-1].replace('n:', 'n ').replace('parts:', 'parts ')}")
+    read = lambda: {r.session: (r.report.n, [(p.k, p.v) for p in r.report.parts]) for r in tables.read_reports(spark, path, KIND).collect()}
+    assert read() == {}
+    assert sorted(r.session for r in tables.write_reports(doc([("a", 1), ("b c/d", 0)]), path).collect()) == ["a", "b c/d"]
+    first = sorted(str(p) for p in (tmp_path / "reports").rglob("*.txt"))
+    assert [r.session for r in tables.write_reports(doc([("a", 3), ("b c/d", 3), ("e", 2)]), path).collect()] == ["e"]  # only what is missing
+    assert read() == {"a": (1, [("p0", 0.0)]), "b c/d": (0, []), "e": (2, [("p0", 0.0), ("p1", 0.5)])}
+    assert set(first) <= {str(p) for p in (tmp_path / "reports").rglob("*.txt")}
+    with pytest.raises(FileExistsError, match="session (a|e)"):
+        tables.write_reports(doc([("a", 9), ("e", 9)]), path, again="refuse")
+    with pytest.raises(ValueError, match="twice|occurs 2"):
+        tables.write_reports(doc([("z", 1), ("z", 1)]), path)
+    assert [r.session for r in tables.write_reports(doc([("a", 2)]), path, again="replace").collect()] == ["a"] and read()["a"][0] == 2
+    assert tables.write_reports(doc([("a", 2)]), path).count() == 0
+
+
+def test_a_run_that_fails_leaves_no_report(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    good = spark.range(6).select(F.concat(F.lit("s"), "id").alias("session"), F.col("id").alias("n"))
+    bad = good.withColumn("n", F.when(F.col("n") == 4, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_reports(bad, path)
+    assert tables.read_reports(spark, path, "struct<n:bigint>").count() == 0
+    assert tables.write_reports(good, path).count() == 6
+    assert sorted(r.report.n for r in tables.read_reports(spark, path, "struct<n:bigint>").collect()) == list(range(6))
