@@ -10,7 +10,7 @@ from chronolane.operators import aggregates as A
 from chronolane.operators import columns as C
 from chronolane.operators import greedy as G
 from chronolane.operators import images as I
-from chronolane.operators import maps
+from chronolane.operators import lags, maps
 from chronolane.operators import measure as P
 from chronolane.operators import models as M
 from chronolane.operators import slopes
@@ -85,18 +85,18 @@ def _traces(spark, sf):
 
 @query("m_cross_correlate")
 def m_cross_correlate(spark, sf):
-    return M.cross_lag(_traces(spark, sf), {"lane": "long"}, "h", "a", "b", 0.25)
+    return lags.cross_lag(_traces(spark, sf), LANE, "h", "a", "b", 0.25)
 
 
 @query("m_windowed_lag")
 def m_windowed_lag(spark, sf):
-    return M.windowed_lag(_traces(spark, sf), {"lane": "long"}, "h", "a", "b", 0.25)
+    return lags.windowed_lag(_traces(spark, sf), LANE, "h", "a", "b", 0.25)
 
 
 @query("m_bout_edge_lag")
 def m_bout_edge_lag(spark, sf):
     edges = bouts(spark, sf).select("lane", "bout_index", ((F.col("bout_start_sec") - T0) / 3600).alias("bout_start_sec"))
-    return M.edge_lag(_traces(spark, sf), edges, {"lane": "long"}, "h", "a", "b", 0.5, 100.0, 3.0)
+    return lags.edge_lag(_traces(spark, sf), edges, LANE, "h", "a", "b", 0.5, 100.0, 3.0)
 
 
 #: Base homographies of the two orientations of a camera.
@@ -411,9 +411,19 @@ def i_local_fallback(spark, sf):
     return _per_frame(spark, sf, kernel, "x double, y double, area long")
 
 
-@query("i_edt_roi_center")
+_EDT = f"""WITH {PIX}, m AS (SELECT vec_id, px, py, value > -0.1 AS inside FROM px), i AS (SELECT DISTINCT vec_id FROM px),
+d AS (SELECT a.vec_id, a.px, a.py, min((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS far FROM m a LEFT JOIN m b ON a.vec_id = b.vec_id AND NOT b.inside WHERE a.inside GROUP BY 1, 2, 3),
+p AS (SELECT vec_id, px, py, least(coalesce(far, 999), (px + 1) * (px + 1), (8 - px) * (8 - px), (py + 1) * (py + 1), (8 - py) * (8 - py)) AS far FROM d),
+a AS (SELECT vec_id, px, py, row_number() OVER (PARTITION BY vec_id ORDER BY far DESC, py, px) AS k FROM d WHERE far >= 4), b AS (SELECT vec_id, px, py, row_number() OVER (PARTITION BY vec_id ORDER BY far DESC, py, px) AS k FROM p WHERE far >= 4)
+SELECT i.vec_id, CAST(a.px AS BIGINT) AS x, CAST(a.py AS BIGINT) AS y, CAST(b.px AS BIGINT) AS padded_x, CAST(b.py AS BIGINT) AS padded_y FROM i LEFT JOIN a ON i.vec_id = a.vec_id AND a.k = 1 LEFT JOIN b ON i.vec_id = b.vec_id AND b.k = 1"""
+
+
+@query("i_edt_roi_center", _EDT)
 def i_edt_roi_center(spark, sf):
-    return _per_frame(spark, sf, lambda f: I.deepest(f > -0.1, 1.0) or (None, None), "x double, y double")
+    """Where a disk of radius 2 lies deepest in the warm part of a frame, and where if the frame's border counts as outside."""
+    mask = F.transform("pixels", lambda v: v > -0.1)
+    found = frames(spark, sf).select("vec_id", I.deepest_pixel(mask, WIDTH, 2.0).alias("a"), I.deepest_pixel(mask, WIDTH, 2.0, pad=True).alias("b"))
+    return found.select("vec_id", "a.x", "a.y", F.col("b.x").alias("padded_x"), F.col("b.y").alias("padded_y"))
 
 
 @query("i_floor_roi_search")

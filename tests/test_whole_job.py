@@ -25,7 +25,7 @@ def test_trajectory_sync_searches_the_default_ranges(spark, monkeypatch):
     from chronolane.plans import model_queries
 
     asked = {}
-    monkeypatch.setattr(model_queries.M, "trajectory_sync", lambda lanes, **k: asked.update(k) or lanes)
+    monkeypatch.setattr(model_queries.lags, "trajectory_sync", lambda lanes, **k: asked.update(k) or lanes)
     QUERIES["m_trajectory_sync"](spark, SF)
     assert not {"reach", "drift", "rates"} & set(asked)
 
@@ -47,8 +47,8 @@ def test_bout_edge_lag_takes_the_starts_of_bouts(spark, monkeypatch):
     from chronolane.plans import model_queries
 
     asked = []
-    real = model_queries.M.edge_lag
-    monkeypatch.setattr(model_queries.M, "edge_lag", lambda df, edges, *a: asked.append(edges) or real(df, edges, *a))
+    real = model_queries.lags.edge_lag
+    monkeypatch.setattr(model_queries.lags, "edge_lag", lambda df, edges, *a: asked.append(edges) or real(df, edges, *a))
     got = {r.lane: r for r in QUERIES["m_bout_edge_lag"](spark, SF).collect()}
     bouts = QUERIES["w_bout_islands"](spark, SF).collect()
     assert sorted((r.lane, r.bout_index, round(r.bout_start_sec * 3600 + model_queries.T0, 3)) for r in asked[0].collect()) == sorted((r.lane, r.bout_index, round(r.bout_start_sec, 3)) for r in bouts)
