@@ -10,7 +10,7 @@ from chronolane.operators import aggregates as A
 from chronolane.operators import columns as C
 from chronolane.operators import greedy as G
 from chronolane.operators import images as I
-from chronolane.operators import lags, maps
+from chronolane.operators import lags, maps, mixed
 from chronolane.operators import measure as P
 from chronolane.operators import models as M
 from chronolane.operators import slopes
@@ -170,14 +170,14 @@ def a_paired_tests(spark, sf):
 @query("m_lmm")
 def m_lmm(spark, sf):
     per = lines(spark, sf).groupBy("session", "mouse", "virus", "injection").agg(F.avg("y").alias("y"))
-    return M.factor_model(per, "y", "injection", "mouse", "R", {"virus": "string"})
+    return mixed.factor_model(per, "y", "injection", "mouse", "R", {"virus": "string"})
 
 
 @query("m_session_lmm")
 def m_session_lmm(spark, sf):
     some = lines(spark, sf).filter(F.col("injection").isin("A", "R") & F.col("virus").isin("BUILDING", "MACHINERY"))
     per = some.groupBy("session", "mouse", "virus", "injection", "stationary").agg(F.avg("y").alias("y"))
-    return M.interaction_model(per, "y", "injection", "R", "virus", ("BUILDING", "MACHINERY"), "mouse", {"stationary": "boolean"})
+    return mixed.interaction_model(per, "y", "injection", "R", "virus", ("BUILDING", "MACHINERY"), "mouse", {"stationary": "boolean"})
 
 
 @query("m_timeseries_lmm")

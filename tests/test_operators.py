@@ -155,16 +155,6 @@ def test_t_distribution():
     assert M.t_quantile(0.975, 4) == pytest.approx(2.776445, abs=1e-5)
 
 
-def test_mixed_model_recovers_planted_effects():
-    rng = np.random.default_rng(3)
-    unit = np.repeat(np.arange(40), 30)
-    t = np.tile([0.0, 1.0], 600)
-    y = 5 + t + rng.normal(0, 1.5, 40)[unit] + rng.normal(0, 1, 1200)
-    m = M.mixed_model(y, np.column_stack([np.ones(1200), t]), unit)
-    assert m["beta"][1] == pytest.approx(1, abs=0.2) and m["se"][1] == pytest.approx(2 / np.sqrt(1200), rel=0.1)
-    assert m["group_var"] == pytest.approx(2.25, rel=0.5) and m["noise_var"] == pytest.approx(1, rel=0.15)
-
-
 def test_lag_and_trajectory(spark):
     t = np.arange(0, 400, 0.5)
     x = 60 * np.sin(t / 7) + 40 * np.sin(t / 31) + 200
