@@ -26,10 +26,14 @@ def p_parse_suffix_lane(spark, sf):
     return names(spark, sf).withColumn("p", C.stem_and_lane(F.col("name"))).select("k", "p.stem", "p.lane")
 
 
-@query("p_extract_tokens", f"WITH {NAMES} SELECT k, CAST(4000 + k % 900 AS VARCHAR) AS b, CAST(5000 + k % 900 AS VARCHAR) AS f, CAST(0 AS INTEGER) AS strict_found FROM n")
+@query("p_extract_tokens", f"WITH {NAMES} SELECT k, CASE WHEN k % 3 = 2 THEN CAST(4000 + k % 900 AS VARCHAR) END AS b, CASE WHEN k % 3 <> 1 THEN CAST(5000 + k % 900 AS VARCHAR) END AS f, CAST(CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS strict_found, CASE WHEN k % 3 <> 2 THEN CAST(4000 + k % 900 AS VARCHAR) END AS strict_b FROM n")
 def p_extract_tokens(spark, sf):
-    df = names(spark, sf).withColumns({"loose": C.lane_tokens(F.col("stem"), strict=False), "strict": C.lane_tokens(F.col("stem"))})
-    return df.select("k", F.col("loose")["B"].alias("b"), F.col("loose")["F"].alias("f"), F.size("strict").alias("strict_found"))
+    """Of each three stems one has a token that ends at a hyphen, one has two, one has none; only those are strict."""
+    k, stem = F.col("k") % 3, F.col("stem")
+    one = F.replace(stem, F.lit("_B_"), F.lit("_B-"))
+    stem = F.when(k == 0, one).when(k == 1, F.replace(one, F.lit("_F_"), F.lit("_F-"))).otherwise(stem)
+    df = names(spark, sf).withColumns({"loose": C.lane_tokens(stem, strict=False), "strict": C.lane_tokens(stem)})
+    return df.select("k", F.col("loose")["B"].alias("b"), F.col("loose")["F"].alias("f"), F.size("strict").alias("strict_found"), F.col("strict")["B"].alias("strict_b"))
 
 
 @query("p_extract_date", f"WITH {NAMES} SELECT k, strftime(TIMESTAMP '2025-07-01 00:00:00' + INTERVAL (k % 60) DAY, '%Y-%m-%d') AS day FROM n")

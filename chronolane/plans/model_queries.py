@@ -221,9 +221,19 @@ def w_greedy_range_bouts(spark, sf):
     return G.range_bouts(_numbered(spark, sf), {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0).select("lane", "first", "last")
 
 
-@query("w_greedy_range_bouts_gap")
+GREEDY_GAP = f"""WITH RECURSIVE {SAMPLES}, p AS (SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY t, frame) - 1 AS rn, CAST(floor(t / 86400) AS BIGINT) AS pos, t, x, y FROM s),
+w AS (SELECT lane, rn, pos, t, CASE WHEN y <= 80 THEN rn END AS r0, CASE WHEN y <= 80 THEN x END AS lo, CASE WHEN y <= 80 THEN x END AS hi FROM p WHERE rn = 0
+UNION ALL SELECT lane, rn, pos, t, CASE WHEN fast THEN NULL WHEN begins THEN rn ELSE r0 END, CASE WHEN fast THEN NULL WHEN begins THEN x ELSE least(lo, x) END, CASE WHEN fast THEN NULL WHEN begins THEN x ELSE greatest(hi, x) END
+ FROM (SELECT p.*, w.r0, w.lo, w.hi, p.y > 80 AS fast, w.r0 IS NULL OR p.pos - w.pos > 1 OR greatest(w.hi, p.x) - least(w.lo, p.x) > 120 AS begins FROM w JOIN p ON p.lane = w.lane AND p.rn = w.rn + 1)),
+b AS (SELECT lane, r0, min(pos) AS first, max(pos) AS last, max(t) - min(t) AS duration FROM w WHERE r0 IS NOT NULL GROUP BY lane, r0 HAVING max(t) - min(t) >= 21600)
+SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY r0) - 1 AS bout_index, first, last, round(duration, 6) AS duration FROM b"""
+
+
+@query("w_greedy_range_bouts_gap", GREEDY_GAP)
 def w_greedy_range_bouts_gap(spark, sf):
-    return G.range_bouts(_numbered(spark, sf), {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0, gap=1)
+    """Bouts by the day as position: a day without a sample ends one."""
+    rows = samples(spark, sf).withColumn("pos", F.floor(F.col("t") / 86400).cast("long")).select("lane", "pos", "t", "frame", "x", "y")
+    return rounded(G.range_bouts(rows, {"lane": "long"}, "pos", "t", "x", "y", ORDER, 80.0, 120.0, 21600.0, gap=1))
 
 
 #: Memory of 9 readings, 5 at least, emptied by 6 short ones in a row.
@@ -317,7 +327,9 @@ def i_frame_state(spark, sf):
     return b.select("vec_id", I.entry_state(F.col("area"), F.col("ch"), 4, 9, 0.5).alias("state"))
 
 
-@query("i_split_row")
+@query("i_split_row", f"""WITH {PIX}, r AS (SELECT vec_id, py, avg(value) AS b FROM px GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, py < 4 ORDER BY b DESC, py) AS k FROM r),
+e AS (SELECT vec_id, max(py) FILTER (k = 1 AND py < 4) AS t, max(py) FILTER (k = 1 AND py >= 4) AS l FROM k GROUP BY 1), m AS (SELECT r.vec_id, r.py, row_number() OVER (PARTITION BY r.vec_id ORDER BY b, r.py) AS k FROM r JOIN e ON r.vec_id = e.vec_id AND r.py BETWEEN t AND l)
+SELECT vec_id, CAST(py AS INTEGER) AS split FROM m WHERE k = 1""")
 def i_split_row(spark, sf):
     return I.split_row(pixels(spark, sf), ["vec_id"], 8)
 
@@ -333,9 +345,11 @@ def i_iou(spark, sf):
     return rounded(I.iou(pixels(spark, sf), ["vec_id"], F.col("value") > 0, F.col("px") < 4), 9)
 
 
-@query("i_sigma_grid_search")
+@query("i_sigma_grid_search", f"""WITH {PIX}, c AS (SELECT vec_id, avg(value) AS m, stddev_pop(value) AS s FROM px GROUP BY 1), g AS (SELECT unnest(range(2, 13)) / 2.0 AS sigma),
+i AS (SELECT sigma, px.vec_id, count(*) FILTER (value > m + sigma * s AND px < 4) * 1.0 / count(*) FILTER (value > m + sigma * s OR px < 4) AS iou FROM px JOIN c ON px.vec_id = c.vec_id, g GROUP BY 1, 2)
+SELECT CAST(sigma AS DOUBLE) AS sigma, round(avg(iou), 9) AS mean_iou FROM i GROUP BY sigma ORDER BY avg(iou) DESC, sigma LIMIT 1""")
 def i_sigma_grid_search(spark, sf):
-    return I.sigma_search(pixels(spark, sf), ["vec_id"], "value", F.col("px") < 4, [k / 2 for k in range(2, 13)])
+    return rounded(I.sigma_search(pixels(spark, sf), ["vec_id"], "value", F.col("px") < 4, [k / 2 for k in range(2, 13)]), 9)
 
 
 @query("i_warm_spot", f"WITH {PIX} SELECT vec_id, round(CASE WHEN count(*) >= 5 THEN quantile_cont(value, 0.95) END, 6) AS warm FROM px WHERE px < 3 GROUP BY vec_id")

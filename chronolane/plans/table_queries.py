@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.operators import aggregates as A
@@ -216,9 +218,19 @@ for _name, _pick in (("scan_multi_latest_wins", "max"), ("scan_first_existing_wi
     )
 
 
-@query("scan_dup_lane_guard", "SELECT o_custkey AS unit, count(DISTINCT o_orderkey % 3) AS n_sources FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) > 1")
+@query("scan_dup_lane_guard", "SELECT o_custkey AS unit, count(DISTINCT o_orderkey % 3) AS n_sources, true AS refused FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) > 1")
 def scan_dup_lane_guard(spark, sf):
-    return J.duplicates(_three(spark, sf), ["unit"])
+    """Units of several sources, and that a reader who wants one source a unit is refused them."""
+    found = J.duplicates(_three(spark, sf), ["unit"])
+    every = reduce(DataFrame.unionByName, [s.select("unit").distinct() for s in _three(spark, sf)])
+    try:
+        J.guard_unique(every, ["unit"]).write.format("noop").mode("overwrite").save()
+        refused = False
+    except Exception as e:  # the guard's own error is a failure of the job
+        if "duplicate key" not in str(e):
+            raise
+        refused = True
+    return found.withColumn("refused", F.lit(refused))
 
 
 @query("scan_duplicate_key_guard", "SELECT c_custkey, c_name FROM customer")

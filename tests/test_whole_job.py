@@ -1,5 +1,6 @@
 """Registered queries answer for the whole of their tables, not for a prefix, a few keys or a smaller search."""
 
+import json
 import os
 
 import numpy as np
@@ -25,7 +26,7 @@ def test_trajectory_sync_searches_the_default_ranges(spark, monkeypatch):
     from chronolane.plans import model_queries
 
     asked = {}
-    monkeypatch.setattr(model_queries.lags, "trajectory_sync", lambda lanes, **k: asked.update(k) or lanes)
+    monkeypatch.setattr(model_queries.M, "trajectory_sync", lambda lanes, **k: asked.update(k) or lanes)
     QUERIES["m_trajectory_sync"](spark, SF)
     assert not {"reach", "drift", "rates"} & set(asked)
 
@@ -58,9 +59,22 @@ def test_bout_edge_lag_takes_the_starts_of_bouts(spark, monkeypatch):
 
 
 def test_greedy_bouts_with_gap_take_all_rows(spark):
-    whole = QUERIES["w_greedy_range_bouts"](spark, SF).collect()  # positions of a lane have no gap
+    rows = sorted((r.user_id, r.ts.timestamp(), r.event_id, r.value, json.loads(r.props)["k"]) for r in load(spark, SF, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", "props").collect())
+    want, held, before = [], [], None
+    for lane, t, _, x, y in [*rows, (None, 0.0, 0, 0.0, 999)]:
+        day = int(t // 86400)
+        ended = before is not None and (before[0] != lane or day - before[1] > 1)
+        xs = [h[2] for h in held]
+        if held and (ended or y > 80 or max(*xs, x) - min(*xs, x) > 120):
+            if held[-1][0] - held[0][0] >= 21600:
+                want.append((before[0], held[0][1], held[-1][1]))
+            held = []
+        if y <= 80:
+            held.append((t, day, x))
+        before = (lane, day)
     got = QUERIES["w_greedy_range_bouts_gap"](spark, SF).collect()
-    assert sorted((r.lane, r.first, r.last) for r in got) == sorted(tuple(r) for r in whole)
+    assert sorted((r.lane, r.first, r.last) for r in got) == sorted(want)
+    assert {r.lane for r in got} == {lane for lane, _, _ in want} and min(r.bout_index for r in got) == 0
 
 
 def test_a_jump_of_the_position_ends_a_greedy_bout(spark):
@@ -128,7 +142,7 @@ def test_sigma_search_tries_the_sigmas_of_the_reference(spark, monkeypatch):
     from chronolane.plans import model_queries
 
     asked = []
-    monkeypatch.setattr(model_queries.I, "sigma_search", lambda *a: asked.append(a[-1]))
+    monkeypatch.setattr(model_queries.I, "sigma_search", lambda *a: asked.append(a[-1]) or a[0].limit(0))
     QUERIES["i_sigma_grid_search"](spark, SF)
     assert asked == [[1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]]
 
