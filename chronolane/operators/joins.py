@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolane.sources.scratch import stored
+
 
 def _bracketed(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: dict[str, Column]) -> DataFrame:
     """Rows of ``left`` (as a struct ``_l``) with the last right row at or before and the first one after, as structs _b and _f.
@@ -71,7 +73,7 @@ def cell_pairs(points: DataFrame, intervals: DataFrame, keys: list[str], t: str,
     size that occurs (one number a power of two), so the join is an equality on (key, size, cell): intervals
     may overlap, and a key with most of the rows is dealt out by its cells.
     """
-    cells = _covered(intervals, start, end)
+    cells = stored(_covered(intervals, start, end), "cells")
     sizes = cells.agg(F.collect_set("_width").alias("_width"))
     at = F.col(t).cast("double")
     looked = points.crossJoin(F.broadcast(sizes)).withColumn("_width", F.explode("_width")).withColumn("_cell", at - F.pmod(at, F.col("_width")))  # one row of sizes

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronolane.operators.joins import frames_in_bouts
+from chronolane.sources.scratch import stored
 
 
 def sequence(keys: list[str], order: list[str]) -> WindowSpec:
@@ -119,6 +120,7 @@ def islands(
 
 def bout_metrics(df: DataFrame, bouts: DataFrame, keys: list[str], order: list[str], metrics: dict[str, Column]) -> DataFrame:
     """Means over all rows from a bout's first to its last, bridged gaps included, nulls skipped."""
+    bouts = stored(bouts, "bouts")
     rows = df.withColumn("_row", F.row_number().over(sequence(keys, order)))
     held = bouts.select(*keys, "bout_index", "first_row", "last_row")
     inside = frames_in_bouts(rows, held, keys, "_row", "first_row", "last_row")
