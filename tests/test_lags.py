@@ -102,3 +102,19 @@ def test_deepest_pixel_is_that_of_all_pairs(spark):
             for pad in (False, True):
                 want = I.deepest(some[r.k], 1.5, pad)
                 assert (r[f"p{pad}"] and tuple(r[f"p{pad}"])) == want, (some[r.k], pad)
+
+
+def test_sparse_traces_travel_as_samples(spark, monkeypatch):
+    """A grid of many steps between few samples is neither stored nor shuffled, whether it is one block or several."""
+    groups = {k: traces(k) for k in range(4)}
+    df = spark.createDataFrame([(k, *r) for k, rows in groups.items() for r in rows], COLUMNS).repartition(4)
+    seen, real = {}, lags.stored
+    monkeypatch.setattr(lags, "stored", lambda rows, name: seen.setdefault(name, real(rows, name)))
+    for block in (64, 4096):
+        seen.clear()
+        got = {r.lane: r.lag_sec for r in lags.cross_lag(df, ["lane"], "t", "a", "b", 0.05, block).collect()}
+        assert all(got[k] == pytest.approx(by_hand(rows, 0.05), abs=1e-6) for k, rows in groups.items())
+        samples = sum(map(len, groups.values()))
+        steps = sum(r._n for r in seen["blocks"].select("_k", "_n").distinct().collect())
+        segments = seen["blocks"].select(F.sum(F.size("_g"))).first()[0]
+        assert "grid" not in seen and steps > 10 * samples and segments <= samples + 3 * 2 * seen["blocks"].count()
