@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolane.sources.scratch import stored
+
 
 def sem(x: str) -> Column:
     """Standard error of the mean; 0 for a single value."""
@@ -54,13 +56,43 @@ def unpivoted_mean(df: DataFrame, metrics: list[str], factors: list[str]) -> Dat
     return long.groupBy(*factors, "metric").agg(F.avg("value").alias("mean"), sem("value").alias("sem"), F.count("value").alias("n"))
 
 
+def exact_percentiles(df: DataFrame, value: str, factors: list[str], shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """Per group the number of values (n) and exact percentiles by name, interpolated as ``percentile`` does; groups without values are left out.
+
+    Equal values are counted, counts are summed over ``buckets`` equal stretches of a group's range, and only the
+    stretches that a percentile lies in are put in order: no task holds the values of a group.
+    """
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(*factors, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    real = F.when(~F.isnan("_v"), F.col("_v"))
+    ends = counts.groupBy(*factors).agg(F.sum("_c").alias("n"), F.min(real).alias("_lo"), F.max(real).alias("_hi"))
+    same = F.lit(True)
+    for c in factors:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    few = lambda rows: F.broadcast(rows.withColumnsRenamed({c: f"_of_{c}" for c in factors}))  # noqa: E731  a row or a few a group
+    step = F.nullif((F.col("_hi") - F.col("_lo")) / buckets, F.lit(0.0))
+    bucket = F.when(F.isnan("_v"), buckets + 1).otherwise(F.least(F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / step), F.lit(0)), F.lit(buckets))).cast("long")
+    dealt = counts.join(few(ends), same).select(*factors, "_v", "_c", "n", bucket.alias("_b"))
+    sums = dealt.groupBy(*factors, "n", "_b").agg(F.sum("_c").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*factors).orderBy("_b")) - F.col("_c")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for k, p in shares.items()]))
+    ranks = F.explode(F.array(F.struct(F.floor("_at").alias("r"), (F.floor("_at") + 1 - F.col("_at")).alias("w")), F.struct((F.floor("_at") + 1).alias("r"), (F.col("_at") - F.floor("_at")).alias("w"))))
+    wanted = sums.withColumn("_before", before).select(*factors, "n", "_b", "_before", "_c", asked.alias("_a")).select("*", F.col("_a.k").alias("_k"), F.col("_a.at").alias("_at"))
+    wanted = wanted.select("*", ranks.alias("_r")).filter("_r.w > 0 AND _r.r >= _before AND _r.r < _before + _c").select(*factors, F.col("_b").alias("_bucket"), "_before", "_k", "_r")
+    inner = F.sum("_c").over(Window.partitionBy(*factors, "_b").orderBy("_v"))
+    ordered = dealt.join(few(wanted.select(*factors, "_bucket").distinct()), same & (F.col("_b") == F.col("_bucket"))).select(*factors, "_v", "_c", "n", "_b", inner.alias("_upto"))
+    found = ordered.join(few(wanted), same & (F.col("_b") == F.col("_bucket"))).filter("_r.r < _before + _upto AND _r.r >= _before + _upto - _c")
+    part = F.when(F.col("_r.w") == 1, F.col("_v")).otherwise(F.col("_r.w") * F.col("_v"))
+    return found.groupBy(*factors, "n").agg(*[F.sum(F.when(F.col("_k") == k, part)).alias(k) for k in shares])
+
+
 def boxplot(df: DataFrame, value: str, factors: list[str], reach: float = 1.5) -> DataFrame:
-    """Quartiles, and whiskers at the farthest values within ``reach`` interquartile ranges of the box."""
-    box = df.groupBy(*factors).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count(value).alias("n"))
-    box = box.select(*factors, "n", *[F.get("_q", i).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    """Quartiles, and whiskers at the farthest values within ``reach`` interquartile ranges of the box; a factor has so few levels that a row of each is broadcast."""
+    box = stored(exact_percentiles(df, value, factors, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "box")
+    every = df.groupBy(*factors).agg(F.count(value).alias("n")).filter("n = 0")  # groups without values have a row too
+    box = box.unionByName(every, allowMissingColumns=True)
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
-    ends = df.join(F.broadcast(box) if not factors else box, factors) if factors else df.crossJoin(F.broadcast(box))
+    ends = df.join(F.broadcast(box), factors) if factors else df.crossJoin(F.broadcast(box))
     ends = ends.groupBy(*factors).agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"))
     return box.join(ends, factors) if factors else box.crossJoin(F.broadcast(ends))
 
