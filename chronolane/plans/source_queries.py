@@ -267,7 +267,7 @@ def stream_entries(spark, sf):
 @query("stream_bouts", f"""WITH {BOUTS} SELECT lane, round(bout_start_sec, 6) AS start, round(bout_end_sec, 6) AS "end" FROM bouts""")
 def stream_bouts(spark, sf):
     rows = classified(spark, sf).select("lane", "t", "frame", "frame_state")
-    return rounded(_streamed(spark, rows, stateful.BoutMachine(LEAST, GAP, UNKNOWN_GAP), ["frame_state"]))
+    return rounded(_streamed(spark, rows, stateful.BoutMachine(LEAST, GAP, UNKNOWN_GAP, silence=False), ["frame_state"]))
 
 
 @query("stream_activity", "SELECT date_trunc('day', ts) AS start, user_id AS lane, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

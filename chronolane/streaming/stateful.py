@@ -5,6 +5,9 @@ or in any order are taken in order of time, whatever the micro-batches are.  Eve
 first row that waits, for the moment after which nothing can join an open interval, and for the end of its
 memory.  When a bounded run is over, finish() reads what is still open from the query's checkpoint.
 
+What waits is stored by column, one element a lane and micro-batch, and a lane is woken by no timer that it
+doesn't need: a call of the state store costs more than a row does.
+
 The queries need RocksDB as state store; start() asks for it where the session doesn't say otherwise.
 """
 
@@ -21,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from chronolane.operators.greedy import GateRule, gate_reading
 
+FOREVER = 1e11  # seconds; timers are milliseconds in 64 bits
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -84,6 +88,8 @@ class BoutMachine:
     least: float
     gap: float
     unknown_gap: float
+    #: Whether silence alone ends an interval whose last row was stationary; islands() lets the next row go on with it after any time.
+    silence: bool = True
     state: str = "start double, end double, moved boolean, apart boolean"
     row: str = "state string"
     out: str = "start double, end double"
@@ -102,13 +108,18 @@ class BoutMachine:
         return (start, end, moved or seen_as == "moving", True), out
 
     def deadline(self, state: tuple) -> float | None:
-        return None if state[0] is None else state[1] + max(self.gap, self.unknown_gap)
+        return None if state[0] is None or not (self.silence or state[3]) else state[1] + max(self.gap, self.unknown_gap)
 
     def close(self, state: tuple) -> tuple[tuple, list[tuple]]:
         start, end = state[:2]
         return self.fresh(), [(start, end)] if start is not None and end - start >= self.least else []
 
 
+def waiting_schema(machine) -> str:
+    """A lane's rows of one micro-batch as an array a column: an element of state for many rows, not for each."""
+    return "t array<double>, id array<long>, " + ", ".join(f"{n} array<{k}>" for n, k in (c.split() for c in machine.row.split(", ")))
+
+
 class InOrder(StatefulProcessor):
     """Takes each lane's rows in order of time and gives them to a machine."""
 
@@ -117,24 +128,24 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t double, id long, {self.machine.row}")
+        self.waiting = handle.getListState("waiting", waiting_schema(self.machine))
         self.memory = handle.getValueState("memory", f"last double, {self.machine.state}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = math.inf
         for pdf in rows:
-            self.waiting.appendList(list(pdf.drop(columns=["lane", "ts"]).itertuples(index=False, name=None)))
+            pdf = pdf.drop(columns=["lane", "ts"])
+            self.waiting.appendValue(tuple(pdf[c].tolist() for c in pdf.columns))
             first = min(first, pdf["t"].min())
         self.handle.registerTimer(math.ceil(first * 1000))
-        yield self._frame(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        rows = sorted((r for held in self.waiting.get() for r in zip(*held, strict=True)), key=lambda r: r[:2])
         passed = sum(r[0] * 1000 <= now for r in rows)
-        held = self.memory.get() if self.memory.exists() else None
+        held = self.memory.get()
         if not passed and held is None:  # a timer of a memory that is gone
-            yield self._frame(key, [])
             return
         held = held or (-math.inf, *self.machine.fresh())
         last, state, out = held[0], tuple(held[1:]), []
@@ -147,7 +158,7 @@ class InOrder(StatefulProcessor):
             state, found = self.machine.close(state)
             out, until = out + found, None
         if rows[passed:]:
-            self.waiting.put(rows[passed:])
+            self.waiting.put([tuple(map(list, zip(*rows[passed:], strict=True)))])
             self.handle.registerTimer(math.ceil(rows[passed][0] * 1000))
         elif rows:
             self.waiting.clear()
@@ -158,9 +169,10 @@ class InOrder(StatefulProcessor):
             self.memory.clear()
         else:
             self.memory.update((last, *state))
-            if now < end:
+            if now < end and self.keep < FOREVER:
                 self.handle.registerTimer(end)
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
         names = [c.split()[0] for c in self.machine.out.split(", ")]
@@ -179,7 +191,7 @@ def run(stream: DataFrame, lane: str, t: str, id: str, columns: list[str], machi
     names = [c.split()[0] for c in machine.row.split(", ")]
     ts = F.timestamp_micros(F.round(F.col(t) * 1e6).cast("long"))
     rows = stream.select(F.col(lane).cast("long").alias("lane"), ts.alias("ts"), F.col(t).alias("t"), F.col(id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    keep = min(keep, 1e11)  # timers are milliseconds in 64 bits
+    keep = min(keep, FOREVER)
     return rows.withWatermark("ts", late).groupBy("lane").transformWithStateInPandas(InOrder(machine, keep), f"lane long, {machine.out}", "append", "EventTime")
 
 
@@ -193,9 +205,9 @@ def entries(stream: DataFrame, lane: str, t: str, id: str, state_column: str, su
     return run(stream, lane, t, id, [state_column], EntryMachine(sustained, intrusion), **options)
 
 
-def bouts(stream: DataFrame, lane: str, t: str, id: str, state_column: str, least: float, gap: float, unknown_gap: float, **options) -> DataFrame:
-    """Closed intervals (lane, start, end): when a later run doesn't merge, or when the watermark is the larger tolerance past the end."""
-    return run(stream, lane, t, id, [state_column], BoutMachine(least, gap, unknown_gap), **options)
+def bouts(stream: DataFrame, lane: str, t: str, id: str, state_column: str, least: float, gap: float, unknown_gap: float, silence: bool = True, **options) -> DataFrame:
+    """Closed intervals (lane, start, end): when a later run doesn't merge, or when the watermark is the larger tolerance past the end (not ``silence``: and a row of another state came after it)."""
+    return run(stream, lane, t, id, [state_column], BoutMachine(least, gap, unknown_gap, silence), **options)
 
 
 def finish(spark: SparkSession, checkpoint: str, machine) -> DataFrame:
@@ -205,7 +217,9 @@ def finish(spark: SparkSession, checkpoint: str, machine) -> DataFrame:
     """
     read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
     memory = read("memory").select(F.col("key.lane").alias("lane"), F.col("value").alias("held"))
-    waiting = read("waiting").groupBy(F.col("key.lane").alias("lane")).agg(F.sort_array(F.collect_list("list_element")).alias("rows"))
+    columns = [f"list_element.{c.split()[0]}" for c in waiting_schema(machine).split(", ")]
+    waiting = read("waiting").select(F.col("key.lane").alias("lane"), F.arrays_zip(*columns).alias("rows"))
+    waiting = waiting.groupBy("lane").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
     names = ["lane", *[c.split()[0] for c in machine.out.split(", ")]]
 
     def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
