@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -131,16 +131,14 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", waiting_schema(self.machine))
         self.memory = handle.getValueState("memory", f"last double, {self.machine.state}")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = math.inf
-        for pdf in rows:
-            pdf = pdf.drop(columns=["lane", "ts"])
-            self.waiting.appendValue(tuple(pdf[c].tolist() for c in pdf.columns))
-            first = min(first, pdf["t"].min())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        _, _, *columns = map(list, zip(*rows, strict=True))  # without the lane and the timestamp
+        self.waiting.appendValue(tuple(columns))
+        first = min(columns[0])
         self.handle.registerTimer(math.ceil(first * 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         rows = sorted((r for held in self.waiting.get() for r in zip(*held, strict=True)), key=lambda r: r[:2])
         passed = sum(r[0] * 1000 <= now for r in rows)
@@ -171,12 +169,8 @@ class InOrder(StatefulProcessor):
             self.memory.update((last, *state))
             if now < end and self.keep < FOREVER:
                 self.handle.registerTimer(end)
-        if out:
-            yield self._frame(key, out)
-
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in self.machine.out.split(", ")]
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["lane", *names]).astype({"lane": "int64"})
+        found = Row("lane", *[c.split()[0] for c in self.machine.out.split(", ")])
+        yield from (found(key[0], *r) for r in out)
 
     def close(self) -> None:
         pass
@@ -192,7 +186,7 @@ def run(stream: DataFrame, lane: str, t: str, id: str, columns: list[str], machi
     ts = F.timestamp_micros(F.round(F.col(t) * 1e6).cast("long"))
     rows = stream.select(F.col(lane).cast("long").alias("lane"), ts.alias("ts"), F.col(t).alias("t"), F.col(id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
     keep = min(keep, FOREVER)
-    return rows.withWatermark("ts", late).groupBy("lane").transformWithStateInPandas(InOrder(machine, keep), f"lane long, {machine.out}", "append", "EventTime")
+    return rows.withWatermark("ts", late).groupBy("lane").transformWithState(InOrder(machine, keep), f"lane long, {machine.out}", "append", "EventTime")
 
 
 def gate(stream: DataFrame, lane: str, t: str, id: str, core: str, body: str, rule: GateRule, **options) -> DataFrame:
