@@ -247,7 +247,9 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     blocks = lambda rows, items: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(items) * 8 / BLOCK_BYTES)).cast("int")
     kept = ws.table(members.select("token", "lo", "rows", blocks("rows", "items").alias("blocks")), "kept")
     place = lambda n, *more: F.pmod(F.xxhash64("token", "rep", "cls", *more), n).cast("int")
-    dealt = ws.table(placed.join(kept, "token").select("token", "lo", "rep", "cls", "n", "rows", "blocks", place("blocks").alias("block")), "dealt")
+    dealt = placed.join(kept, "token").select(*of_class, "n", F.struct("blocks", "rows", "token", "lo", place("blocks").alias("block")).alias("of"))
+    # a row per class with its lists, so joins on the class give a row per class
+    dealt = ws.table(dealt.groupBy(of_class).agg(F.first("n").alias("n"), F.collect_list("of").alias("lists"), F.max("of").alias("longest")), "dealt")
     ws.drop("lists", "placed", "kept")
 
     def joined(rows: DataFrame, name: str) -> DataFrame:
@@ -257,22 +259,24 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
 
     # candidate components: a list of several blocks joins its classes; in lists of one block that lie in
     # several such components collisions are counted
-    longest = ws.table(dealt.groupBy(of_class).agg(F.max(F.struct("blocks", "rows", "token", "lo")).alias("of")).select(*of_class, "of.*"), "longest")
-    one = dealt.filter("blocks = 1").select("token", *of_class).join(longest.select(*of_class, F.when(F.col("blocks") > 1, F.col("lo")).alias("lo")), of_class)
-    one = ws.table(one.select("token", *of_class, F.coalesce("lo", "rep").alias("comp")), "one")
+    single = F.explode(F.filter("lists", lambda x: x["blocks"] == 1)).alias("of")
+    one = dealt.select(*of_class, F.when(F.col("longest.blocks") > 1, F.col("longest.lo")).otherwise(F.col("rep")).alias("comp"), single)
+    one = ws.table(one.select("of.token", *of_class, "comp"), "one")
     several = one.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    one = one.join(several, "token", "left_semi").join(classes.select("rep", "cls", "sign"), of_class)
+    one = one.join(several, "token", "left_semi").groupBy(*of_class, "comp").agg(F.collect_list("token").alias("tokens"))
+    one = one.join(classes.select("rep", "cls", "sign"), of_class).withColumn("token", F.explode("tokens"))
     near = joined(one.select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("outside"), "comp", "sign"), "near")
-    near = near.union(dealt.filter("blocks > 1 AND rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
+    several_blocks = dealt.select("rep", F.explode("lists").alias("of")).filter("of.blocks > 1 AND rep <> of.lo")
+    near = near.union(several_blocks.select(F.col("of.lo").alias("a"), F.col("rep").alias("b")).distinct())
     family = components(near, ws, "family")
-    active = ws.table(dealt.select("rep", "cls", "n").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("comp", "family"), "rep"), "active")
+    active = ws.table(dealt.select("rep", "cls", "n").join(family.withColumnRenamed("node", "rep").withColumnRenamed("comp", "family"), "rep"), "active")
     families = active.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     families = families.select("family", (blocks("rows", "items") > 1).alias("large"))
     active = ws.table(active.join(families, "family"), "members")
     whole = active.filter("NOT large").select(F.xxhash64("family").alias("token"), F.lit(0).alias("i"), F.lit(0).alias("j"), *of_class)
     large = active.filter("large").select(*of_class, "family")
     turns = F.sequence(F.lit(0), F.when(F.col("blocks") > 1, 1).otherwise(0))
-    parts = longest.join(large, of_class, "left_semi").withColumn("j", F.explode(turns)).select("token", place("blocks", "j").alias("i"), "j", *of_class)
+    parts = dealt.select(*of_class, "longest.*").join(large, of_class, "left_semi").withColumn("j", F.explode(turns)).select("token", place("blocks", "j").alias("i"), "j", *of_class)
 
     # confirmed on the texts of candidates; a class's text is that of its smallest id
     texts = source.withColumnRenamed("id", "rep").join(active.select("rep").distinct().hint("merge"), "rep", "left_semi")
@@ -281,7 +285,8 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
     texts = ws.table(texts, "texts")
 
     def confirmed(rows: DataFrame, name: str) -> DataFrame:
-        return joined(rows.join(texts.hint("merge"), of_class).select("token", "i", "j", "outside", "comp", "same", "sign", "text"), name)
+        where = rows.groupBy(of_class).agg(F.collect_list(F.struct("token", "i", "j", "outside", "comp")).alias("where"))
+        return joined(where.join(texts.hint("merge"), of_class).select(F.explode("where").alias("at"), "same", "sign", "text").select("at.*", "same", "sign", "text"), name)
 
     links = confirmed(whole.union(parts).select("token", "i", "j", F.lit(False).alias("outside"), F.col("rep").alias("comp"), *of_class), "links")
     # rows that share an id but not a set tie their classes together
@@ -291,7 +296,8 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
 
     # lists of large candidate components that still lie in several components
     large = large.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    long = ws.table(dealt.join(large, of_class).withColumn("token", F.xxhash64("token", "family")), "long")
+    long = dealt.join(large, of_class).select(*of_class, "n", "comp", "family", F.explode("lists").alias("of")).select(*of_class, "n", "comp", "family", "of.*")
+    long = ws.table(long.withColumn("token", F.xxhash64("token", "family")), "long")
     held = long.groupBy("token", "blocks", "comp").agg(F.count("*").alias("rows"))
     held = held.groupBy("token", "blocks").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("comp", "rows").alias("largest")).filter("rows > most")
     outer = F.ceil((F.col("rows") - F.col("most")) / F.col("rows") * F.col("blocks")).cast("int")
@@ -301,7 +307,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", percent
         every = long.select("token", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), "comp", *of_class)
         queries = long.filter("outside AND blocks > 1").select("token", place("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "outside", "comp", *of_class)
         final = components(links.union(ties).union(confirmed(every.union(queries), "more_links")), ws, "final")
-    ws.drop("dealt", "longest", "one", "near", "active", "members", "texts", "long", "open")
+    ws.drop("dealt", "one", "near", "active", "members", "texts", "long", "open")
     all_ = signed.join(classes.select("same", "rep"), "same", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
     return all_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
