@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from chronolane.llm.base import Workspace, fresh
 from chronolane.llm.bin_completion import NODES, complete
+from chronolane.llm.token_counts import byte_alphabet
 
 CAPACITY = 1024
 END = 2
@@ -45,7 +46,7 @@ class TokenIds(dict):
     """word -> its ids as 32-bit numbers (little-endian, as on every machine that Spark runs on), as the ``tokenizers`` library gives them.
 
     Files with plain byte-level words are cut by a pattern and the words looked up, since most repeat; the
-    library encodes missing words.  A text with a character that pattern and library don't class alike, and
+    library's model merges the bytes of missing words.  A text with a character that pattern and library don't class alike, and
     any text of another kind of file, is encoded whole by the library.  ``room`` words are kept, and as many
     that were kept before them; those that come again stay.
     """
@@ -67,14 +68,18 @@ class TokenIds(dict):
         found = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
         self.alike: dict[str, bool] = {}
+        self.known: set[str] = set()  # characters that are alike
         self.older: dict[str, bytes] = {}
+        self.model, self.letters = self.whole.model, dict(enumerate(byte_alphabet()))
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.pop(word, None)
         if ids is None:
-            if not all(map(self._same, word)):
-                raise _Unlike
-            ids = self._ids(word)
+            if not self.known.issuperset(word):
+                if not all(map(self._same, word)):
+                    raise _Unlike
+                self.known.update(word)
+            ids = self._word(word)
         if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
@@ -84,6 +89,11 @@ class TokenIds(dict):
     def _ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one word: the library's merges alone, without the steps around them that only find words."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _same(self, char: str) -> bool:
         """Whether the library and the pattern cut around this character alike."""
         if char not in self.alike:
@@ -99,7 +109,7 @@ class TokenIds(dict):
         if not self.pattern:
             return self._ids(text)
         try:
-            if not self.split or not self.split.search(text):
+            if not any(map(text.__contains__, self.special)):
                 return self._words(text)
             return b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self._words(p) for k, p in enumerate(self.split.split(text)))
         except _Unlike:
