@@ -97,3 +97,17 @@ def test_bins_are_named_by_their_middle(spark):
     df = spark.createDataFrame([(1, 0.0, 2.0), (1, 0.9, 4.0), (1, 1.0, 7.0), (1, 1.5, None)], "k long, e double, v double")
     got = T.binned_means(df, ["k"], "e", "v", 1.0).orderBy("time").collect()
     assert [tuple(r) for r in got] == [(1, 0.5, 3.0, 2), (1, 1.5, 7.0, 1)]
+
+
+def test_a_large_group_is_fitted_in_passes(spark, monkeypatch):
+    """The groups above local_units never come into one task, and get the same models."""
+    df = frame(spark, planted(5, 0.2)).union(frame(spark, planted(6, 0.0, units=12), "b")).union(frame(spark, [r for r in planted(4, 0.1, units=25) if r[2] == 0], "c")).repartition(5)
+    model = lambda n: {(r.g, r.term): r for r in T.timeseries_model(df, "treatment", "R", "unit", "session", {"g": "string"}, 100.0, n).collect()}
+    want, passes, real = model(1000), [], T._pass
+    monkeypatch.setattr(T, "_pass", lambda units, asked: passes.append(sorted(asked)) or real(units, asked))
+    assert all(r.random for k, r in want.items() if k[0] != "c") and len(want) == 7 and not passes
+    got = model(20)
+    assert passes and set(map(tuple, passes)) == {(0,)} and got.keys() == want.keys()  # a alone: c can't be fitted, b is small
+    for k, r in want.items():
+        assert (got[k].n, got[k].random, got[k].note) == (r.n, r.random, r.note)
+        assert r.estimate is None or (got[k].estimate, got[k].se) == pytest.approx((r.estimate, r.se), rel=1e-6)
