@@ -116,6 +116,7 @@ def overlapping(bouts: DataFrame, t0: float, t1: float, pad: float = 0.0, start:
 
 def matched_medians(bouts: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], t: str, value: str, offset: Column, least: int) -> DataFrame:
     """Per interval the median of ``value`` in two tracks, the second on a clock shifted by ``offset``; both need ``least`` samples."""
+    bouts = stored(bouts, "bouts")  # both tracks read it, and intervals are dear to find
     one = frames_in_bouts(a, bouts, keys, t).groupBy(*keys, "bout_index").agg(F.percentile(value, 0.5).alias("median_a"), F.count(value).alias("n_a"))
     shifted = bouts.withColumns({"_s": F.col("bout_start_sec") + offset, "_e": F.col("bout_end_sec") + offset})
     two = frames_in_bouts(b, shifted, keys, t, "_s", "_e").groupBy(*keys, "bout_index").agg(F.percentile(value, 0.5).alias("median_b"), F.count(value).alias("n_b"))

@@ -144,6 +144,21 @@ def test_interval_join_looks_at_few_pairs_that_do_not_match(spark):
     assert seen[16_000][0] / seen[2_000][0] == pytest.approx(8, rel=0.02)  # in proportion, on one key
 
 
+def test_both_clocks_read_intervals_that_are_found_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    b = spark.createDataFrame([(1, 0, 0.0, 9.0), (1, 1, 20.0, 29.0), (2, 0, 0.0, 5.0)], "lane long, bout_index long, bout_start_sec double, bout_end_sec double")
+    s = spark.range(160).select((1 + F.col("id") % 2).alias("lane"), F.floor(F.col("id") / 2).cast("double").alias("t"), F.col("id").cast("double").alias("x"))
+    got = J.matched_medians(b.mapInPandas(found, b.schema), s, s.filter("t <> 35"), ["lane"], "t", "x", F.lit(30.0), 7).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 9.0, 10, 68.0, 9), (1, 1, 49.0, 10, 109.0, 10)]
+    assert made.value == 3
+
+
 def test_global_row_number(spark):
     rng = np.random.default_rng(2)
     values = [int(v) for v in rng.integers(0, 50, 500)] + [None]
