@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolane.sources.scratch import stored
+
 #: z of a two-sided 95 % interval.
 Z95 = 1.959964
 
@@ -29,7 +31,8 @@ def cell_sums(df: DataFrame, outcome: str, cell: Column, unit: str, by: list[str
     """
     rows = df.select(*by, F.col(unit).alias("_u"), cell.cast("string").alias("_c"), F.col(outcome).cast("double").alias("_y")).dropna(subset=["_u", "_c", "_y"])
     per = rows.groupBy(*by, "_u", "_c").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
-    units = per.groupBy(*by, "_u").agg(F.sum("n").alias("size"), F.sum("y").alias("sum"), F.collect_list(F.struct(F.col("_c").alias("c"), "n")).alias("cells"))
+    cells = F.collect_list(F.struct(F.col("_c").alias("c"), "n", "y", "yy")).alias("cells")
+    units = stored(per.groupBy(*by, "_u").agg(F.sum("n").alias("size"), F.sum("y").alias("sum"), cells), "units")  # all five kinds come from it
     none, zero = F.lit(None).cast("string"), F.lit(0.0)
 
     def tagged(rows: DataFrame, kind: str, size: Column, a: Column, b: Column, v: Column, w: Column) -> DataFrame:
@@ -39,8 +42,8 @@ def cell_sums(df: DataFrame, outcome: str, cell: Column, unit: str, by: list[str
     opened = units.select(*by, "size", "sum", "cells", F.explode("cells").alias("p"))
     paired = opened.select(*by, "size", "p", F.explode("cells").alias("q"))
     parts = [
-        tagged(per, "all", zero, none, none, F.col("n"), F.col("yy")),
-        tagged(per, "cell", zero, F.col("_c"), none, F.col("n"), F.col("y")),
+        tagged(opened, "all", zero, none, none, F.col("p.n"), F.col("p.yy")),
+        tagged(opened, "cell", zero, F.col("p.c"), none, F.col("p.n"), F.col("p.y")),
         tagged(units, "units", F.col("size"), none, none, F.lit(1.0), F.col("sum") * F.col("sum")),
         tagged(opened, "cross", F.col("size"), F.col("p.c"), none, F.col("p.n") * F.col("sum"), zero),
         tagged(paired, "pair", F.col("size"), F.col("p.c"), F.col("q.c"), F.col("p.n") * F.col("q.n"), zero),

@@ -17,7 +17,7 @@ from chronolane.operators import slopes
 from chronolane.operators import timeseries as T
 from chronolane.operators import windows as W
 from chronolane.operators.columns import homography
-from chronolane.plans.registry import LANE, ORDER, SAMPLES, load, query, rounded, samples
+from chronolane.plans.registry import LANE, ORDER, SAMPLES, dealt, load, query, rounded, samples
 from chronolane.plans.sequence_queries import bouts
 from chronolane.plans.table_queries import LINES, lines
 
@@ -184,7 +184,7 @@ def m_session_lmm(spark, sf):
 def m_timeseries_lmm(spark, sf):
     """Prices of two flags by the days from an order to the shipping of its lines, in bins of ten days."""
     o, c, li = (load(spark, sf, n) for n in ("orders", "customer", "lineitem"))
-    some = li.filter(F.col("l_returnflag").isin("A", "R")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    some = dealt(li, "l_orderkey").filter(F.col("l_returnflag").isin("A", "R")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     some = some.withColumn("elapsed", F.datediff("l_shipdate", "o_orderdate"))
     keys = {"virus": "c_mktsegment", "mouse": "c_custkey", "session": "l_orderkey", "injection": "l_returnflag"}
     per = T.binned_means(some.withColumnsRenamed({v: k for k, v in keys.items()}), list(keys), "elapsed", "l_extendedprice", 10.0)

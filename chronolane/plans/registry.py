@@ -38,6 +38,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("lane"), F.col("event_id").alias("frame"), seconds().alias("t"), F.col("value").alias("x"), y.alias("y"), F.col("event_type").alias("state"), (F.col("event_type") != "error").alias("ok"))
 
 
+#: Rows of a large table that a task joins at a time.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A stored table dealt by ``key`` into tasks of some TASK_ROWS rows, so that a task's sorts and hash maps don't grow with the table; one that the cores share out anyhow stays as it is."""
+    tasks = df.count() // TASK_ROWS + 1
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 #: The same rows in SQL.
 SAMPLES = "s AS (SELECT user_id AS lane, event_id AS frame, epoch_us(ts) / 1e6 AS t, value AS x, CAST(json_extract(props, '$.k') AS DOUBLE) AS y, event_type AS state, event_type <> 'error' AS ok FROM events)"
 

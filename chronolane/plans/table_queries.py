@@ -11,7 +11,7 @@ from chronolane.operators import aggregates as A
 from chronolane.operators import columns as C
 from chronolane.operators import joins as J
 from chronolane.operators import sampling as S
-from chronolane.plans.registry import LANE, SAMPLES, load, query, rounded, samples
+from chronolane.plans.registry import LANE, SAMPLES, dealt, load, query, rounded, samples
 from chronolane.plans.sequence_queries import BOUTS, STEPS, bouts, stepped
 
 DAY = 86400.0
@@ -245,7 +245,7 @@ LINES = "ln AS (SELECT l_orderkey AS session, c_custkey AS mouse, c_mktsegment A
 
 def lines(spark, sf):
     li, o, c = (load(spark, sf, n) for n in ("lineitem", "orders", "customer"))
-    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    joined = dealt(li, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.col("l_orderkey").alias("session"), F.col("c_custkey").alias("mouse"), F.col("c_mktsegment").alias("virus"), F.col("l_returnflag").alias("injection"), (F.col("l_linestatus") == "O").alias("stationary"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("disc"))
 
 

@@ -88,3 +88,22 @@ def test_a_task_has_no_rows_and_no_units(spark):
     assert held < 250  # a few numbers for each of some thirty sizes
     r = mixed.factor_model(df, "y", "level", "mouse", "R", {"virus": "string"}).first()
     assert r.estimate == pytest.approx(0.5, abs=0.05) and r.n == n
+
+
+def test_tasks_of_a_joined_table_do_not_grow_with_it(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from chronolane.plans import registry
+    from chronolane.plans.table_queries import lines
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, lines(spark, sf).collect()))
+    monkeypatch.setattr(registry, "TASK_ROWS", 300)
+    got = lines(spark, sf)
+    assert sorted(map(tuple, got.collect())) == want
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > len(want) // 300 * 0.8 and max(tasks) < 900
+    from chronolane.plans.model_queries import m_lmm, m_timeseries_lmm
+
+    for query in (m_lmm, m_timeseries_lmm):
+        assert query(spark, sf).count() > 0
