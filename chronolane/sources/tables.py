@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import shutil
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +48,92 @@ def write_csv(df: DataFrame, path: str, decimals: int | None = None, overwrite:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+#: Types that Arrow and Spark write to Parquet alike.
+PLAIN = re.compile(r"(tinyint|smallint|int|bigint|float|double|boolean|string|date|timestamp|timestamp_ntz|decimal\(\d+,\d+\))")
+
+
 def write_by(df: DataFrame, path: str, keys: list[str], overwrite: bool = False) -> None:
-    """Parquet, one directory per combination of keys; rows are dealt by them first, so files don't multiply."""
-    df.repartition(*keys).write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*keys).parquet(path)
+    """Parquet, one directory per combination of keys; rows are dealt by them first, so files don't multiply.
+
+    A new folder of a local file system is written by Arrow within the tasks, as Hadoop starts three processes
+    a directory there to set permissions; all else (other file systems, nested or binary columns, a folder that exists) by Spark's writer.
+    """
+    where = _local(df.sparkSession, path)
+    rest = [c for c in df.columns if c not in keys]
+    plain = len({"_at"} | {c.lower() for c in df.columns}) == 1 + len(rest) + len(keys) == 1 + len(df.columns) and all(PLAIN.fullmatch(k) for _, k in df.dtypes)
+    if where and rest and plain and not os.path.lexists(where):
+        _write_new(df, where, keys, rest)
+    else:
+        df.repartition(*keys).write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*keys).parquet(path)
+
+
+def read_by(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Directories of keys as a table; they are listed by a few tasks a core, not by a task each."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder of the local file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(at).toUri().getPath() if system.getScheme() == "file" else None
+
+
+def _write_new(df: DataFrame, path: str, keys: list[str], rest: list[str]) -> None:
+    """Each attempt of a task writes into a folder of its own beside ``path``; those of the attempts that count become ``path`` by one rename."""
+    staged = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = uuid.uuid4().hex
+        last = out = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).drop_columns("_at")
+            runs, begin = pc.run_end_encode(batch["_at"], run_end_type=pa.int64()), 0
+            for at, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if at != last:
+                    if out:
+                        out.close()
+                    folder = f"{staged}/{own}/{directory(keys, json.loads(at))}"
+                    os.makedirs(folder)
+                    last, out = at, pq.ParquetWriter(f"{folder}/part-{own}.snappy.parquet", rows.schema, store_schema=False, write_page_checksum=True)
+                out.write_table(rows.slice(begin, end - begin))
+                begin = end
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"attempt": [own]})
+
+    # dealt by the text of the keys, as it makes the directory: each is written by one task
+    at = F.to_json(F.array(*[F.nullif(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys]))
+    sorted_rows = df.select(*[F.col(f"`{c}`") for c in rest], at.alias("_at")).repartition("_at").sortWithinPartitions("_at")
+    try:
+        os.makedirs(f"{staged}/whole")
+        for attempt in sorted_rows.mapInArrow(write, "attempt string").collect():
+            _merge(f"{staged}/{attempt.attempt}", f"{staged}/whole")
+        open(f"{staged}/whole/_SUCCESS", "x").close()
+        os.rename(f"{staged}/whole", path)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+
+
+def directory(keys: list[str], values: list[str | None]) -> str:
+    """The folder of a combination of keys as Spark names it."""
+    escaped = [[re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{[\]^]""", lambda m: f"%{ord(m[0]):02X}", text or "") for text in pair] for pair in zip(keys, values, strict=True)]
+    return "/".join(f"{k}={v or '__HIVE_DEFAULT_PARTITION__'}" for k, v in escaped)
+
+
+def _merge(folder: str, into: str) -> None:
+    """The entries of one folder moved into another; the folders of some keys may be in both."""
+    for entry in os.scandir(folder):
+        if os.path.isdir(to := f"{into}/{entry.name}"):
+            _merge(entry.path, to)
+        else:
+            os.rename(entry.path, to)
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

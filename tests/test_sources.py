@@ -2,6 +2,8 @@
 
 import itertools
 import operator
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -50,6 +52,78 @@ def test_sinks_and_manifest(spark, tmp_path):
     assert tables.pending(df, df.filter("k = 1"), ["k"]).first().k == 2
 
 
+def _by(df, path):
+    """What a folder holds by Spark: the directories, and the rows with their keys as text."""
+    schema = df.select(*[F.col(c).cast("string").alias(c) if c in ("a", "b") else F.col(c) for c in df.columns]).schema
+    got = df.sparkSession.read.schema(schema).parquet(path)
+    return {p.parent.relative_to(path).as_posix() for p in Path(path).rglob("*.parquet")}, sorted(map(repr, got.select(*df.columns).collect()))
+
+
+def test_directories_of_keys_are_those_of_spark(spark, tmp_path):
+    names = [None, "", "x y", "a/b=c", "%41", "".join(map(chr, range(1, 128)))]
+    rows = spark.range(600).select(
+        F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 6 + 1).cast("int")).alias("a"),
+        F.when(F.col("id") % 5 > 0, F.timestamp_seconds(F.col("id") % 5)).alias("b"),
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("n"),
+        F.timestamp_millis("id").alias("t"),
+        F.expr("timestamp_ntz'1500-01-01 00:00:00.000001'").alias("u"),
+        F.expr("date'1500-03-01' + CAST(id AS INT)").alias("d"),
+        F.expr("CAST(id / 3 AS DECIMAL(9, 4))").alias("k"),
+        (F.col("id") % 100).cast("tinyint").alias("i"),
+        F.when(F.col("id") % 2 > 0, F.lit("é")).alias("s"),
+    )
+    mine, spark_s = str(tmp_path / "mine"), str(tmp_path / "spark")
+    tables.write_by(rows, f"file://{mine}", ["a", "b"])
+    rows.write.partitionBy("a", "b").parquet(spark_s)
+    assert _by(rows, mine) == _by(rows, spark_s) and len(_by(rows, mine)[0]) == 25
+    assert spark.read.parquet(mine).schema == spark.read.parquet(spark_s).schema
+    assert {p.name for p in tmp_path.iterdir()} == {"mine", "spark"} and (tmp_path / "mine/_SUCCESS").exists()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.write_by(rows, mine, ["a", "b"])
+    tables.write_by(rows.limit(1), mine, ["a", "b"], overwrite=True)
+    assert spark.read.parquet(mine).count() == 1
+
+
+def test_a_directory_costs_no_processes(spark, tmp_path):
+    """Hadoop starts a process for each change of permissions of a local file, three a directory."""
+    forked = lambda: int(re.search(r"processes (\d+)", Path("/proc/stat").read_text())[1])  # noqa: E731  threads count too
+    rows, path = spark.range(3000).select((F.col("id") % 1000).alias("lane"), "id"), str(tmp_path / "by")
+    tables.write_by(rows.limit(1), str(tmp_path / "warm"), ["lane"])
+    before = forked()
+    tables.write_by(rows, path, ["lane"])
+    assert forked() - before < 1000
+    settings = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert sorted(r.id for r in tables.read_by(spark, path, "id long, lane long").filter("id % 1000 = lane").collect()) == list(range(3000))
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == settings
+
+
+def test_rows_of_a_key_are_one_file_however_many(spark, tmp_path):
+    rows, path = spark.range(50_000).select(F.lit(7).alias("lane"), "id", F.lit(None).cast("string").alias("none")), str(tmp_path / "by")
+    tables.write_by(rows, path, ["lane"])
+    assert [p.name for p in (tmp_path / "by").iterdir() if p.is_dir()] == ["lane=7"] and len(list((tmp_path / "by/lane=7").iterdir())) == 1
+    assert spark.read.parquet(path).agg(F.sum("id"), F.count("none"), F.sum("lane")).first() == (sum(range(50_000)), 0, 350_000)
+
+
+def test_a_write_by_keys_that_fails_leaves_nothing(spark, tmp_path):
+    bad = spark.range(3000).select((F.col("id") % 50).alias("lane"), F.when(F.col("id") == 2999, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_by(bad, str(tmp_path / "by"), ["lane"])
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_no_rows_by_keys_are_no_rows(spark, tmp_path):
+    tables.write_by(spark.range(0).select("id", F.lit(1).alias("lane")), str(tmp_path / "by"), ["lane"])
+    assert tables.read_by(spark, str(tmp_path / "by"), "id long, lane long").count() == 0
+
+
+def test_what_arrow_does_not_write_is_left_to_spark(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lanes.link./out", f"file://{tmp_path}")
+    tables.write_by(spark.range(9).select("id", (F.col("id") % 3).alias("lane")), "viewfs://lanes/out/by", ["lane"])
+    assert spark.read.parquet(str(tmp_path / "by")).filter("id % 3 = lane").count() == 9
+    tables.write_by(spark.range(9).select(F.struct("id").alias("s"), F.expr("id * INTERVAL '1' SECOND").alias("v"), (F.col("id") % 3).alias("lane")), str(tmp_path / "nested"), ["lane"])
+    assert spark.read.parquet(str(tmp_path / "nested")).filter("s.id * INTERVAL '1' SECOND = v").count() == 9
+
+
 def test_frames(spark, tmp_path):
     rng = np.random.default_rng(0)
     video = [rng.integers(0, 60000, (6, 9)) for _ in range(12)]
