@@ -217,7 +217,7 @@ def sink_skip_existing(spark, sf):
 def sink_partition_by_lane(spark, sf):
     path = scratch(spark, "lanes")
     tables.write_by(samples(spark, sf).select("lane", "frame"), path, LANE)
-    return tables.read_by(spark, path, "frame long, lane long").groupBy("lane").agg(F.count("*").alias("n"))
+    return tables.read_by(spark, path, "frame long", {"lane": "long"}).groupBy("lane").agg(F.count("*").alias("n"))
 
 
 @query("sink_manifest_sha256", "SELECT change, count(*) AS n FROM (SELECT CASE n_regionkey WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' WHEN 2 THEN 'added' END AS change FROM (SELECT DISTINCT n_regionkey FROM nation)) WHERE change IS NOT NULL GROUP BY change")

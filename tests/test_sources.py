@@ -77,6 +77,11 @@ def test_directories_of_keys_are_those_of_spark(spark, tmp_path):
     rows.write.partitionBy("a", "b").parquet(spark_s)
     assert _by(rows, mine) == _by(rows, spark_s) and len(_by(rows, mine)[0]) == 25
     assert spark.read.parquet(mine).schema == spark.read.parquet(spark_s).schema
+    rest = ", ".join(f"{c} {k}" for c, k in rows.drop("a", "b").dtypes)
+    for path in (mine, spark_s):
+        back = tables.read_by(spark, path, rest, {"a": "string", "b": "timestamp"}).select(rows.columns)
+        want = rows.withColumn("a", F.nullif("a", F.lit("")))
+        assert back.dtypes == rows.dtypes and back.exceptAll(want).count() == want.exceptAll(back).count() == 0
     assert {p.name for p in tmp_path.iterdir()} == {"mine", "spark"} and (tmp_path / "mine/_SUCCESS").exists()
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         tables.write_by(rows, mine, ["a", "b"])
@@ -93,7 +98,7 @@ def test_a_directory_costs_no_processes(spark, tmp_path):
     tables.write_by(rows, path, ["lane"])
     assert forked() - before < 1000
     settings = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
-    assert sorted(r.id for r in tables.read_by(spark, path, "id long, lane long").filter("id % 1000 = lane").collect()) == list(range(3000))
+    assert sorted(r.id for r in tables.read_by(spark, path, "id long", {"lane": "long"}).filter("id % 1000 = lane").collect()) == list(range(3000))
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == settings
 
 
@@ -113,7 +118,7 @@ def test_a_write_by_keys_that_fails_leaves_nothing(spark, tmp_path):
 
 def test_no_rows_by_keys_are_no_rows(spark, tmp_path):
     tables.write_by(spark.range(0).select("id", F.lit(1).alias("lane")), str(tmp_path / "by"), ["lane"])
-    assert tables.read_by(spark, str(tmp_path / "by"), "id long, lane long").count() == 0
+    assert tables.read_by(spark, str(tmp_path / "by"), "id long", {"lane": "long"}).count() == 0
 
 
 def test_what_arrow_does_not_write_is_left_to_spark(spark, tmp_path):
