@@ -20,6 +20,7 @@ from chronolane.operators.columns import homography
 from chronolane.plans.registry import LANE, ORDER, SAMPLES, dealt, load, query, rounded, samples
 from chronolane.plans.sequence_queries import bouts
 from chronolane.plans.table_queries import LINES, lines
+from chronolane.sources.scratch import stored
 
 T0 = 1704067200
 
@@ -103,9 +104,13 @@ def m_bout_edge_lag(spark, sf):
 OWN_BASE, OTHER_BASE = [1, 0, 0, 0, 1, 0, 0, 0, 1], [-1, 0, 300, 0, 1, 0, 0, 0, 1]
 
 
-def _clocks(spark, sf, base):
+def _tracks(spark, sf):
+    """A lane's samples as one array in the order of time."""
+    return timed(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x", "y"))).alias("s"))
+
+
+def _clocks(lane, base):
     """Each lane's clock if the second track is warped by a base homography."""
-    lane = timed(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("h", "x", "y"))).alias("s"))
     h, x = F.transform("s", lambda v: v["h"]), F.transform("s", lambda v: v["x"])
     warped = F.transform("s", lambda v: homography([F.lit(float(c)) for c in base], v["x"], v["y"])["x"])
     arrays = lane.select("lane", F.transform(h, lambda v: v * 8).alias("frames"), x.alias("x"), F.transform(h, lambda v: v + 5.5).alias("t"), warped.alias("tx"))
@@ -114,14 +119,15 @@ def _clocks(spark, sf, base):
 
 @query("m_trajectory_sync")
 def m_trajectory_sync(spark, sf):
-    return _clocks(spark, sf, OWN_BASE)
+    return _clocks(_tracks(spark, sf), OWN_BASE)
 
 
 @query("m_alt_regime_fit")
 def m_alt_regime_fit(spark, sf):
     """The fit under the other base homography beside the lane's own, which should have the clearly smaller loss."""
-    own = m_trajectory_sync(spark, sf).select("lane", "offset_sec", "loss")
-    other = _clocks(spark, sf, OTHER_BASE).select("lane", F.col("offset_sec").alias("alt_offset_sec"), F.col("loss").alias("alt_loss"))
+    lane = stored(_tracks(spark, sf), "tracks")
+    own = _clocks(lane, OWN_BASE).select("lane", "offset_sec", "loss")
+    other = _clocks(lane, OTHER_BASE).select("lane", F.col("offset_sec").alias("alt_offset_sec"), F.col("loss").alias("alt_loss"))
     return own.join(other, "lane", "left").withColumn("own_fits_better", F.col("loss") < F.col("alt_loss"))
 
 
